@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrivenry.llm import sharding
+from scrivenry.llm import licenses, secrets, sharding
 from scrivenry.sources.tables import table
 
 
@@ -11,6 +11,8 @@ def _docs(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_secret_scan": lambda spark, d: secrets.op1(_docs(spark, d)),
+    "op6_license_scan": lambda spark, d: licenses.op6(_docs(spark, d)),
     "op7_sharding": lambda spark, d: sharding.op7(_docs(spark, d)),
 }
 ORACLES: dict[str, str] = {}
