@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrivenry.llm import licenses, secrets, sharding
+from scrivenry.llm import decontaminate, licenses, secrets, sharding
 from scrivenry.sources.tables import table
 
 
@@ -12,7 +12,8 @@ def _docs(spark, sf_dir):
 
 QUERIES = {
     "op1_secret_scan": lambda spark, d: secrets.op1(_docs(spark, d)),
+    "op4_decontamination": lambda spark, d: decontaminate.op4(_docs(spark, d), table(spark, d, "benchmark")),
     "op6_license_scan": lambda spark, d: licenses.op6(_docs(spark, d)),
     "op7_sharding": lambda spark, d: sharding.op7(_docs(spark, d)),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.OP4_SQL}

@@ -25,7 +25,9 @@ METHOD = "markov"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Least mean log-likelihood ratio for each transition, in nats.
-THRESHOLD = 0.9
+THRESHOLD = 0.2
+#: A token with fewer distinct symbols is a repetition, not a key.
+DISTINCT = 8
 WORDS = (
     "get set load store user name file path list map index value count total time date order item "
     "record field table column query parse read write open close start stop begin end first last next "
@@ -160,7 +162,7 @@ def find_secrets(
 
     Base kinds are matched leftmost and non-overlapping, each on its own, and matches that are
     too short are dropped. The models then judge every run of 20 or more alphabet symbols that
-    has a letter and a digit and touches no base span. Null and empty texts have no spans. A
+    has a letter, a digit and eight distinct symbols and touches no base span. Null and empty texts have no spans. A
     column that is named like ``out`` is replaced; no shuffle.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -181,6 +183,7 @@ def find_secrets(
         F.filter(
             _placed(text, TOKEN, 0),
             lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]")
+            & (F.size(F.array_distinct(F.split(m["match"], ""))) >= DISTINCT)
             & ~F.exists(F.col("__base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
             & (mean_ratio(m["match"], table) >= threshold),
         ),
