@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Largest number of distinct benchmark windows that is broadcast; beyond it the join shuffles.
 BROADCAST_WINDOWS = 2_000_000
+MAX_LOG_BITS = 23
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -60,8 +63,11 @@ def benchmark_windows(items: DataFrame, n: int, id_col: str, text_col: str) -> D
     return windows.groupBy("k", "phrase").agg(F.collect_set("id").alias("ids"))
 
 
-def _filter_bits(windows: DataFrame, n: int, log_bits: int) -> DataFrame:
-    """One row: array<bigint> of 2**log_bits bits, set where a window's hash falls."""
+def _filter_bits(windows: DataFrame, n: int, log_bits: int) -> Column:
+    """Constant array<bigint> of 2**log_bits bits, set where a window's hash falls.
+
+    Its cells pass through the driver; MAX_LOG_BITS bounds them at 1 MB.
+    """
     codes = _hashes(F.split("phrase", " "))
     w = windows.select("k", codes.alias("c")).select("k", "c", _quads(F.col("c")).alias("q"))
     h = F.coalesce(*[
@@ -72,14 +78,8 @@ def _filter_bits(windows: DataFrame, n: int, log_bits: int) -> DataFrame:
     cells = w.select(slot.alias("s")).groupBy((F.shiftright("s", 6)).alias("cell")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
     )
-    full = items_range(windows, 1 << (log_bits - 6)).join(F.broadcast(cells), "cell", "left")
-    return full.agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("cell", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))),
-        lambda x: x["bits"]).alias("bits"))
-
-
-def items_range(df: DataFrame, n: int) -> DataFrame:
-    return df.sparkSession.range(0, n, 1, 1).withColumnRenamed("id", "cell")
+    found = {r["cell"]: r["bits"] for r in cells.collect()}
+    return F.from_json(F.lit(json.dumps([found.get(i, 0) for i in range(1 << (log_bits - 6))])), "array<bigint>")
 
 
 def find_contamination(
@@ -88,8 +88,8 @@ def find_contamination(
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (word intervals [start, end), merged) and ``item_ids``.
 
-    The benchmark's windows are hashed into a bit array of 64 bits for each window, which
-    every task holds as a constant; a document's windows are hashed in place and only those that the
+    The benchmark's windows are hashed into a bit array (64 bits for each window, 1 MB
+    at most), which every task holds as a constant; a document's windows are hashed in place and only those that the
     array may hold are written out, joined with the windows by their words (which verifies them) and
     gathered by document. The window table is broadcast up to BROADCAST_WINDOWS distinct windows and
     shuffled beyond that. Null and empty documents, and an empty benchmark, give no hits; repeated
@@ -107,9 +107,9 @@ def find_contamination(
     if not about["n"]:
         return base.select("__doc.*", "n_words", F.array().cast("array<struct<start:int,end:int>>").alias("hits"),
                            F.array().cast("array<string>").alias("item_ids"))
-    log_bits = min(27, max(12, (64 * about["n"] - 1).bit_length()))
+    log_bits = min(MAX_LOG_BITS, max(12, (64 * about["n"] - 1).bit_length()))
     ks = sorted(about["ks"], reverse=True)
-    bits = _filter_bits(windows, n, log_bits).scalar()
+    bits = _filter_bits(windows, n, log_bits)
     coded = base.withColumn("__c", _hashes(F.col("__w")))
     if n in ks and n >= 4:
         coded = coded.withColumn("__q", _quads(F.col("__c")))
