@@ -84,11 +84,11 @@ def _filter_bits(windows: DataFrame, n: int, log_bits: int) -> Column:
 
 def find_contamination(
     docs: DataFrame, items: DataFrame, n: int = 13, text_col: str = "text", id_col: str = "item_id",
-    item_text_col: str = "text",
+    item_text_col: str = "text", carry: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with ``n_words``, ``hits`` (word intervals [start, end), merged) and ``item_ids``.
+    """The columns ``carry`` of ``docs`` (all where None) with ``n_words``, ``hits`` (word intervals [start, end), merged) and ``item_ids``.
 
-    The benchmark's windows are hashed into a bit array (64 bits for each window, 1 MB
+    The benchmark's windows are hashed into a bit array (512 bits for each window, 1 MB
     at most), which every task holds as a constant; a document's windows are hashed in place and only those that the
     array may hold are written out, joined with the windows by their words (which verifies them) and
     gathered by document. The window table is broadcast up to BROADCAST_WINDOWS distinct windows and
@@ -98,7 +98,7 @@ def find_contamination(
     """
     windows = benchmark_windows(items, n, id_col, item_text_col)
     about = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set("k").alias("ks")).first()
-    keep = [c for c in docs.columns if c not in ("n_words", "hits", "item_ids")]
+    keep = [c for c in carry or docs.columns if c not in ("n_words", "hits", "item_ids")]
     src = docs.select(
         F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(c) for c in keep]).alias("__doc"),
         normal_words(F.col(text_col)).alias("__w"),
@@ -107,29 +107,36 @@ def find_contamination(
     if not about["n"]:
         return base.select("__doc.*", "n_words", F.array().cast("array<struct<start:int,end:int>>").alias("hits"),
                            F.array().cast("array<string>").alias("item_ids"))
-    log_bits = min(MAX_LOG_BITS, max(12, (64 * about["n"] - 1).bit_length()))
+    log_bits = min(MAX_LOG_BITS, max(12, (512 * about["n"] - 1).bit_length()))
     ks = sorted(about["ks"], reverse=True)
     bits = _filter_bits(windows, n, log_bits)
     coded = base.withColumn("__c", _hashes(F.col("__w")))
     if n in ks and n >= 4:
         coded = coded.withColumn("__q", _quads(F.col("__c")))
 
-    def may_hold(k: int) -> Column:
-        c, q, size = F.col("__c"), F.col("__q"), F.size("__w")
-
-        def test(i: Column) -> Column:
-            h = _long_window(q, c, i, k) if k == n >= 4 else _window(c, i, k)
-            cell = F.get(bits, F.shiftright(h.bitwiseAND(F.lit((1 << log_bits) - 1)), 6).cast("int"))
-            return F.getbit(cell, h.bitwiseAND(F.lit(63)).cast("int")) == 1
+    size = F.size("__w")
+    none = F.array()
 
-        starts = F.when(size >= k, F.sequence(F.lit(0), size - k)).otherwise(F.array().cast("array<int>"))
+    def slots(k: int) -> Column:
+        c, q = F.col("__c"), F.col("__q")
+        starts = F.when(size >= k, F.sequence(F.lit(0), size - k)).otherwise(none.cast("array<int>"))
         return F.transform(
-            F.filter(starts, test),
-            lambda i: F.struct(
-                i.alias("start"), (i + k).alias("end"), F.array_join(F.slice("__w", i + 1, k), " ").alias("phrase")),
+            starts,
+            lambda i: (_long_window(q, c, i, k) if k == n >= 4 else _window(c, i, k)).bitwiseAND(F.lit((1 << log_bits) - 1)),
+        )
+
+    def may_hold(k: int) -> Column:
+        at = F.col(f"__s{k}")
+        held = F.filter(
+            F.when(F.size(at) > 0, F.sequence(F.lit(0), F.size(at) - 1)).otherwise(none.cast("array<int>")),
+            lambda i: F.getbit(F.get(bits, F.shiftright(F.get(at, i), 6).cast("int")),
+                               F.get(at, i).bitwiseAND(F.lit(63)).cast("int")) == 1,
         )
+        return F.transform(held, lambda i: F.struct(
+            i.alias("start"), (i + k).alias("end"), F.array_join(F.slice("__w", i + 1, k), " ").alias("phrase")))
 
-    maybe = coded.withColumn("__m", F.concat(*[may_hold(k) for k in ks])).drop("__w", "__c", "__q")
+    coded = coded.select("*", *[slots(k).alias(f"__s{k}") for k in ks])
+    maybe = coded.select("__row", "__doc", "n_words", F.concat(*[may_hold(k) for k in ks]).alias("__m"))
     rows = maybe.select("__row", "__doc", "n_words", F.explode_outer("__m").alias("m"))
     known = windows.select(F.col("phrase").alias("__phrase"), F.col("ids").alias("__ids"))
     if about["n"] <= BROADCAST_WINDOWS:
@@ -164,7 +171,7 @@ def covered(hits: Column) -> Column:
 
 def op4(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Contract rows of op4."""
-    found = find_contamination(docs.select("doc_id", "text"), items).withColumn("n_hit", covered(F.col("hits")))
+    found = find_contamination(docs, items, carry=["doc_id"]).withColumn("n_hit", covered(F.col("hits")))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
