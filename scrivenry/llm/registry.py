@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrivenry.llm import decontaminate, licenses, secrets, sharding
+from scrivenry.llm import decontaminate, licenses, secrets, sharding, simhash
 from scrivenry.sources.tables import table
 
 
@@ -11,6 +11,7 @@ def _docs(spark, sf_dir):
 
 
 QUERIES = {
+    "op10_simhash_near_dedup": lambda spark, d: simhash.op10(_docs(spark, d)),
     "op1_secret_scan": lambda spark, d: secrets.op1(_docs(spark, d)),
     "op4_decontamination": lambda spark, d: decontaminate.op4(_docs(spark, d), table(spark, d, "benchmark")),
     "op6_license_scan": lambda spark, d: licenses.op6(_docs(spark, d)),
