@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrivenry.llm import decontaminate, licenses, quality, secrets, sharding, simhash
+from scrivenry.llm import decontaminate, licenses, quality, secrets, sharding, simhash, token_files
 from scrivenry.sources.tables import table
 
 
@@ -11,6 +11,7 @@ def _docs(spark, sf_dir):
 
 
 QUERIES = {
+    "op9_token_files": lambda spark, d: token_files.op9(_docs(spark, d)),
     "op8_quality_classifier": lambda spark, d: quality.op8(_docs(spark, d), table(spark, d, "labels")),
     "op10_simhash_near_dedup": lambda spark, d: simhash.op10(_docs(spark, d)),
     "op1_secret_scan": lambda spark, d: secrets.op1(_docs(spark, d)),
