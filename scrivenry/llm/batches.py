@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,9 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def bound_batches(spark: SparkSession, records: int = 2000, megabytes: int = 16) -> None:
-    """Limit what a Python worker holds at once, by rows and by bytes (one row at least)."""
+    """Limit what a Python worker holds at once, by rows and by bytes (one row at least).
+
+    Workers on this machine also get the folder of this package on their path; a cluster gets the
+    package through ``--py-files``.
+    """
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrivenry.llm import decontaminate, embeddings, licenses, quality, secrets, sharding, simhash, token_files
+from scrivenry.llm import bpe, decontaminate, embeddings, licenses, quality, secrets, sharding, simhash, token_files
 from scrivenry.sources.tables import table
 
 
@@ -11,6 +11,7 @@ def _docs(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_byte_bpe": lambda spark, d: bpe.op3(_docs(spark, d)),
     "op5_embedding_near_dedup": lambda spark, d: embeddings.op5(table(spark, d, "embeddings")),
     "op9_token_files": lambda spark, d: token_files.op9(_docs(spark, d)),
     "op8_quality_classifier": lambda spark, d: quality.op8(_docs(spark, d), table(spark, d, "labels")),
