@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrivenry.llm import bpe, decontaminate, embeddings, licenses, quality, secrets, sharding, simhash, token_files
+from scrivenry.llm import bpe, decontaminate, embeddings, licenses, quality, secrets, sharding, simhash, substrings, token_files
 from scrivenry.sources.tables import table
 
 
@@ -11,6 +11,7 @@ def _docs(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_substring_dedup": lambda spark, d: substrings.op2(_docs(spark, d)),
     "op3_byte_bpe": lambda spark, d: bpe.op3(_docs(spark, d)),
     "op5_embedding_near_dedup": lambda spark, d: embeddings.op5(table(spark, d, "embeddings")),
     "op9_token_files": lambda spark, d: token_files.op9(_docs(spark, d)),
@@ -21,4 +22,4 @@ QUERIES = {
     "op6_license_scan": lambda spark, d: licenses.op6(_docs(spark, d)),
     "op7_sharding": lambda spark, d: sharding.op7(_docs(spark, d)),
 }
-ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.OP4_SQL}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substrings.OP2_SQL, "op4_decontamination": decontaminate.OP4_SQL}
