@@ -169,6 +169,36 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]).cast("long"))
 
 
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def cut_words(text: Column, hits: Column) -> Column:
+    """``text`` without the words of the intervals ``hits`` and without what parts them from the word before.
+
+    A text without hits comes back as it is, null stays null.
+    """
+    parts = F.arrays_zip(
+        F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word"))
+    kept = F.transform(parts, lambda p, i: F.when(
+        F.exists(hits, lambda h: (h["start"] <= i) & (i < h["end"])), F.lit("")
+    ).otherwise(F.concat(p["gap"], F.coalesce(p["word"], F.lit("")))))
+    return F.when(F.size(hits) > 0, F.array_join(kept, "")).otherwise(text)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
+    """``docs`` without contaminated documents and, in the others, without the benchmark's words.
+
+    Returns the columns of ``docs``; a column n_chars follows a changed text.
+    """
+    found = find_contamination(docs, items, n).withColumn("__hit", covered(F.col("hits")))
+    kept = found.where(~contaminated(F.col("__hit"), F.col("n_words")))
+    changed = F.size("hits") > 0
+    cut = kept.withColumn("text", cut_words(F.col("text"), F.col("hits")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
 def op4(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Contract rows of op4."""
     found = find_contamination(docs, items, carry=["doc_id"]).withColumn("n_hit", covered(F.col("hits")))

@@ -214,9 +214,18 @@ def score_quality(
     return src.mapInArrow(run, StructType([*src.schema.fields[:-2], StructField(out, DoubleType())]))
 
 
+#: Least score of a document that stays.
+KEEP = 0.3
+
+
+def keep_good(docs: DataFrame, machine: Machine, least: float = KEEP) -> DataFrame:
+    """Rows of ``docs`` that score ``least`` or more."""
+    return score_quality(docs, machine, out="__quality").where(F.col("__quality") >= least).select(*docs.columns)
+
+
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Contract rows of op8."""
     scored = score_quality(docs.select("doc_id", "text", "n_chars"), train(docs, labels))
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"),
-        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+        (F.col("quality_score") >= KEEP).cast("int").alias("predicted"))

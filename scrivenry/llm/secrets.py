@@ -216,6 +216,16 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(folded)
 
 
+def redact_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
+    """``docs`` with every secret in ``text`` replaced; a column n_chars follows a changed text."""
+    found = find_secrets(docs, ratios, out="__secrets")
+    out = found.withColumn("text", redact(F.col("text"), F.col("__secrets")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(
+            F.size("__secrets") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda m: F.concat_ws(":", m["kind"], m["start"].cast("string"), m["end"].cast("string"))), ","

@@ -269,6 +269,20 @@ def near_duplicates(
     return prints.select("doc", "fp").join(named, "fp")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Rows of ``docs`` that are the first of their group: the smallest id, null ids last.
+
+    Rows are told apart by their place in the scan, so of repeated rows one stays; ``docs`` must be a
+    scan that can be repeated, as a table of files is.
+    """
+    row = "__simhash_row"
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    found = near_duplicates(placed.withColumn("__rank", rank), "__rank", text_col, **how)
+    first = found.where(F.col("doc") == F.col("component")).select(F.col("doc.row").alias("__first"))
+    return placed.join(first, F.col(row) == F.col("__first"), "left_semi").select(*docs.columns)
+
+
 def op10(docs: DataFrame) -> DataFrame:
     """Contract rows of op10."""
     return near_duplicates(docs).select(
