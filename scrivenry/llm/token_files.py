@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
+import sys
+import unicodedata
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +30,10 @@ FOOT = struct.Struct("<I")
 INNER = struct.Struct("<BqB")
 
 _TOKENIZERS: dict[str, tuple] = {}
-#: Chunks whose ids a Python worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids a Python worker remembers; a batch's own are always held.
+MAX_WORDS = 1_000_000
+END_MARK = re.compile(r"([.,!?;:])(?<=[^\W_][.,!?;:])(?![^ \n])")
+ODD = re.compile("[\u03a3\u0130]|<\\|")
 
 
 def masked_crc(data: bytes) -> int:
@@ -62,10 +69,12 @@ def read_frames(content: bytes):
 
 
 class ChunkEncoder:
-    """The tokenizers library over chunks between spaces and line feeds, each distinct chunk once.
+    """The tokenizers library over pieces between spaces and line feeds, each distinct piece once.
 
-    Only for tokenizers whose pre-tokenisation drops white space and never joins across it, so
-    that the ids of a text are those of its chunks in turn.
+    Only for tokenizers whose pre-tokenisation drops white space and never joins across it, so that
+    the ids of a text are those of its pieces in turn. Where the tokenizer lower-cases, pieces meet in
+    lower case, and one end mark after a letter or digit, where the tokenizer parts it, is a piece of
+    its own. The memory is bounded; what falls out is encoded again.
     """
 
     def __init__(self, spec: str) -> None:
@@ -74,22 +83,80 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.code = "H" if self.width == 2 else "I"
+        self.words: dict[str, bytes] = {}
+        kinds = {x["type"] for x in (json.loads(spec).get("normalizer") or {}).get("normalizers", ())}
+        self.folds = "Lowercase" in kinds
+        parts = [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a.")] if self.tokenizer.pre_tokenizer else []
+        self.parts = len(parts) == 2
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        self.last = None
+        if suffix and self.parts:
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _words(self, text: str) -> list[str]:
+        """Pieces between white space whose ids in turn are the text's.
+
+        In texts that composition leaves alone, letters are lowered and an end mark between a letter
+        or digit and white space is parted. Not so in pieces with one of the two letters whose lower
+        case hangs on their neighbours or takes a mark, or with what may start a special token.
+        """
+        if unicodedata.is_normalized("NFC", text) and not ODD.search(text):
+            if self.folds:
+                text = text.lower()
+            if self.parts:
+                text = END_MARK.sub(r" \1", text)
+            return text.replace("\n", " ").split(" ")
+        chunks = text.replace("\n", " ").split(" ")
+        if len(chunks) == 1:
+            return chunks
+        return [w for c in chunks for w in self._words(c)]
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Ids of words into the memory. Words of letters alone are one pre-token each: where a token
+        shows that its word ends, many go through the library as one text and are parted there."""
+        plain = [w for w in words if w.isalpha() and unicodedata.is_normalized("NFC", w)] if self.last is not None else []
+        for at in range(0, len(plain), 20_000):
+            runs = [plain[i:min(i + 200, at + 20_000)] for i in range(at, min(at + 20_000, len(plain)), 200)]
+            for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+                ids = np.array(e.ids, f"<u{self.width}")
+                cuts = (np.flatnonzero(self.last[ids]) + 1) * self.width
+                if len(cuts) == len(run):
+                    raw, begin = ids.tobytes(), 0
+                    for w, end in zip(run, cuts.tolist()):
+                        self.words[w] = raw[begin:end]
+                        begin = end
+        rest = [w for w in words if w not in self.words]
+        for at in range(0, len(rest), 10_000):
+            part = rest[at:at + 10_000]
+            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.words[x] = self.pack(e.ids)
+
+    def _learn(self, wanted: set[str]) -> None:
+        """Room for ``wanted`` and the ids of those that are not known."""
+        missing = wanted - self.words.keys()
+        if len(self.words) + len(missing) > MAX_WORDS:
+            self.words.clear()
+            missing = wanted
+        self._encode_words(list(missing))
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of every text; the unknown words of all are learnt together."""
+        parted = [self._words(t) for t in texts]
+        self._learn(set().union(*parted))
+        get = self.words.__getitem__
+        return [b"".join(map(get, p)) for p in parted]
 
     def __call__(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[c] = self.pack(e.ids)
-        return b"".join([known[c] for c in chunks])
+        return self.batch([text])[0]
 
 
 def _encoder(name: str, spec: str) -> ChunkEncoder:
@@ -114,7 +181,8 @@ def encode_records(
         for b in batches:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(
-                    [frame(k.as_py(), encode(t.as_py() or "") + tail, encode.width) for k, t in zip(b.column(0), b.column(1))],
+                    [frame(k, ids + tail, encode.width) for k, ids in zip(
+                        b.column(0).to_pylist(), encode.batch([t or "" for t in b.column(1).to_pylist()]))],
                     pa.binary())],
                 names=["doc", "record"])
 
