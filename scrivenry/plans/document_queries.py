@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scrivenry import config as C
 from scrivenry.functions import text as X
 from scrivenry.operators import chunks as K
+from scrivenry.operators.locate import candidate_pairs
 from scrivenry.sources import pages as P
 from scrivenry.sources.tables import table
 
@@ -131,13 +132,16 @@ def run_stats(spark, d):
              (F.col("chunks") + F.when(F.col("chunks") > C.MAX_CONCEPTS, 1).otherwise(0)).alias("llm_calls"))
 
 
+def _pairs(spark, d):
+    """Texts and benchmark texts that may be located in them, both as they are and normalised."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), X.normal_excerpt(F.col("text")).alias("needle")).where("needle <> ''")
+    texts = docs(spark, d).select("doc_id", "text", X.normal_excerpt(F.col("text")).alias("hay"))
+    pairs = candidate_pairs(texts.select("doc_id", "hay"), items.select("item_id", "needle"))
+    return texts.join(pairs, "doc_id").join(items, "item_id")
+
+
 def _located(spark, d):
-    """Benchmark texts as a stated set of queries against all documents: the set is broadcast, its size checked."""
-    items = table(spark, d, "benchmark").select("item_id", X.normal_excerpt(F.col("text")).alias("needle")).where("needle <> ''")
-    if items.count() > 100_000:
-        raise ValueError("locate excerpts in batches of 100,000 at most")
-    hay = docs(spark, d).select("doc_id", X.normal_excerpt(F.col("text")).alias("hay"))
-    return hay.join(F.broadcast(items), F.expr("instr(hay, needle) > 0"))
+    return _pairs(spark, d).where(F.contains("hay", F.col("needle")))
 
 
 @query(f"""SELECT doc_id, item_id, CAST(instr(h, n) - 1 AS BIGINT) AS "start", CAST(instr(h, n) - 1 + length(n) AS BIGINT) AS "end"
@@ -167,11 +171,8 @@ def evidence_locatability(spark, d):
  FROM evidence JOIN chunked USING (doc_id) WHERE "start" < e AND s < "end" GROUP BY doc_id, item_id""")
 def chunk_of_evidence(spark, d):
     """Chunks that overlap a located span"""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle")).where("needle <> ''")
-    if items.count() > 100_000:
-        raise ValueError("locate excerpts in batches of 100,000 at most")
-    spans = docs(spark, d).join(F.broadcast(items), F.expr("instr(text, needle) > 0")).select(
-        "doc_id", "item_id", F.expr("instr(text, needle) - 1").alias("s"), F.expr("instr(text, needle) - 1 + length(needle)").alias("e"))
+    spans = _pairs(spark, d).where(F.contains("text", F.col("item"))).select(
+        "doc_id", "item_id", F.expr("instr(text, item) - 1").alias("s"), F.expr("instr(text, item) - 1 + length(item)").alias("e"))
     c = K.chunks(docs(spark, d), "doc_id").select("doc_id", "chunk_no", "start", "end")
     return (
         spans.join(c, "doc_id").where("start < e and s < end").groupBy("doc_id", "item_id")
