@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scrivenry.plans import document_queries, fixture_queries
+from scrivenry.plans import document_queries, fixture_queries, sink_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**document_queries.QUERIES, **fixture_queries.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**document_queries.QUERIES, **fixture_queries.QUERIES, **sink_queries.QUERIES}
 ORACLES: dict[str, str] = {**document_queries.ORACLES, **fixture_queries.ORACLES}
 
 
