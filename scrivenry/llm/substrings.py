@@ -113,10 +113,11 @@ def remove_repeats(
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    """One row for each document: units removed, spans as start:end:first doc_id, digest of what stays."""
+    """One row for each document: where its first repeat is kept (null: nothing goes), units removed, spans as
+    start:end:first doc_id, digest of what stays."""
     found = remove_repeats(docs.select("doc_id", "text"))
     return found.select(
-        "doc_id", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        "doc_id", F.get("spans", F.lit(0))["first_doc"].alias("first_doc_id"), "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]).cast("long")).alias("removed_chars"),
         F.array_join(F.transform("spans", lambda x: F.concat_ws(
             ":", x["start"].cast("string"), x["end"].cast("string"), F.coalesce(x["first_doc"].cast("string"), F.lit("")))), ",").alias("spans"),
@@ -150,10 +151,10 @@ pieces AS (
   GROUP BY r, run HAVING sum(len(w)) >= 8
 ), found AS (
   SELECT r, sum(n) AS n_removed, count(*) AS n_spans, sum(e - s) AS removed_chars,
-         string_agg(s || ':' || e || ':' || first_doc, ',' ORDER BY s) AS spans, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es
+         string_agg(s || ':' || e || ':' || first_doc, ',' ORDER BY s) AS spans, arg_min(first_doc, s) AS first_doc_id, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es
   FROM runs GROUP BY r
 )
-SELECT doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+SELECT doc_id, first_doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
        CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars, coalesce(spans, '') AS spans,
        sha256(CASE WHEN ss IS NULL THEN text ELSE
          array_to_string(list_transform(range(1, len(ss) + 2), lambda i:
