@@ -212,7 +212,7 @@ def write_token_files(
         F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < F.col("doc"))), F.lit(0))
     placed = records.withColumn("shard", F.when(F.col("doc").isNull(), F.lit(0)).otherwise(shard))
     (
-        placed.repartition(max(len(cuts) + 1, 1), "shard")
+        placed.repartitionById(len(cuts) + 1, F.col("shard"))
         .sortWithinPartitions("shard", F.col("doc").asc_nulls_first(), F.xxhash64("record"))
         .select("shard", F.col("record").cast("string").alias("value"))
         .write.partitionBy("shard").text(f"{path}/data")
