@@ -16,7 +16,7 @@ from scrivenry.llm.batches import bound_batches
 
 #: Text bytes after which a task closes a block of documents.
 BLOCK_BYTES = 24 << 20
-#: Hash parts that the distinct words of a block are dealt to.
+#: Hash parts, at least, that the distinct words of a block are dealt to; twice the shuffle partitions, where those are many.
 PARTS = 256
 _CACHE: dict[str, object] = {}
 
@@ -64,7 +64,7 @@ def unpack(data: bytes) -> tuple[list[bytes], np.ndarray]:
     return [raw[e - k:e] for e, k in zip(ends.tolist(), lens.tolist())], numbers
 
 
-def _explode(src: DataFrame, pattern: str, kind: str) -> DataFrame:
+def _explode(src: DataFrame, pattern: str, kind: str, n_parts: int) -> DataFrame:
     """Pre-tokens of every text with their positions, as blocks of rows.
 
     A block's distinct words are numbered; a document is the sequence of its words' numbers, so the
@@ -85,10 +85,10 @@ def _explode(src: DataFrame, pattern: str, kind: str) -> DataFrame:
 
         def close():
             words = [w.encode("utf-8", "surrogatepass") for w in vocabulary]
-            parts = np.fromiter((zlib.crc32(w) % PARTS for w in words), np.int32, len(words))
+            parts = np.fromiter((zlib.crc32(w) % n_parts for w in words), np.int32, len(words))
             order = np.argsort(parts, kind="stable")
-            cuts = np.searchsorted(parts[order], np.arange(PARTS + 1))
-            used = [p for p in range(PARTS) if cuts[p] < cuts[p + 1]]
+            cuts = np.searchsorted(parts[order], np.arange(n_parts + 1))
+            used = [p for p in range(n_parts) if cuts[p] < cuts[p + 1]]
             data = [
                 pack([words[i] for i in order[cuts[p]:cuts[p + 1]]], order[cuts[p]:cuts[p + 1]]) for p in used
             ]
@@ -134,7 +134,7 @@ def encode(
     kind = src.schema["doc"].dataType.simpleString()
     table = f"bpe_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _explode(src, pattern, kind).write.format("parquet").option("compression", "zstd").bucketBy(
+    _explode(src, pattern, kind, max(PARTS, 2 * buckets)).write.format("parquet").option("compression", "zstd").bucketBy(
         buckets, "block").saveAsTable(table)
     shared = spark.sparkContext.broadcast(ranks)
     name = hashlib.sha256(repr((ranks[:9], ranks[-9:], len(ranks), pattern)).encode()).hexdigest()

@@ -166,28 +166,33 @@ def _encoder(name: str, spec: str) -> ChunkEncoder:
 
 
 def encode_records(
-    docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text",
+    cuts: list[int] | None = None,
 ) -> DataFrame:
-    """(doc, record): each row's framed ids with ``end_id`` appended. Null texts are empty."""
+    """(doc, shard, record): each row's framed ids with ``end_id`` appended. Null texts are empty.
+
+    The shard is the number of ``cuts`` below the key, 0 for null keys.
+    """
     bound_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     name = hashlib.sha256(spec.encode()).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    shared = docs.sparkSession.sparkContext.broadcast((spec, np.array(cuts or [], np.int64)))
 
     def run(batches):
-        encode = _encoder(name, shared.value)
+        spec, bounds = shared.value
+        encode = _encoder(name, spec)
         tail = b"" if end_id is None else encode.pack([end_id])
         for b in batches:
+            keys = b.column(0).to_pylist()
+            records = [frame(k, ids + tail, encode.width) for k, ids in zip(
+                keys, encode.batch([t or "" for t in b.column(1).to_pylist()]))]
+            shards = np.searchsorted(bounds, np.array([-(2**63) if k is None else k for k in keys], np.int64), "left")
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(
-                    [frame(k, ids + tail, encode.width) for k, ids in zip(
-                        b.column(0).to_pylist(), encode.batch([t or "" for t in b.column(1).to_pylist()]))],
-                    pa.binary())],
-                names=["doc", "record"])
+                [b.column(0), pa.array(shards.astype(np.int32)), pa.array(records, pa.binary())], names=["doc", "shard", "record"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc bigint, record binary")
+        run, "doc bigint, shard int, record binary")
 
 
 def write_token_files(
@@ -207,10 +212,7 @@ def write_token_files(
     cuts = docs.agg(F.percentile_approx(
         F.col(id_col).cast("bigint"), [i / n for i in range(1, n)] or [0.5], 100 * n).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts)) if n > 1 else []
-    records = encode_records(docs, tokenizer_path, end_id, id_col, text_col)
-    shard = F.coalesce(
-        F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < F.col("doc"))), F.lit(0))
-    placed = records.withColumn("shard", F.when(F.col("doc").isNull(), F.lit(0)).otherwise(shard))
+    placed = encode_records(docs, tokenizer_path, end_id, id_col, text_col, cuts)
     (
         placed.repartitionById(len(cuts) + 1, F.col("shard"))
         .sortWithinPartitions("shard", F.col("doc").asc_nulls_first(), F.xxhash64("record"))
