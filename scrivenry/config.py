@@ -12,6 +12,8 @@ LOW_TEXT_CHARS = 200  # ours
 DOMINANCE = 0.5  # ours: share of candidates that may be source entities
 NOISE_SYMBOL_SHARE = 0.05  # ours
 TABLE_DIGIT_SHARE = 0.5  # ours
+MAX_OUTPUT_TOKENS = 1024  # for providers that talk to a model
+TIMEOUT_S = 300
 KEEP_ALIVE_MAX_S = 3600
 LOOPBACK = ("localhost", "127.0.0.1", "[::1]", "::1")
 
@@ -33,5 +35,5 @@ COVERING_ROLES = ("mechanism", "component")
 GENERIC_TITLES = ("method", "model", "system", "framework", "approach", "results", "introduction")  # ours
 EXTRA_SUFFIX = "... (+{n} more)"
 OMISSION = "> [... omitted from AI extraction"
-WIKI_DIR = "30_Resources/AI-Wiki"
+WIKI_DIR = "Library/Concepts"  # the only folder that machines write to; name is ours
 EXITS = {"ok": 0, "unexpected": 2, "ocr": 3, "llm": 4, "technical": 5, "quality": 6}

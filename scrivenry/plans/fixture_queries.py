@@ -479,6 +479,6 @@ def proposals(spark, d):
 @query(with_values("notes") + f""" SELECT path, CASE WHEN starts_with(path, '{C.WIKI_DIR}/') THEN true ELSE false END AS can_write FROM notes""")
 def ownership_zones(spark, d):
     """Write zones by path prefix; no zone, no write"""
-    zones = spark.createDataFrame([(C.WIKI_DIR + "/", True), ("30_Resources/Sources/", False), ("30_Resources/Knowledge/", False)], "prefix string, can_write boolean")
+    zones = spark.createDataFrame([(C.WIKI_DIR + "/", True), ("Library/Sources/", False), ("Library/Knowledge/", False)], "prefix string, can_write boolean")
     n = frame(spark, "notes").select("path")
     return n.join(F.broadcast(zones), F.startswith(F.col("path"), F.col("prefix")), "left").groupBy("path").agg(F.coalesce(F.bool_or("can_write"), F.lit(False)).alias("can_write"))

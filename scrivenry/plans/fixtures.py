@@ -55,13 +55,13 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         (1, 3, 320, 400, "### 3.5 Size Rule\nSizes rule."), (2, 1, 0, 150, "### Gate\nA gate opens."), (2, 2, 150, 260, "and closes."),
     ]),
     "notes": ("path string, title string, origin string, type string, human_verified string, sources string, body string", [
-        ("30_Resources/AI-Wiki/Note Folding.md", "Note Folding", "ai", "concept", "false", "[[S One]]", "Related to [[Gate]] and [[Missing Thing|it]]."),
-        ("30_Resources/AI-Wiki/Gate.md", "Gate", "ai", "concept", "true", "[[S Two]]", "See [[Note Folding]]."),
-        ("30_Resources/AI-Wiki/sub/Deep.md", "Deep", "ai", "concept", "false", "[[S Three]]", ""),
-        ("30_Resources/Knowledge/Warm Start.md", "Warm Start", "me", "concept", "false", "[[S One]]", ""),
-        ("30_Resources/AI-Wiki/Model.md", "Model", "ai", "concept", "maybe", "[[S One]]", ""),
-        ("30_Resources/AI-Wiki/Link Finding.md", "Link Finding", "ai", "concept", "false", "[[S One]]", ""),
-        ("30_Resources/AI-Wiki/Link-finding.md", "Link-Finding", "ai", "concept", "false", "[[S Two]]", ""),
+        ("Library/Concepts/Note Folding.md", "Note Folding", "ai", "concept", "false", "[[S One]]", "Related to [[Gate]] and [[Missing Thing|it]]."),
+        ("Library/Concepts/Gate.md", "Gate", "ai", "concept", "true", "[[S Two]]", "See [[Note Folding]]."),
+        ("Library/Concepts/sub/Deep.md", "Deep", "ai", "concept", "false", "[[S Three]]", ""),
+        ("Library/Knowledge/Warm Start.md", "Warm Start", "me", "concept", "false", "[[S One]]", ""),
+        ("Library/Concepts/Model.md", "Model", "ai", "concept", "maybe", "[[S One]]", ""),
+        ("Library/Concepts/Link Finding.md", "Link Finding", "ai", "concept", "false", "[[S One]]", ""),
+        ("Library/Concepts/Link-finding.md", "Link-Finding", "ai", "concept", "false", "[[S Two]]", ""),
     ]),
     "sources": ("title string", [("S One",), ("S Two",)]),
     "frontmatter": ("id bigint, type string, origin string, knowledge_status string, domain string, created string, source_url string, source_file string, human_verified string", [
@@ -80,17 +80,17 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
     ]),
     "curator": ("source_id bigint, title string", [(1, "Note Folding"), (1, "Link Finding"), (1, "New Idea"), (2, "Gate")]),
     "plans": ("plan_id bigint, digest string, found_digest string, version bigint, source_hash string, found_hash string, path string, action string, base string, found_base string, owner string, spent boolean", [
-        (1, "d", "d", 6, "s", "s", "30_Resources/AI-Wiki/A.md", "create", None, None, None, False),
-        (2, "d", "x", 6, "s", "s", "30_Resources/AI-Wiki/A.md", "create", None, None, None, False),
-        (3, "d", "d", 5, "s", "s", "30_Resources/AI-Wiki/A.md", "create", None, None, None, False),
-        (4, "d", "d", 6, "s", "t", "30_Resources/AI-Wiki/A.md", "create", None, None, None, False),
-        (5, "d", "d", 6, "s", "s", "30_Resources/AI-Wiki/x/A.md", "create", None, None, None, False),
-        (6, "d", "d", 6, "s", "s", "30_Resources/AI-Wiki/A.md", "create", None, "b", "ai", False),
-        (7, "d", "d", 6, "s", "s", "30_Resources/AI-Wiki/A.md", "update", "b", "b", "ai", False),
-        (8, "d", "d", 6, "s", "s", "30_Resources/AI-Wiki/A.md", "update", "b", "c", "ai", False),
-        (9, "d", "d", 6, "s", "s", "30_Resources/AI-Wiki/A.md", "update", "b", "b", "me", False),
-        (10, "d", "d", 6, "s", "s", "30_Resources/AI-Wiki/A.md", "create", None, None, None, True),
-        (11, "d", "d", 6, "s", None, "30_Resources/AI-Wiki/A.md", "create", None, None, None, False),
+        (1, "d", "d", 6, "s", "s", "Library/Concepts/A.md", "create", None, None, None, False),
+        (2, "d", "x", 6, "s", "s", "Library/Concepts/A.md", "create", None, None, None, False),
+        (3, "d", "d", 5, "s", "s", "Library/Concepts/A.md", "create", None, None, None, False),
+        (4, "d", "d", 6, "s", "t", "Library/Concepts/A.md", "create", None, None, None, False),
+        (5, "d", "d", 6, "s", "s", "Library/Concepts/x/A.md", "create", None, None, None, False),
+        (6, "d", "d", 6, "s", "s", "Library/Concepts/A.md", "create", None, "b", "ai", False),
+        (7, "d", "d", 6, "s", "s", "Library/Concepts/A.md", "update", "b", "b", "ai", False),
+        (8, "d", "d", 6, "s", "s", "Library/Concepts/A.md", "update", "b", "c", "ai", False),
+        (9, "d", "d", 6, "s", "s", "Library/Concepts/A.md", "update", "b", "b", "me", False),
+        (10, "d", "d", 6, "s", "s", "Library/Concepts/A.md", "create", None, None, None, True),
+        (11, "d", "d", 6, "s", None, "Library/Concepts/A.md", "create", None, None, None, False),
     ]),
     "old_sources": ("source_id bigint, content string, extra string, highlights string, related string", [
         (1, "old one", "shelf=3", "my mark", "[[Gate]]"), (2, "same", "", "", ""), (4, "gone", "", "h", ""),
