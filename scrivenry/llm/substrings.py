@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -18,6 +19,8 @@ UNIT = re.compile(r"\n|[^\n.!?]*[.!?]+|[^\n.!?]+")
 UNIT_WORDS = 5
 #: Words that the repeated units of a run need together for the run to go.
 RUN_WORDS = 8
+#: White space at the ends of a line; a line of nothing else is empty.
+BLANK = " \t\r\v\f"
 
 
 def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -86,14 +89,101 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end", "first_doc"))).alias("spans"))
 
 
+def line_units(text: str) -> list[tuple[int, int, int, int, bool, str]]:
+    """(at, start, end, words, line, normal form) of every non-empty line and every sentence with words.
+
+    ``at`` counts the sentences of the text and is -1 for units that are none: lines of several sentences
+    and lines without words, whose normal form is what stands between their white space. A line in which
+    only one sentence has words is one unit, line and sentence at once.
+    """
+    out, at, start = [], 0, 0
+    for line in text.split("\n"):
+        end = start + len(line)
+        bare = line.strip(BLANK)
+        if bare:
+            parts = [(m.start(), m.end(), w) for m in UNIT.finditer(line) if (w := normal_words(m[0]))]
+            if len(parts) == 1:
+                parts = [(0, len(line), parts[0][2])]
+            else:
+                words = [w for p in parts for w in p[2]]
+                out.append((-1, start, end, len(words), True, " ".join(words) or bare))
+            for a, b, words in parts:
+                out.append((at, start + a, start + b, len(words), len(parts) == 1, " ".join(words)))
+                at += 1
+        start = end + 1
+    return out
+
+
+def _line_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, tkey, at, start, end, words, line, digest) of ``line_units``."""
+    bound_batches(docs.sparkSession)
+    src = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
+    kind = src.schema["doc"].dataType.simpleString()
+
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            own, cols = [], ([], [], [], [], [], [])
+            for row, t in enumerate(b.column(2)):
+                for *unit, form in line_units(t.as_py() or ""):
+                    own.append(row)
+                    for c, x in zip(cols, (*unit, xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass")))):
+                        c.append(x)
+            take = pa.array(own, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), *(pa.array(c, pa.int32()) for c in cols[:4]),
+                 pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.binary())],
+                names=["doc", "tkey", "at", "start", "end", "words", "line", "digest"])
+
+    return src.mapInArrow(run, f"doc {kind}, tkey bigint, at int, start int, end int, words int, line boolean, digest binary")
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+    """(doc, tkey, n_removed, spans) as ``repeated_spans``, with no least length for lines and units.
+
+    Every later occurrence of a non-empty line goes, whatever its words. Of sentences, repeats of any length
+    that follow each other form a run, and runs of ``run_words`` words or more go too. Spans that overlap
+    are one. The plan is that of ``repeated_spans``.
+    """
+    units = _line_units(docs, id_col, text_col)
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "tkey", "start")
+    first = materialise(
+        units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .where("first <> last").select("digest", "first"), "first-lines")
+    again = units.join(first.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).where(place != F.col("first"))
+    text, sentence = ("doc", "tkey"), F.col("at") >= 0
+    own = Window.partitionBy(*text, sentence).orderBy("at")
+    before = Window.partitionBy(*text).orderBy("start", "end")
+    runs = (
+        again.repartition(*text)
+        .groupBy(*text, "start", "end").agg(*[F.min(c).alias(c) for c in ("at", "words", "line")], F.min("first.doc").alias("first_doc"))
+        .withColumn("run", F.when(sentence, F.col("at") - F.row_number().over(own)))
+        .withColumn("long", sentence & (F.sum("words").over(Window.partitionBy(*text, "run")) >= run_words))
+        .where("long or line")
+        .groupBy(*text, "long", F.when(F.col("long"), F.col("run")).otherwise(F.col("start")).alias("part")).agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), F.min_by("first_doc", "start").alias("first_doc"))
+    )
+    merged = (
+        runs.withColumn("reach", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("span", F.count_if(F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*text, "span").agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.min_by("first_doc", F.struct("start", "end")).alias("first_doc"))
+    )
+    return merged.groupBy(*text).agg(
+        F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end", "first_doc"))).alias("spans"))
+
+
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "kept_text", run_words: int = RUN_WORDS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "kept_text", run_words: int = RUN_WORDS,
+    find: Callable[..., DataFrame] = repeated_spans,
 ) -> DataFrame:
     """``docs`` with ``out`` (the text without its repeated spans; null stays null), ``n_removed`` and ``spans``.
 
-    Spans keep their offsets in the original text. Columns of these names are replaced.
+    ``find`` is ``repeated_spans`` or ``repeated_lines``. Spans keep their offsets in the original text.
+    Columns of these names are replaced.
     """
-    spans = repeated_spans(docs, id_col, text_col, run_words).select(
+    spans = find(docs, id_col, text_col, run_words).select(
         F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), F.col("n_removed").alias("__n"), F.col("spans").alias("__s"))
     src = docs.drop(out, "n_removed", "spans").withColumn("__key", F.xxhash64(text_col))
     found = src.join(spans, (src["__key"] == spans["__tkey"]) & src[id_col].eqNullSafe(spans["__doc"]), "left")
@@ -112,10 +202,10 @@ def remove_repeats(
     )
 
 
-def op2(docs: DataFrame) -> DataFrame:
+def op2(docs: DataFrame, find: Callable[..., DataFrame] = repeated_spans) -> DataFrame:
     """One row for each document: where its first repeat is kept (null: nothing goes), units removed, spans as
     start:end:first doc_id, digest of what stays."""
-    found = remove_repeats(docs.select("doc_id", "text"))
+    found = remove_repeats(docs.select("doc_id", "text"), find=find)
     return found.select(
         "doc_id", F.get("spans", F.lit(0))["first_doc"].alias("first_doc_id"), "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]).cast("long")).alias("removed_chars"),

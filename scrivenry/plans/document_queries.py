@@ -333,3 +333,10 @@ def conversation_notes(spark, d):
 def report_escape(spark, d):
     """A report line keeps what the console can show"""
     return docs(spark, d).where(~F.contains("text", F.lit("\n"))).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("line"))
+
+
+@query(r"""SELECT doc_id, replace(replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g'), chr(13), '\r'), chr(10), '\n') AS line FROM documents""")
+def report_escape_all(spark, d):
+    """Every document as one report line, line ends escaped; a null text is an empty line"""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?")
+    return docs(spark, d).select("doc_id", F.replace(F.replace(plain, F.lit("\r"), F.lit(r"\r")), F.lit("\n"), F.lit(r"\n")).alias("line"))

@@ -72,6 +72,44 @@ def test_substrings(spark, odd, empty):
     assert substrings.op2(odd).count() == 10 and substrings.op2(empty).count() == 0
 
 
+def brute_lines(texts):
+    """{doc: (spans, kept text)} where every later line and every run of 8 repeated words goes."""
+    first, found = {}, {}
+    for doc, t in sorted(texts.items()):
+        at, hot, sents = 0, set(), []
+        for line in t.split("\n"):
+            units = [(m.start(), m.end(), tuple(WORD.findall(lower(m[0])))) for m in substrings.UNIT.finditer(line)]
+            units = [u for u in units if u[2]]
+            form = tuple(WORD.findall(lower(line))) or line.strip(" \t\r\v\f")
+            if form and first.setdefault(form, (doc, at)) != (doc, at):
+                hot.add((at, at + len(line)))
+            for a, b, w in [(0, len(line), form)] if len(units) == 1 else units:
+                sents.append((at + a, at + b, len(w), first.setdefault(w, (doc, at + a)) != (doc, at + a)))
+            at += len(line) + 1
+        run = []
+        for s in [*sents, (0, 0, 0, False)]:
+            if s[3]:
+                run.append(s)
+                continue
+            if sum(x[2] for x in run) >= 8:
+                hot.add((run[0][0], run[-1][1]))
+            run = []
+        gone = set().union(*(range(a, b) for a, b in hot))
+        found[doc] = "".join(c for i, c in enumerate(t) if i not in gone)
+    return found
+
+
+def test_lines_of_any_length_go(spark, sample, odd, empty):
+    lic, hot = "Released under the MIT license", "The and attion to thanedble the, anea. Eriner thanea."
+    docs = spark.createDataFrame([(1, f"{lic}\n{hot}\n***\nYes."), (2, f"Alpha one\n{lic}\nBeta two\n{hot}\n***\nyes\n\nGamma yes. End"), (3, "Go on. Now. So it is. Then we go. Home again. Tail"), (4, "Go on. Now. So it is. Then we go. Home again. Head")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in rows(substrings.remove_repeats(docs, find=substrings.repeated_lines))}
+    assert got[2]["kept_text"] == "Alpha one\n\nBeta two\n\n\nGamma yes. End" and got[2]["n_removed"] >= 4
+    assert got[4]["kept_text"] == " Head" and {s["first_doc"] for s in got[4]["spans"]} == {3} and got[1]["n_removed"] == 0
+    want = brute_lines({r["doc_id"]: r["text"] for r in sample.collect()})
+    assert want == {r["doc_id"]: r["kept_text"] for r in rows(substrings.remove_repeats(sample, find=substrings.repeated_lines))}
+    assert substrings.op2(odd, substrings.repeated_lines).count() == 10 and substrings.op2(empty, substrings.repeated_lines).count() == 0
+
+
 # 3
 def test_bpe(spark, sample, odd, empty):
     import public_tokenizers
