@@ -31,11 +31,11 @@ def note_scan(spark, d):
 
 
 def ingest_files(spark, d):
-    """Whole files through an extractor; those with little text are refused"""
-    path = _path(spark, "files")
-    table(spark, d, "documents").select("doc_id", F.col("text").alias("value")).where("text is not null").repartition(8, "doc_id").select("value").write.text(f"{path}/in")
-    found = M.ingest(spark, f"{path}/in/*.txt")
-    return found.select("extraction_method", "exit_code", X.sha256(F.col("content")).alias("content_sha256"))
+    """Every document as a file through an extractor; those with little text are refused, null is empty"""
+    # a file is a row of path and bytes, so no file holds more than one document
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    found = M.extract(files)
+    return found.select(F.col("source_file").cast("bigint").alias("doc_id"), "extraction_method", "exit_code", X.sha256(F.col("content")).alias("content_sha256"))
 
 
 def provider_extract(spark, d):

@@ -69,13 +69,18 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {"plain": plain_extractor, "pypd
 
 def ingest(spark: SparkSession, path: str, method: str = "plain") -> DataFrame:
     """(source_file, extraction_method, content, exit_code): low text is refused with code 3, content null."""
+    return extract(spark.read.format("binaryFile").load(path).select("path", "content"), method)
+
+
+def extract(files: DataFrame, method: str = "plain") -> DataFrame:
+    """``ingest`` of (path, content) rows, wherever the bytes come from."""
     extractor = EXTRACTORS[method]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             yield pd.DataFrame({"source_file": p["path"], "content": [extractor(c) for c in p["content"]]})
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source_file string, content string")
+    raw = files.select("path", "content").mapInPandas(run, "source_file string, content string")
     low = F.length(F.trim("content")) < C.LOW_TEXT_CHARS
     return raw.select("source_file", F.lit(method).alias("extraction_method"), F.when(~low, X.escape_angle(F.col("content"))).alias("content"),
                       F.when(low, C.EXITS["ocr"]).otherwise(C.EXITS["ok"]).alias("exit_code"))

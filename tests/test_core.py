@@ -134,6 +134,18 @@ def test_ingest_and_cli(spark, sf, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "o")).count() > 0
 
 
+def test_every_document_is_ingested(spark, tmp_path):
+    import hashlib
+
+    from scrivenry.plans import sink_queries
+
+    long = "k < n and " * 30
+    spark.createDataFrame([(1, long), (2, "short"), (3, None), (None, long)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["exit_code"], r["content_sha256"]) for r in sink_queries.ingest_files(spark, str(tmp_path)).collect()}
+    digest = hashlib.sha256(long.replace("<", "&lt;").encode()).hexdigest()
+    assert got == {1: (0, digest), 2: (3, None), 3: (3, None), None: (0, digest)}
+
+
 def test_stream_skips_what_it_has_seen(spark, sf, tmp_path):
     from scrivenry.streaming.incremental import changed_sources
 
