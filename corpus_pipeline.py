@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from scrivenry.llm import bpe, decontaminate, quality, secrets, simhash
 from scrivenry.sources.tables import materialise, table
 
-#: SimHash of the near-duplicate stage: 5-word shingles, 512 bits. Two sets of Jaccard similarity
-#: 0.8 differ in about 77 bits (spread 8), of 0.7 in about 98, unrelated texts in about 256 (spread 11).
-NEAR = {"shingle": 5, "words": 8, "radius": 88, "n_anchors": 6}
+#: Near-duplicate stage: sets of 5-word shingles of an exact Jaccard similarity of 0.8. The SimHash of 512 bits
+#: only finds candidates: two sets of similarity 0.8 differ in about 77 bits (spread 8; up to about 96 where
+#: sets are tiny), unrelated texts in about 256 (spread 11).
+NEAR = {"shingle": 5, "words": 8, "radius": 144, "n_anchors": 8, "similarity": 0.8}
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +24,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
+    """The first document of each group of near-duplicates of similarity 0.8 or more."""
     return simhash.keep_one(docs, **NEAR)
 
 

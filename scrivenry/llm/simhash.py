@@ -14,6 +14,8 @@ from scrivenry.sources.tables import materialise
 
 #: A shard with more fingerprints than this is cut into blocks; trees of blocks meet pairwise.
 BLOCK = 4096
+#: A class of candidates with more nodes, or more shingles in all, is cut into blocks likewise.
+VERIFY_BLOCK, VERIFY_SHINGLES = 1024, 4_000_000
 #: Hashes turned into bit counts at once.
 CHUNK = 8192
 
@@ -107,32 +109,46 @@ def anchors(hashes, n: int):
         return [0] * n
     out = []
     for i in range(n):
-        h = hashes * np.uint64((0xD6E8FEB86659FD93 * (2 * i + 3)) % 2**64)
+        # mixed twice: products by small multiples of one number are small together, and so are their minima
+        h = hashes ^ np.uint64((0xD6E8FEB86659FD93 * (2 * i + 3)) % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         out.append(int((h ^ (h >> np.uint64(31))).min()) & (2**63 - 1))
     return out
 
 
 def fingerprints(
-    docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int, n_anchors: int
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int, n_anchors: int, sets: bool = False
 ) -> DataFrame:
-    """(doc, fp binary, anchors array<bigint>) for every row; the text never leaves its task."""
+    """(doc, fp binary, anchors array<bigint>) for every row; the text never leaves its task.
+
+    With ``sets`` the fingerprint is of the set of shingles, however often each occurs, and ``node``
+    (128-bit digest of the set) and ``n`` (its size) are added.
+    """
     bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
 
     def run(batches):
+        import numpy as np
+        import xxhash
+
         for b in batches:
-            fps, anc = [], []
+            fps, anc, nodes, sizes = [], [], [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py(), shingle)
+                if sets:
+                    h = np.unique(h)
+                    nodes.append(xxhash.xxh3_128_digest(h.tobytes()))
+                    sizes.append(len(h))
                 fps.append(fingerprint(h, words))
                 anc.append(anchors(h, n_anchors))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(fps, pa.binary()), pa.array(anc, pa.list_(pa.int64()))],
-                names=["doc", "fp", "anchors"],
-            )
+            cols = [b.column(0), pa.array(fps, pa.binary()), pa.array(anc, pa.list_(pa.int64()))]
+            if sets:
+                cols += [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "fp", "anchors", "node", "n"][:len(cols)])
 
-    return src.mapInArrow(run, f"doc {kind}, fp binary, anchors array<bigint>")
+    return src.mapInArrow(run, f"doc {kind}, fp binary, anchors array<bigint>" + (", node binary, n bigint" if sets else ""))
 
 
 def _band_keys(fp: Column, radius: int) -> Column:
@@ -234,9 +250,110 @@ def near_links(routed: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     )
 
 
+def _shingle_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``members`` (doc, key, blocks, side, fp, node) with ``set``: the sorted hashes of the shingles as bytes."""
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    src = members.join(texts, members["doc"].eqNullSafe(texts["__id"])).select("key", "blocks", "side", "fp", "node", "text")
+
+    def run(batches):
+        import numpy as np
+        import xxhash
+
+        for b in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column(5)]
+            # rows may share an id; only a row with the node's own set stands for it
+            own = pa.array([xxhash.xxh3_128_digest(x) == n.as_py() for x, n in zip(found, b.column(4))], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:5], pa.array(found, pa.binary())], names=["key", "blocks", "side", "fp", "node", "set"]).filter(own)
+
+    return src.mapInArrow(run, "key binary, blocks int, side int, fp binary, node binary, set binary")
+
+
+def _verify_blocks(similarity: float, radius: int):
+    """Groups (key, i, j) in sorted rows -> links (a, b) of nodes that span those of ``similarity`` or more."""
+
+    def group(left: dict, right: dict, out: list[tuple[bytes, bytes]]) -> None:
+        import numpy as np
+
+        parent: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        earlier = list(left.items()) if right else []
+        for x, (fx, sx) in (right or left).items():
+            for y, (fy, sy) in earlier:
+                small, large = sorted((len(sx), len(sy)))
+                if small < similarity * large - 1 or (fx ^ fy).bit_count() > radius:
+                    continue
+                a, b = root(x), root(y)
+                if a == b:
+                    continue
+                both = np.concatenate((sx, sy))
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if shared and shared / (len(both) - shared) >= similarity:
+                    parent[a] = b
+                    out.append((x, y))
+            if not right:
+                earlier.append((x, (fx, sx)))
+
+    def run(batches):
+        import numpy as np
+
+        here = None
+        left: dict = {}
+        right: dict = {}
+        out: list[tuple[bytes, bytes]] = []
+
+        def close() -> None:
+            if here is not None and left and (right or here[1] == here[2]):
+                group(left, right, out)
+
+        for b in batches:
+            for key, i, j, side, fp, node, hashes in zip(*(c.to_pylist() for c in b.columns)):
+                if here != (key, i, j):
+                    close()
+                    here, left, right = (key, i, j), {}, {}
+                (left if side == i else right)[node] = (int.from_bytes(fp), np.frombuffer(hashes, np.uint64))
+            if len(out) >= 10_000:
+                yield _pairs(out)
+                out.clear()
+        close()
+        yield _pairs(out)
+
+    return run
+
+
+def verified_links(
+    docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, radius: int,
+    block: int = VERIFY_BLOCK, weight: int = VERIFY_SHINGLES,
+) -> DataFrame:
+    """Links (a, b) that join all nodes of a class within ``radius`` whose sets have a Jaccard similarity of ``similarity``.
+
+    ``nodes`` has (doc, node, fp, n, class). Only the sets of classes of several nodes are made, one for
+    each node, and compared exactly (64-bit hashes stand for shingles). A class of more than ``block``
+    nodes or ``weight`` shingles is cut into blocks that meet pairwise, so no pair of it is left out.
+    """
+    big = nodes.groupBy("class").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).where("m > 1").select(
+        F.col("class").alias("key"), F.ceil(F.greatest(F.col("m") / block, F.col("w") / weight)).cast("int").alias("blocks"))
+    members = nodes.join(big, nodes["class"] == big["key"]).select(
+        "doc", "key", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("side"), "fp", "node")
+    sets = _shingle_sets(docs, members, id_col, text_col, shingle)
+    dealt = sets.select("key", "side", "fp", "node", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return (
+        dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "fp", "node", "set")
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        .mapInArrow(_verify_blocks(similarity, radius), "a binary, b binary")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1,
-    radius: int = 2, n_anchors: int = 0,
+    radius: int = 2, n_anchors: int = 0, similarity: float | None = None,
 ) -> DataFrame:
     """(doc, fp, component): one row for each input row; component is the smallest id reachable.
 
@@ -244,17 +361,21 @@ def near_duplicates(
     of 64 * ``words`` bits. Equal fingerprints are one node, so copies cost nothing. Without anchors
     (64 bits) shards are bands of the fingerprint and no link is lost. With ``n_anchors`` min-wise
     shingles, shards are pairs of them, for radii where bands are too short: two documents of
-    similarity s miss each other when fewer than two anchors agree (0.2 % at 0.8 and 6 anchors).
+    similarity s miss each other when fewer than two anchors agree (0.01 % at 0.8 and 8 anchors).
     Trees grow with the corpus, so they are not broadcast whole: each shard's tree meets only the
     fingerprints routed to it.
 
+    With ``similarity`` the classes so found are only candidates: fingerprints are of sets of shingles, and
+    within a class two documents link only where the exact Jaccard similarity of their sets is that high.
+
     Texts without words (null, empty) have fingerprint zero and link like any other. A null id
     counts as a document but never names a component unless nothing else does. Repeated rows come
     back as often as they came in; an empty table gives no rows; other columns are not looked at.
     """
     if not n_anchors and words != 1:
         raise ValueError("bands cut a fingerprint of 64 bits")
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle, words, n_anchors), "fingerprints")
+    exact = similarity is not None
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle, words, n_anchors, exact), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc").alias("doc"))
     if n_anchors:
         routed = prints.select(F.explode(_anchor_keys(F.col("anchors"), n_anchors)).alias("key"), "fp").distinct()
@@ -264,6 +385,16 @@ def near_duplicates(
     joined = connected_components(links)
     classes = nodes.join(joined, nodes["fp"] == joined["node"], "left").select(
         "fp", "doc", F.coalesce("component", "fp").alias("class"))
+    if exact:
+        own = prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("doc", "fp", "n")])
+        members = materialise(own.join(classes.select("fp", "class"), "fp").select("doc", "node", "fp", "n", "class"), "candidates")
+        links = materialise(verified_links(docs, members, id_col, text_col, shingle, similarity, radius), "verified")
+        joined = connected_components(links).withColumnRenamed("node", "at")
+        classes = members.join(joined, members["node"] == joined["at"], "left").select(
+            "node", "doc", F.coalesce("component", "node").alias("class"))
+        least = classes.groupBy("class").agg(F.min("doc").alias("component"))
+        named = classes.select("node", "class").join(least, "class").select("node", "component")
+        return prints.select("doc", "fp", "node").join(named, "node").select("doc", "fp", "component")
     least = classes.groupBy("class").agg(F.min("doc").alias("component"))
     named = classes.select("fp", "class").join(least, "class").select("fp", "component")
     return prints.select("doc", "fp").join(named, "fp")

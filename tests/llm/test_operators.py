@@ -372,6 +372,52 @@ def test_near_duplicates_of_long_texts(spark, odd):
     assert sorted(str(r["doc_id"]) for r in kept) == sorted(["None", "1", "3", "4", "6", "7"]) and kept[0].__fields__ == odd.columns
 
 
+def test_near_duplicates_have_the_similarity(spark):
+    """Against all pairs at 0.8: long texts just above and below, tiny ones, and a line that dominates."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    docs = []
+    for _ in range(40):
+        w = [f"w{x}" for x in rng.integers(1 << 30, size=260)]
+        docs.append(" ".join(w))
+        for cut in (24, 26, 28, 30, 33, 40):  # about 0.82 to 0.70
+            docs.append(" ".join(w[:-cut] + [f"v{x}" for x in rng.integers(1 << 30, size=cut)]))
+    docs += [" ".join(f"t{i}x{k}" for k in range(n)) for i in range(20) for n in (8, 9)]  # 4 and 5 shingles: exactly 0.8
+    line = " ".join(f"same{k}" for k in range(12)) + " "
+    docs += [line * 60 + " ".join(f"own{i}x{k}" for k in range(100)) for i in range(6)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in docs]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    found = {r["doc"]: r["component"] for r in simhash.near_duplicates(df, **corpus_pipeline.NEAR).collect()}
+    wrong = [i for i in found if found[i] != find(i)]
+    assert len(found) == len(docs) and wrong == []
+
+
+def test_verified_links_of_blocks(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"a{k}" for k in range(200)) + f" end{i}") for i in range(60)], "doc_id bigint, text string")
+    p = simhash.fingerprints(docs, "doc_id", "text", 5, 8, 6, True).withColumn("class", F.lit(b"x"))
+    links = simhash.verified_links(docs, p, "doc_id", "text", 5, 0.8, 144, block=8).collect()
+    root = {}
+    for r in links:
+        a, b = (next(iter(root.setdefault(x, {x}))) and root[x] for x in (r["a"], r["b"]))
+        a |= b
+        for x in a:
+            root[x] = a
+    assert len(root) == 60 and all(len(v) == 60 for v in root.values())
+
+
 def test_pipeline_against_brute_force(spark, sf):
     """Every stage against a plain version on the stage's own input."""
     import corpus_pipeline as C
