@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from scrivenry import config as C
+from scrivenry.functions.arrays import running
 
+BLOCK = "array<struct<start:int,end:int>>"
 CHUNK = "array<struct<start:int,end:int,blocks:int>>"
 
 
@@ -15,18 +17,10 @@ def line_blocks(text: Column) -> Column:
 
     A line feed parts blocks; positions come from a running sum over the lines' lengths.
     """
-    lines = F.split(text, "\n", -1)
-    sized = F.transform(lines, lambda x: F.length(x))
-    folded = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda s, n: F.struct(
-            (s["at"] + n + 1).alias("at"),
-            F.when(n > 0, F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + n).alias("end"))))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return folded
+    def step(at, n):
+        return at + n + 1, F.when(n > 0, F.array(F.struct(at.alias("start"), (at + n).alias("end")))).otherwise(F.array().cast(BLOCK))
+
+    return running(F.transform(F.split(text, "\n", -1), lambda x: F.length(x)), F.lit(0), "struct<start:int,end:int>", step)
 
 
 def split_oversize(blocks: Column, limit: int = C.CHUNK_CHARS) -> Column:
@@ -42,31 +36,32 @@ def pack_blocks(blocks: Column, limit: int = C.CHUNK_CHARS, overlap: int = 0) ->
     With ``overlap``, a new chunk starts with the last block of the one before where that block has at
     most ``overlap`` characters and both fit (whole blocks only).
     """
+    none = F.array().cast(CHUNK)
+    done = lambda s: F.when(s["start"] < 0, none).otherwise(
+        F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["blocks"].alias("blocks"))))
+
     def step(s, b):
         fits = (s["start"] >= 0) & (b["end"] - s["start"] <= limit)
         carry = (s["last"] >= 0) & (b["start"] - s["last"] <= overlap + 1) & (s["end"] - s["last"] <= overlap) & (
             b["end"] - s["last"] <= limit) & (s["last"] > s["start"]) if overlap else F.lit(False)
         opened = F.when(carry, s["last"]).otherwise(b["start"])
-        done = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["blocks"].alias("blocks")))
-        return F.struct(
+        state = F.struct(
             F.when(fits, s["start"]).otherwise(opened).alias("start"), b["end"].alias("end"),
             F.when(fits, s["blocks"] + 1).otherwise(F.when(carry, F.lit(2)).otherwise(F.lit(1))).alias("blocks"),
-            b["start"].alias("last"),
-            F.when(fits | (s["start"] < 0), s["out"]).otherwise(F.concat(s["out"], done)).alias("out"),
-        )
+            b["start"].alias("last"))
+        return state, F.when(fits, none).otherwise(done(s))
 
-    zero = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(0).alias("blocks"), F.lit(-1).alias("last"),
-                    F.array().cast(CHUNK).alias("out"))
-    return F.aggregate(blocks, zero, step, lambda s: F.when(s["start"] < 0, s["out"]).otherwise(
-        F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["blocks"].alias("blocks"))))))
+    zero = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(0).alias("blocks"), F.lit(-1).alias("last"))
+    return running(blocks, zero, "struct<start:int,end:int,blocks:int>", step, done)
 
 
 def blocks(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, ord, start, end, text): one row for each block, ord from 1. A narrow projection."""
-    found = line_blocks(F.coalesce(F.col(text_col), F.lit("")))
-    return df.select(id_col, F.col(text_col).alias("t"), F.posexplode(found).alias("p", "b")).select(
-        id_col, (F.col("p") + 1).cast("bigint").alias("ord"), F.col("b.start").cast("bigint").alias("start"),
-        F.col("b.end").cast("bigint").alias("end"), F.col("t").substr(F.col("b.start") + 1, F.col("b.end") - F.col("b.start")).alias("text"))
+    """(id, ord, start, end, text): one row for each block, ord from 1. A narrow projection, linear in the text."""
+    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: x != "")
+    found = F.arrays_zip(line_blocks(F.coalesce(F.col(text_col), F.lit(""))).alias("at"), lines.alias("line"))
+    return df.select(id_col, F.posexplode(found).alias("p", "b")).select(
+        id_col, (F.col("p") + 1).cast("bigint").alias("ord"), F.col("b.at.start").cast("bigint").alias("start"),
+        F.col("b.at.end").cast("bigint").alias("end"), F.col("b.line").alias("text"))
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str = "text", limit: int = C.CHUNK_CHARS, overlap: int = 0) -> DataFrame:
