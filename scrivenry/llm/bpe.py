@@ -10,12 +10,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from scrivenry.llm.batches import bound_batches
+from scrivenry.llm.batches import bound_batches, map_batches, slices
 
-#: Text bytes after which a task closes a block of documents.
-BLOCK_BYTES = 24 << 20
+#: UTF-8 bytes of text after which a task closes a block of documents.
+BLOCK_BYTES = 8 << 20
+#: Ids that a block's documents are given out with at once (one document at least).
+OUT_IDS = 1 << 20
 #: Hash parts, at least, that the distinct words of a block are dealt to; twice the shuffle partitions, where those are many.
 PARTS = 256
 _CACHE: dict[str, object] = {}
@@ -48,27 +52,54 @@ class WordEncoder:
         return [known] if known is not None else self.encoding._encode_single_piece(word)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte by byte of all of them: high bytes are mostly zero and pack well."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").reshape(n)
+
+
+def steps(numbers: np.ndarray) -> np.ndarray:
+    """Ascending numbers as the first and the steps between them."""
+    return np.diff(numbers.astype(np.int64), prepend=0)
+
+
 def pack(words: list[bytes], numbers: np.ndarray) -> bytes:
-    """A part of a block's vocabulary: lengths, the words' numbers in the block, the words."""
+    """A part of a block's vocabulary: lengths, the words' ascending numbers in the block, the words."""
     lens = np.fromiter(map(len, words), np.uint32, len(words))
-    return zlib.compress(
-        struct.pack("<I", len(words)) + lens.tobytes() + numbers.astype("<u4").tobytes() + b"".join(words), 1)
+    return zlib.compress(struct.pack("<I", len(words)) + planes(lens) + planes(steps(numbers)) + b"".join(words), 1)
 
 
 def unpack(data: bytes) -> tuple[list[bytes], np.ndarray]:
     raw = zlib.decompress(data)
     (n,) = struct.unpack_from("<I", raw)
-    lens = np.frombuffer(raw, "<u4", n, 4)
-    numbers = np.frombuffer(raw, "<u4", n, 4 + 4 * n)
+    lens = from_planes(raw, n, 4)
+    numbers = np.cumsum(from_planes(raw, n, 4 + 4 * n), dtype=np.int64)
     ends = np.cumsum(lens, dtype=np.int64) + 4 + 8 * n
     return [raw[e - k:e] for e, k in zip(ends.tolist(), lens.tolist())], numbers
 
 
+def pack_ids(numbers: np.ndarray, ids: list[list[int]]) -> bytes:
+    """The ids of a part's words: their numbers in the block, how many each has, all ids."""
+    lens = np.fromiter(map(len, ids), np.uint32, len(ids))
+    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
+    return zlib.compress(struct.pack("<I", len(ids)) + planes(steps(numbers)) + planes(lens) + planes(flat), 1)
+
+
+def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    (n,) = struct.unpack_from("<I", raw)
+    return (np.cumsum(from_planes(raw, n, 4), dtype=np.int64), from_planes(raw, n, 4 + 4 * n),
+            from_planes(raw, (len(raw) - 4 - 8 * n) // 4, 4 + 8 * n))
+
+
 def _explode(src: DataFrame, pattern: str, kind: str, n_parts: int) -> DataFrame:
     """Pre-tokens of every text with their positions, as blocks of rows.
 
     A block's distinct words are numbered; a document is the sequence of its words' numbers, so the
-    position of a word is its place there. Rows: part -1 is a document (data: numbers, u32), part 0
+    position of a word is its place there. Rows: part -1 is a document (data: numbers), part 0
     and up is a part of the vocabulary of the block.
     """
 
@@ -96,25 +127,33 @@ def _explode(src: DataFrame, pattern: str, kind: str, n_parts: int) -> DataFrame
                 [pa.array([(task << 32) + block] * len(used), pa.int64()), pa.array(used, pa.int32()),
                  pa.nulls(len(used), doc_type), pa.array(data, pa.binary())], names=names)
 
-        for b in batches:
+        for b in slices(batches, megabytes=4):
             doc_type = b.column(0).type
             data = []
             number = vocabulary.setdefault
+            size += b.column(1).nbytes
             for t in b.column(1):
-                text = t.as_py() or ""
-                words = find(text)
-                size += len(text)
-                data.append(np.fromiter([number(w, len(vocabulary)) for w in words], np.uint32, len(words)).tobytes())
+                words = find(t.as_py() or "")
+                data.append(planes(np.fromiter([number(w, len(vocabulary)) for w in words], np.uint32, len(words))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(task << 32) + block] * len(data), pa.int64()), pa.array([-1] * len(data), pa.int32()),
                  b.column(0), pa.array(data, pa.binary())], names=names)
             if size >= BLOCK_BYTES:
-                yield close()
+                if vocabulary:
+                    yield close()
                 vocabulary, size, block = {}, 0, block + 1
         if vocabulary:
             yield close()
 
-    return src.mapInArrow(run, f"block bigint, part int, doc {kind}, data binary")
+    return map_batches(src, run, f"block bigint, part int, doc {kind}, data binary")
+
+
+def _digest(ranks: list[tuple[bytes, int]], pattern: str) -> str:
+    """Name of the whole vocabulary and pattern, under which a worker keeps its encoder."""
+    h = hashlib.sha256(pattern.encode())
+    for token, i in ranks:
+        h.update(struct.pack("<IQ", len(token), i) + token)
+    return h.hexdigest()
 
 
 def encode(
@@ -124,9 +163,12 @@ def encode(
 
     The words of all blocks are dealt by a hash to parts; in a part each distinct word is encoded
     once, whatever number of blocks hold it, and its ids go back to each block. Even a word that is
-    a third of all text is one entry for each block. Documents wait in a table bucketed by block, so only vocabularies are shuffled,
-    never texts. A block (about 24 MB of text, or one longer text) is what one
-    task holds. The ranks are a vocabulary file and are broadcast.
+    a third of all text is one entry for each block. Documents wait in a table bucketed by block, so
+    only vocabularies are shuffled, never texts. A block (about 8 MB of UTF-8, or one longer text) is
+    what one task holds. The ranks are a vocabulary file and are broadcast.
+
+    Repeated rows and null keys come back as often as they came in; an empty table gives no rows;
+    other columns, whatever their names, are not looked at.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -137,7 +179,7 @@ def encode(
     _explode(src, pattern, kind, max(PARTS, 2 * buckets)).write.format("parquet").option("compression", "zstd").bucketBy(
         buckets, "block").saveAsTable(table)
     shared = spark.sparkContext.broadcast(ranks)
-    name = hashlib.sha256(repr((ranks[:9], ranks[-9:], len(ranks), pattern)).encode()).hexdigest()
+    name = _digest(ranks, pattern)
 
     def encode_parts(batches):
         encoder = _once(name, lambda: WordEncoder(shared.value, pattern))
@@ -154,114 +196,113 @@ def encode(
                     if got is None:
                         got = known[w] = encoder(w)
                     ids.append(got)
-                lens = np.fromiter(map(len, ids), np.uint32, len(ids))
-                flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
-                out.append(zlib.compress(
-                    struct.pack("<I", len(ids)) + numbers.tobytes() + lens.tobytes() + flat.tobytes(), 1))
+                out.append(pack_ids(numbers, ids))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["block", "ids"])
 
     rows = spark.table(table)
     words = rows.where("part >= 0").select("block", "part", "data")
-    encoded = words.repartition("part").sortWithinPartitions("part").mapInArrow(
-        encode_parts, "block bigint, ids binary")
+    encoded = map_batches(words.repartition("part").sortWithinPartitions("part"), encode_parts, "block bigint, ids binary")
     documents = rows.where("part < 0").select("block", "doc", "data")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        numbers, lens, flats = [], [], []
-        for x in right["ids"]:
-            raw = zlib.decompress(x.as_py())
-            (n,) = struct.unpack_from("<I", raw)
-            numbers.append(np.frombuffer(raw, "<u4", n, 4))
-            lens.append(np.frombuffer(raw, "<u4", n, 4 + 4 * n))
-            flats.append(np.frombuffer(raw, "<u4", -1, 4 + 8 * n))
-        if numbers:
-            number, length, flat = map(np.concatenate, (numbers, lens, flats))
-        else:
-            number, length, flat = (np.zeros(0, np.uint32),) * 3
-        start = np.zeros(len(number), np.int64)
-        size = np.zeros(len(number), np.int64)
-        begin = np.cumsum(length, dtype=np.int64) - length
-        start[number], size[number] = begin, length
-        values, ends = [], [0]
-        for d in left["data"]:
-            at = np.frombuffer(d.as_py(), "<u4")
-            n = size[at]
+        parts = [unpack_ids(x.as_py()) for x in right["ids"]]
+        n = 1 + max((int(p[0][-1]) for p in parts), default=-1)
+        size, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        at = 0
+        for number, length, _ in parts:
+            size[number] = length
+            start[number] = at + np.cumsum(length, dtype=np.int64) - length
+            at += int(length.sum())
+        flat = np.concatenate([p[2] for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32)
+        del parts
+
+        def batch(docs: pa.ChunkedArray, values: list[np.ndarray]) -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, values)])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
+            return pa.RecordBatch.from_arrays([docs.combine_chunks(), ids], names=["doc", "ids"])
+
+        out, values, held, first = [], [], 0, 0
+        for k, d in enumerate(left["data"]):
+            raw = d.as_buffer()
+            words = from_planes(raw, len(raw) // 4)
+            n = size[words]
             total = int(n.sum())
             # the k-th id of the document lies at its word's start plus its place in the word
-            shift = np.repeat(start[at] - (np.cumsum(n) - n), n)
-            values.append(flat[shift + np.arange(total)].astype(np.int32))
-            ends.append(ends[-1] + total)
-        ids = pa.ListArray.from_arrays(
-            pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
-        return pa.table([left["doc"].combine_chunks(), ids], names=["doc", "ids"])
+            shift = np.repeat(start[words] - (np.cumsum(n) - n), n)
+            values.append(flat[shift + np.arange(total)])
+            held += total
+            if held >= OUT_IDS:
+                out.append(batch(left["doc"].slice(first, k + 1 - first), values))
+                values, held, first = [], 0, k + 1
+        if values:
+            out.append(batch(left["doc"].slice(first), values))
+        kinds = pa.schema([("doc", left.schema.field("doc").type), ("ids", pa.list_(pa.int32()))])
+        return pa.Table.from_batches([b.cast(kinds) for b in out], kinds)
 
     return documents.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(
         assemble, f"doc {kind}, ids array<int>")
 
 
+def token_bytes(ranks: list[tuple[bytes, int]]) -> pa.Table:
+    """(id, token) by id: the side of the join that every task holds. An id with two tokens is an error."""
+    rows = sorted((i, t) for t, i in ranks)
+    ids = np.array([i for i, _ in rows], np.int64)
+    if (np.diff(ids) == 0).any():
+        raise ValueError("an id has two tokens")
+    return pa.table({"id": pa.array(ids), "token": pa.array([t for _, t in rows], pa.binary())})
+
+
 def token_table(spark: SparkSession, ranks: list[tuple[bytes, int]]) -> DataFrame:
     """(id, token binary): the token-byte table."""
-    return spark.createDataFrame([(i, bytearray(t)) for t, i in ranks], "id int, token binary")
+    return spark.createDataFrame(token_bytes(ranks), "id int, token binary")
+
+
+def join_tokens(lists: pa.ListArray, table: pa.Table) -> pa.Array:
+    """The bytes of each list of ids; null lists give null.
+
+    The distinct ids are merged with the token-byte table once, their bytes go back to every
+    position, and a list's bytes are the stretch of its positions.
+    """
+    codes = pc.dictionary_encode(lists.flatten())
+    wanted = codes.dictionary.to_numpy(zero_copy_only=False)
+    known = table["id"].to_numpy()
+    at = np.minimum(np.searchsorted(known, wanted), max(0, len(known) - 1))
+    if codes.null_count or (len(wanted) and (not len(known) or (known[at] != wanted).any())):
+        raise ValueError("an id has no token")
+    found = table["token"].combine_chunks().take(pa.array(at, pa.int64())).take(codes.indices)
+    offsets = np.frombuffer(found.buffers()[1] or b"\0" * 4, np.int32)[found.offset:found.offset + len(found) + 1]
+    ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+    cuts = pa.array(offsets[ends] if len(offsets) else ends, pa.int32())
+    valid = pa.array([x.is_valid for x in lists], pa.bool_())
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(lists), [valid.buffers()[1], cuts.buffers()[1], found.buffers()[2] or pa.py_buffer(b"")])
 
 
 def decode(df: DataFrame, ranks: list[tuple[bytes, int]], ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes of its ids as column ``out`` (replaced where it exists).
 
-    A map-side join: the token-byte table is as large as the vocabulary, so it is broadcast, and each
-    id is joined to its bytes in place; the rows are not shuffled. Null ids give null, no ids give no
-    bytes, and an id outside the table raises ValueError.
+    A map-side join: the token-byte table is as large as the vocabulary file, so it is broadcast, and
+    the rows are not shuffled. Null ids give null, no ids give no bytes, and an id outside the table
+    (or a null one) raises ValueError.
     """
-    spark = df.sparkSession
-    bound_batches(spark)
     rest = [c for c in df.columns if c != out]
     src = df.select(*rest)
     at = rest.index(ids_col)
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = df.sparkSession.sparkContext.broadcast(token_bytes(ranks))
 
     def run(batches):
-        size = max((i for _, i in shared.value), default=-1) + 1
-        tokens: list[bytes | None] = [None] * size
-        for t, i in shared.value:
-            tokens[i] = t
-        get = tokens.__getitem__
-        for b in batches:
-            found = []
-            for ids in b.column(at):
-                if not ids.is_valid:
-                    found.append(None)
-                    continue
-                x = ids.values.to_numpy(zero_copy_only=False)
-                try:
-                    if len(x) and x.min() < 0:
-                        raise IndexError
-                    found.append(b"".join(map(get, x.tolist())))
-                except (IndexError, TypeError):
-                    raise ValueError("an id has no token") from None
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*rest, out])
-
-    from pyspark.sql.types import BinaryType, StructField, StructType
+        for b in slices(batches, megabytes=4):
+            yield pa.RecordBatch.from_arrays([*b.columns, join_tokens(b.column(at), shared.value)], names=[*rest, out])
 
-    return src.mapInArrow(run, StructType([*src.schema.fields, StructField(out, BinaryType())]))
+    return map_batches(src, run, StructType([*src.schema.fields, StructField(out, BinaryType())]))
 
 
 def digests(df: DataFrame, keys: tuple[str, ...] = ("doc",)) -> DataFrame:
     """(keys, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded rows."""
-    src = df.select(*keys, "ids", "decoded")
-
-    def run(batches):
-        for b in batches:
-            n, ids, text = [], [], []
-            for x, d in zip(b.column(len(keys)), b.column(len(keys) + 1)):
-                v = x.values.to_numpy(zero_copy_only=False).tolist()
-                n.append(len(v))
-                ids.append(hashlib.sha256(" ".join(map(str, v)).encode()).hexdigest())
-                text.append(hashlib.sha256(d.as_buffer()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:len(keys)], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())],
-                names=[*keys, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kinds = ", ".join(f"{k} {src.schema[k].dataType.simpleString()}" for k in keys)
-    return src.mapInArrow(run, f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(
+        *keys, F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3(docs: DataFrame) -> DataFrame:

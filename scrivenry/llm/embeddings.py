@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scrivenry.llm.batches import bound_batches
+from scrivenry.llm.batches import map_batches
 from scrivenry.operators.graph import connected_components
 from scrivenry.sources.tables import materialise
 
@@ -90,7 +90,6 @@ def near_pairs(
     blocks and each two blocks are compared in a group of their own, so no pair of a bucket is left
     out and a group stays bounded. What is lost are pairs that share no bucket.
     """
-    bound_batches(vectors.sparkSession)
     padded = 1 << max(1, (dim - 1).bit_length())
 
     def hashed(batches):
@@ -103,7 +102,7 @@ def near_pairs(
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "keys"])
 
-    keyed = vectors.mapInArrow(hashed, "id bigint, keys array<bigint>")
+    keyed = map_batches(vectors, hashed, "id bigint, keys array<bigint>")
     routed = materialise(keyed, "buckets").select("id", F.explode(F.array_distinct("keys")).alias("key"))
     big = routed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -155,8 +154,8 @@ def near_pairs(
         if (got := close()) is not None and got.num_rows:
             yield got
 
-    pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        compare, "a bigint, b bigint, cosine double")
+    pairs = map_batches(
+        dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), compare, "a bigint, b bigint, cosine double")
     return pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 

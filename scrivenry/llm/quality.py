@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scrivenry.llm.batches import bound_batches
+from scrivenry.llm.batches import map_batches, slices
 
 #: Hash buckets of words.
 BUCKETS = 1 << 15
@@ -154,7 +154,6 @@ def train(
     Keys with several labels count as 1 where any is; keys without a document, null keys and null
     labels teach nothing. What reaches the driver is bounded by ``sample``: sparse features, no texts.
     """
-    bound_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).alias("__key")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
@@ -166,7 +165,7 @@ def train(
 
     def run(batches):
         make = Features()
-        for b in batches:
+        for b in slices(batches):
             got = [make(t.as_py(), m.as_py()) for t, m in zip(b.column(1), b.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())),
@@ -174,7 +173,7 @@ def train(
                 names=["doc", "idx", "val", "y"])
 
     kind = src.schema["doc"].dataType.simpleString()
-    table = src.mapInArrow(run, f"doc {kind}, idx array<int>, val array<float>, y int").toArrow()
+    table = map_batches(src, run, f"doc {kind}, idx array<int>, val array<float>, y int").toArrow()
     rows = sorted(
         (
             (str(d), i.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(np.float32), int(y))
@@ -196,7 +195,6 @@ def score_quality(
     score of a text without words; null metadata counts as the text's own length; equal rows get equal
     scores; an empty table stays empty. Neither labels nor key, language or source are inputs.
     """
-    bound_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != out]
     src = docs.select(*rest, *[c.alias(f"__{n}") for n, c in (
         ("t", F.col(text_col)),
@@ -205,13 +203,13 @@ def score_quality(
 
     def run(batches):
         model, make = Machine(*shared.value), Features()
-        for b in batches:
+        for b in slices(batches):
             s = [model.score(*make(t.as_py(), m.as_py())) for t, m in zip(b.columns[-2], b.columns[-1])]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(s, pa.float64())], names=[*rest, out])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return src.mapInArrow(run, StructType([*src.schema.fields[:-2], StructField(out, DoubleType())]))
+    return map_batches(src, run, StructType([*src.schema.fields[:-2], StructField(out, DoubleType())]))
 
 
 #: Least score of a document that stays.

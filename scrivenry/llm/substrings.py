@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from scrivenry.llm.batches import bound_batches
+from scrivenry.llm.batches import map_batches, slices
 from scrivenry.llm.licenses import normal_words
 from scrivenry.sources.tables import materialise
 
@@ -25,14 +25,13 @@ BLANK = " \t\r\v\f"
 
 def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tkey, at, start, end, words, digest): compared units; ``at`` counts them in their text."""
-    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
 
     def run(batches):
         import xxhash
 
-        for b in batches:
+        for b in slices(batches):
             own, cols = [], ([], [], [], [], [])
             for row, t in enumerate(b.column(2)):
                 text = t.as_py() or ""
@@ -53,7 +52,7 @@ def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                  pa.array(cols[4], pa.binary())],
                 names=["doc", "tkey", "at", "start", "end", "words", "digest"])
 
-    return src.mapInArrow(run, f"doc {kind}, tkey bigint, at int, start int, end int, words int, digest binary")
+    return map_batches(src, run, f"doc {kind}, tkey bigint, at int, start int, end int, words int, digest binary")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
@@ -116,14 +115,13 @@ def line_units(text: str) -> list[tuple[int, int, int, int, bool, str]]:
 
 def _line_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tkey, at, start, end, words, line, digest) of ``line_units``."""
-    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
 
     def run(batches):
         import xxhash
 
-        for b in batches:
+        for b in slices(batches):
             own, cols = [], ([], [], [], [], [], [])
             for row, t in enumerate(b.column(2)):
                 for *unit, form in line_units(t.as_py() or ""):
@@ -136,7 +134,7 @@ def _line_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                  pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.binary())],
                 names=["doc", "tkey", "at", "start", "end", "words", "line", "digest"])
 
-    return src.mapInArrow(run, f"doc {kind}, tkey bigint, at int, start int, end int, words int, line boolean, digest binary")
+    return map_batches(src, run, f"doc {kind}, tkey bigint, at int, start int, end int, words int, line boolean, digest binary")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
