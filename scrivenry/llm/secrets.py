@@ -6,20 +6,23 @@ DataFrame functions only.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Kind, pattern, least length of the group that is measured, that group, cheap guard.
+from scrivenry.functions.arrays import bind, running
+
+#: Kind, pattern, least length of the group that is measured, that group.
 KINDS = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
     ("access", r"AKIA[A-Z0-9]+", 20, 0),
     ("hex", r"[0-9a-f]+", 24, 0),
 )
-GUARDS = {
-    "assign": r"(?i:passw|secret|token|api_?key)",
-    "access": r"AKIA[A-Z0-9]{16}",
-    "hex": r"[0-9a-f]{24}",
-}
+#: Patterns that find the matches of a kind that are long enough, and no others; ``assign`` has none, because a short
+#: value takes its text from what follows.
+LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
+#: One of these stands in every text (in lower case) with a match of ``assign``.
+ASSIGN_WORDS = ("passw", "secret", "token", "api_key", "apikey")
 METHOD = "markov"
 #: Symbols of the models; everything else parts tokens.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -120,38 +123,49 @@ def mean_ratio(token: Column, ratios: Column) -> Column:
     return folded["sum"] / F.greatest(F.length(token) - 1, F.lit(1))
 
 
-def _placed(text: Column, pattern: str, group: int) -> Column:
-    """Every leftmost non-overlapping match as struct(start, end, match, group), in code points.
+SPAN = "struct<start:int,end:int,match:string>"
+
 
-    The text between matches comes from ``split`` by the same pattern, so positions are sums
+def _placed(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Leftmost non-overlapping matches that ``keep`` keeps, as struct(start, end, match), in code points.
+
+    The text between matches comes from ``split`` by the same pattern, so positions are running sums
     of lengths.
     """
-    pieces = F.split(text, pattern, -1)
-    matches = F.arrays_zip(
-        F.transform(pieces, lambda p: F.length(p)).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("group"),
-    )
-    empty = F.array().cast("array<struct<start:int,end:int,match:string,group:string>>")
-    return F.aggregate(
-        F.filter(matches, lambda m: m["match"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda s, m: F.struct(
-            (s["at"] + m["gap"] + F.length(m["match"])).alias("at"),
-            F.concat(
-                s["out"],
-                F.array(F.struct(
-                    (s["at"] + m["gap"]).alias("start"),
-                    (s["at"] + m["gap"] + F.length(m["match"])).alias("end"),
-                    m["match"].alias("match"), m["group"].alias("group"),
-                )),
-            ).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        start = at + m["gap"]
+        end = start + F.length(m["match"])
+        found = F.array(F.struct(start.alias("start"), end.alias("end"), m["match"].alias("match")))
+        kept = m["match"].isNotNull() if keep is None else m["match"].isNotNull() & keep(m["match"])
+        return F.coalesce(end, at), F.when(kept, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    matches = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    return running(matches, F.lit(0), SPAN, step)
 
 
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+def _touched(spans: Column, tokens: Column) -> Column:
+    """Tokens that overlap no span. Both are in order and free of overlaps among themselves.
+
+    In the order of all starts a token overlaps the last span before it, or the neighbour after it, or none.
+    """
+    event = lambda x, own: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), x["match"].alias("match"))
+    events = F.array_sort(F.concat(F.transform(spans, lambda x: event(x, 0)), F.transform(tokens, lambda x: event(x, 1))))
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def held(s: Column) -> Column:
+        return F.when(s["end"] > 0, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))).otherwise(none)
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        # state: where the last span ends, and a token that waits for its neighbour (end 0: none)
+        free = (x["own"] == 1) & (x["start"] >= s["span"])
+        state = F.struct(
+            F.when(x["own"] == 0, F.greatest(s["span"], x["end"])).otherwise(s["span"]).alias("span"), x["start"].alias("start"),
+            F.when(free, x["end"]).otherwise(0).alias("end"), x["match"].alias("match"))
+        return state, F.when((x["own"] == 0) & (x["start"] < s["end"]), none).otherwise(held(s))
+
+    zero = F.struct(F.lit(0).alias("span"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("match"))
+    return running(events, zero, SPAN, step, held)
 
 
 def find_secrets(
@@ -162,58 +176,90 @@ def find_secrets(
 
     Base kinds are matched leftmost and non-overlapping, each on its own, and matches that are
     too short are dropped. The models then judge every run of 20 or more alphabet symbols that
-    has a letter, a digit and eight distinct symbols and touches no base span. Null and empty texts have no spans. A
-    column that is named like ``out`` is replaced; no shuffle.
+    has a letter, a digit and eight distinct symbols and touches no base span. Null and empty texts have no
+    spans; repeated rows are scanned alike; very long texts cost little more than their length. Columns
+    named like ``out``, __base or __more are replaced or dropped, others stay; no shuffle.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast(SPAN)
+    none = F.array().cast(f"array<{SPAN}>")
+    (_, assign, least, group), *_ = KINDS
+    low = F.lower(text)
+    named = F.contains(low, F.lit(ASSIGN_WORDS[0]))
+    for word in ASSIGN_WORDS[1:]:
+        named = named | F.contains(low, F.lit(word))
+    found = {
+        "assign": F.when(named, _placed(text, assign, lambda m: F.length(F.regexp_extract(m, assign, group)) >= least)),
+        "access": F.when(F.contains(text, F.lit("AKIA")), _placed(text, LONG["access"])),
+        "hex": F.when(text.rlike(LONG["hex"]), _placed(text, LONG["hex"])),
+    }
 
-    def spans(kind: str, rank: int, pattern: str, least: int, group: int) -> Column:
-        kept = F.filter(_placed(text, pattern, group), lambda m: F.length(m["group"]) >= least)
-        return F.when(
-            text.rlike(GUARDS[kind]),
-            F.transform(kept, lambda m: F.struct(
-                m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"))),
-        ).otherwise(none)
+    def tag(rank: int, kind: str) -> Column:
+        return F.transform(found[kind].otherwise(none), lambda m: F.struct(
+            m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["match"].alias("match")))
 
-    base = F.concat(*[spans(k, r, p, n, g) for r, (k, p, n, g) in enumerate(KINDS)])
+    tagged = [tag(rank, kind) for rank, (kind, *_) in enumerate(KINDS)]
     table = F.from_json(F.lit(json.dumps([round(x, 6) for x in ratios])), "array<double>")
-    judged = F.when(
-        text.rlike(TOKEN),
-        F.filter(
-            _placed(text, TOKEN, 0),
-            lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]")
-            & (F.size(F.array_distinct(F.split(m["match"], ""))) >= DISTINCT)
-            & ~F.exists(F.col("__base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-            & (mean_ratio(m["match"], table) >= threshold),
-        ),
-    ).otherwise(F.array().cast("array<struct<start:int,end:int,match:string,group:string>>"))
+
+    def likely(m: Column) -> Column:
+        # access and hex spans lie within one run, so a run shows them itself
+        return (
+            m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike(LONG["access"]) & ~m.rlike(LONG["hex"])
+            & (F.size(F.array_distinct(F.split(m, ""))) >= DISTINCT) & (mean_ratio(m, table) >= threshold))
+
+    assigned = F.filter("__base", lambda b: b["kind"] == "assign")
+    judged = F.when(text.rlike(TOKEN), _touched(assigned, _placed(text, TOKEN, likely))).otherwise(none)
+    rows = df.withColumn("__base", F.concat(*tagged))
     return (
-        df.withColumn("__base", base)
-        .withColumn("__more", judged)
+        once(rows, "__base").withColumn("__more", judged)
         .withColumn(out, F.array_sort(F.concat(
-            F.col("__base"),
+            F.transform("__base", lambda b: b.dropFields("match")),
             F.transform("__more", lambda m: F.struct(
-                m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), m["end"].alias("end"),
-                F.lit(METHOD).alias("kind"))),
+                m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), m["end"].alias("end"), F.lit(METHOD).alias("kind"))),
         )))
-        .drop("__base", "__more")
+        .drop("__base", "__more").transform(lambda x: once(x, out))
     )
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` where later expressions read column ``name`` and never compute it again."""
+    rest = [F.col(c) for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(F.col(name))).alias(name))
+
+
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every maximal stretch of spans replaced by ``mark``; null stays null."""
-    folded = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda s, m: F.struct(
-            F.greatest(s["at"], m["end"]).alias("at"),
-            F.when(m["start"] < s["at"], s["out"]).otherwise(F.concat(
-                s["out"], F.array(text.substr(s["at"] + 1, m["start"] - s["at"]), F.lit(mark)))).alias("out"),
-        ),
-        lambda s: F.concat(F.array_join(s["out"], ""), text.substr(s["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(folded)
+    """``text`` with every maximal stretch of spans replaced by ``mark``; null stays null.
+
+    ``substr`` walks a text from its start, so k stretches are cut in about sqrt(k) parts of the text.
+    """
+    def step(s: Column, m: Column) -> tuple[Column, Column]:
+        joins = m["start"] <= s["end"]
+        state = F.struct(
+            F.when(joins, s["start"]).otherwise(m["start"]).alias("start"), F.greatest(s["end"], m["end"]).alias("end"))
+        return state, F.when(joins | (s["end"] < 0), none).otherwise(F.array(s))
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    zero = F.struct(F.lit(-2).alias("start"), F.lit(-1).alias("end"))
+    merged = running(spans, zero, "struct<start:int,end:int>", step, lambda s: F.when(s["end"] < 0, none).otherwise(F.array(s)))
+
+    def after(cuts: Column, i: Column) -> Column:
+        return F.when(i == 0, 0).otherwise(F.get(cuts, i - 1)["end"])
+
+    def cut(cuts: Column) -> Column:
+        n = F.size(cuts)
+        width = F.ceil(F.sqrt(n)).cast("int")
+
+        def part(g: Column) -> Column:
+            own = F.slice(cuts, g * width + 1, width)
+            start = after(cuts, g * width)
+            own_text = text.substr(start + 1, F.get(cuts, F.least((g + 1) * width, n) - 1)["end"] - start)
+            return bind(own_text, lambda t: bind(own, lambda mine: F.array_join(F.transform(mine, lambda c, i: F.concat(
+                t.substr(F.when(i == 0, start).otherwise(after(mine, i)) - start + 1,
+                         c["start"] - F.when(i == 0, start).otherwise(after(mine, i))), F.lit(mark))), "")))
+
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), part)
+        return F.concat(F.array_join(parts, ""), text.substr(F.get(cuts, n - 1)["end"] + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(bind(merged, cut))
 
 
 def redact_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
