@@ -19,7 +19,10 @@ def escape_angle(text: Column) -> Column:
 
 
 def identity(text: Column) -> Column:
-    """Lower case, everything but letters and digits to one blank, one leading article off."""
+    """Lower case, everything but letters and digits to one blank, one leading article off.
+
+    SQL has no Unicode normalisation; ``identity(nfkc(text))`` is the full rule.
+    """
     words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
     return F.regexp_replace(words, "^(a|an|the) ", "")
 
@@ -81,35 +84,46 @@ def normal_with_map(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-def locate_excerpt(excerpt: str | None, content: str | None, preferred: tuple[int, int] | None = None):
-    """(start, end) of the excerpt in the original content or None; a hit inside ``preferred`` wins,
-    else the first. Only exact hits of normalised text count; hits inside an omission marker do not."""
-    if not excerpt or not content:
-        return None
-    needle, _ = normal_with_map(excerpt)
-    hay, at = normal_with_map(content)
-    if not needle:
-        return None
-    dead = []
-    pos = content.find(C.OMISSION)
+def omissions(content: str) -> list[tuple[int, int]]:
+    """Spans of the lines that stand for what was left out."""
+    dead, pos = [], content.find(C.OMISSION)
     while pos >= 0:
         end = content.find("\n", pos)
         dead.append((pos, len(content) if end < 0 else end))
         pos = content.find(C.OMISSION, pos + 1)
+    return dead
+
+
+def locate_normal(
+    excerpt: str | None, hay: tuple[str, list[int]] | None, dead: list[tuple[int, int]], preferred: tuple[int, int] | None,
+) -> tuple[int, int] | None:
+    """``locate_excerpt`` in a content that is normalised already."""
+    if not excerpt or not hay:
+        return None
+    needle, _ = normal_with_map(excerpt)
+    if not needle:
+        return None
+    text, at = hay
     first = None
-    i = hay.find(needle)
+    i = text.find(needle)
     while i >= 0:
         start, end = at[i], at[i + len(needle) - 1] + 1
         if not any(a <= start and end <= b for a, b in dead):
-            if preferred is None:
-                return start, end
-            if preferred[0] <= start and end <= preferred[1]:
+            if preferred is None or preferred[0] <= start and end <= preferred[1]:
                 return start, end
             first = first or (start, end)
-        i = hay.find(needle, i + 1)
+        i = text.find(needle, i + 1)
     return first
 
 
+def locate_excerpt(excerpt: str | None, content: str | None, preferred: tuple[int, int] | None = None):
+    """(start, end) of the excerpt in the original content or None; a hit inside ``preferred`` wins,
+    else the first. Only exact hits of normalised text count; hits inside an omission marker do not."""
+    if not content:
+        return None
+    return locate_normal(excerpt, normal_with_map(content), omissions(content), preferred)
+
+
 def nfkc(text: Column) -> Column:
     """NFKC and case folding, which Spark lacks, in Arrow batches."""
     @F.pandas_udf("string")

@@ -28,15 +28,39 @@ def edges(notes: DataFrame) -> DataFrame:
     return notes.select(F.col("title").alias("src"), F.explode(X.link_targets(F.col("body"))).alias("dst"))
 
 
-def render(title: Column, domain: Column, sources: Column, definition: Column, points: Column, related: Column, model: Column) -> Column:
-    """Markdown of a concept note; domains sorted, at most five points and relations."""
-    bullet = lambda a: F.array_join(F.transform(F.slice(a, 1, 5), lambda x: F.concat(F.lit("- "), x)), "\n")
+def render(
+    title: Column, domain: Column, sources: Column, definition: Column, points: Column, related: Column, model: Column,
+    core_idea: Column | None = None, mechanism: Column | None = None, evidence: Column | None = None, questions: Column | None = None,
+    created: Column | None = None,
+) -> Column:
+    """Markdown of a concept note: properties, nine sections and Provenance. Nothing is cut.
+
+    Domains are sorted, evidence (claim, source, excerpt, chunk) is numbered. A section whose column is not given is
+    left out; one without content says so.
+    """
+    lines = lambda a: F.array_join(a, "\n")
+    bullet = lambda a: lines(F.transform(a, lambda x: F.concat(F.lit("- "), x)))
+    filled = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("(none)"))
+
+    def section(name: str, body: Column | None) -> list[Column]:
+        return [] if body is None else [F.lit(f"\n\n## {name}\n\n"), body]
+
+    def cited(e: Column, i: Column) -> Column:
+        return F.concat(F.lit("### Evidence "), (i + 1).cast("string"), F.lit("\n\n- Claim: "), e["claim"], F.lit("\n- Source: "), X.wikilink(e["source"]),
+                        F.lit("\n- Excerpt: "), e["excerpt"], F.lit("\n- Chunk: "), e["chunk"])
+
+    dated = F.lit("") if created is None else F.concat(F.lit("\ncreated: "), created, F.lit("\nupdated: "), created)
     return F.concat(
         F.lit("---\ntype: concept\norigin: ai\nknowledge_status: processed\ndomain:\n"),
-        F.array_join(F.transform(F.array_sort(F.array_distinct(domain)), lambda x: F.concat(F.lit("  - "), x)), "\n"),
-        F.lit("\nsources:\n"), F.array_join(F.transform(sources, lambda x: F.concat(F.lit('  - "'), X.wikilink(x), F.lit('"'))), "\n"),
-        F.lit("\nhuman_verified: false\n---\n\n# "), title, F.lit("\n\n## Definition\n\n"), definition, F.lit("\n\n## Key Points\n\n"), bullet(points),
-        F.lit("\n\n## Related Concepts\n\n"), bullet(related), F.lit("\n\n## Provenance\n\nModel: "), model, F.lit("\n"))
+        lines(F.transform(F.array_sort(F.array_distinct(domain)), lambda x: F.concat(F.lit("  - "), x))), dated,
+        F.lit("\nsources:\n"), lines(F.transform(sources, lambda x: F.concat(F.lit('  - "'), X.wikilink(x), F.lit('"')))),
+        F.lit("\nhuman_verified: false\n---\n\n# "), title, *section("Definition", definition),
+        *section("Core Idea", None if core_idea is None else filled(core_idea)), *section("Mechanism", None if mechanism is None else filled(mechanism)),
+        *section("Key Points", bullet(points)), *section("Related Concepts", bullet(related)),
+        *section("Evidence", None if evidence is None else filled(F.array_join(F.transform(evidence, cited), "\n\n"))),
+        *section("Sources", None if evidence is None else bullet(F.transform(sources, X.wikilink))),
+        *section("Open Questions", None if questions is None else filled(bullet(questions))),
+        *section("Provenance", F.concat(F.lit("Model: "), model)), F.lit("\n"))
 
 
 def plan_reasons(plans: DataFrame) -> DataFrame:
@@ -51,6 +75,22 @@ def plan_reasons(plans: DataFrame) -> DataFrame:
     return plans.select("plan_id", (F.size(reasons) == 0).alias("accepted"), F.array_join(reasons, ",").alias("reasons"))
 
 
+def mark_verified(notes: DataFrame, found: DataFrame, sources: DataFrame, reviewer: str) -> DataFrame:
+    """``notes`` with ``human_verified`` and a Verification line where their source exists and has excerpts.
+
+    ``found`` has (doc_id, hit) of the located excerpts, ``sources`` (doc_id). Only machine-written notes that no
+    one has marked yet change; the reviewer, who judged the claims, is named, and ``verified_by`` says who wrote the mark.
+    """
+    each = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"), F.count_if("hit").alias("__k"))
+    known = sources.select("doc_id").distinct().withColumn("__known", F.lit(True))
+    x = notes.join(each, "doc_id", "left").join(known, "doc_id", "left")
+    ours = F.coalesce(F.col("__known") & (F.col("__n") > 0) & (F.col("origin") == "ai") & (F.col("human_verified") == "false"), F.lit(False))
+    line = F.concat(F.col("body"), F.lit("\n"), F.format_string("Verification: %d of %d excerpts verbatim, by ", "__k", "__n"), F.lit(reviewer), F.lit("\n"))
+    by = F.when(ours, "ai").otherwise(F.col("verified_by") if "verified_by" in notes.columns else F.lit(None).cast("string"))
+    return x.withColumn("body", F.when(ours, line).otherwise(F.col("body"))).withColumn("verified_by", by).withColumn(
+        "human_verified", F.when(ours, "true").otherwise(F.col("human_verified"))).drop("__n", "__k", "__known")
+
+
 def property_reasons(fm: DataFrame) -> DataFrame:
     """(id, reasons) of properties that break the contract."""
     c = F.col

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from scrivenry import config as C
 from scrivenry.functions import text as X
-from scrivenry.operators import chunks as K
-from scrivenry.operators.locate import candidate_pairs
+from scrivenry.operators import chunks as K, scan as R, view as L
+from scrivenry.operators.locate import candidate_pairs, locate
 from scrivenry.sources import pages as P
 from scrivenry.sources.tables import table
 
@@ -132,6 +132,87 @@ def run_stats(spark, d):
              (F.col("chunks") + F.when(F.col("chunks") > C.MAX_CONCEPTS, 1).otherwise(0)).alias("llm_calls"))
 
 
+CANON = "trim(regexp_replace(lower(trim(regexp_replace(regexp_replace(trim(regexp_replace(line, '^#{1,6} +', '')), '[*_`]', '', 'g'), '^[0-9]+(\\.[0-9]+)*\\.? ', ''))), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+KIND = r"""CASE WHEN starts_with(line, '> [... omitted from AI extraction') THEN 'omission' WHEN regexp_matches(line, '(?i)^(figure|fig\.) ?[0-9]') THEN 'caption'
+ WHEN regexp_matches(line, '^\|?( ?:?-+:? ?\|)+ ?(:?-+:? ?)?$') THEN 'table_rule'
+ WHEN contains(line, '|') THEN CASE WHEN NOT regexp_matches(line, '^\|.*\|$') THEN 'table_malformed'
+   WHEN length(regexp_replace(line, '[^0-9]', '', 'g')) > 0.5 * length(regexp_replace(line, '[^\p{L}\p{N}]', '', 'g')) THEN 'table_dense' ELSE 'table' END
+ WHEN regexp_matches(line, '[=^\\].*[+/^\\]') THEN 'formula' WHEN trim(line) = '' THEN 'blank'
+ WHEN length(regexp_replace(line, '[^0-9]', '', 'g')) > 0.5 * length(regexp_replace(line, '\s', '', 'g')) THEN 'figure_text'
+ WHEN length(regexp_replace(line, '[^#$%&*@^~|<>{}\\]', '', 'g')) > 0.05 * length(line) THEN 'noise' ELSE 'prose' END"""
+VIEWED = """vl AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos FROM documents
+), vh AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,2} ') THEN """ + CANON + """ END AS head FROM vl
+), vs AS (
+  SELECT doc_id, pos, line, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section,
+         regexp_matches(line, '^#{1,6} ') AS heading, """ + KIND + """ AS kind FROM vh
+), viewed AS (
+  SELECT doc_id, coalesce(string_agg(CASE WHEN kind = 'formula' AND NOT heading THEN '> [... omitted from AI extraction: formula]' ELSE line END, chr(10) ORDER BY pos)
+    FILTER (NOT regexp_matches(section, '^(references|bibliography|contents|table of contents|(neurips )?paper checklist|checklist)$')
+            AND (heading OR kind NOT IN ('table_malformed', 'table_dense', 'figure_text', 'noise'))), '') AS text
+  FROM vs GROUP BY doc_id
+)"""
+
+
+@query("WITH " + VIEWED + " SELECT doc_id, CAST(length(text) AS BIGINT) AS view_chars, sha256(text) AS view_sha256, 6 AS view_version FROM viewed")
+def processing_view(spark, d):
+    """P1-P9, F13, W3 over every document"""
+    v = L.processing_view(docs(spark, d).select("doc_id", "text"))
+    return v.select("doc_id", F.length("content").cast("bigint").alias("view_chars"), X.sha256(F.col("content")).alias("view_sha256"), "view_version")
+
+
+SCAN = "WITH RECURSIVE " + VIEWED + ", " + PIECES.lstrip().replace("FROM documents WHERE text IS NOT NULL", "FROM viewed") + f""", fold AS (
+  SELECT doc_id, n, s AS start, s AS last, e, 1 AS no FROM pieces WHERE n = 1
+  UNION ALL
+  SELECT doc_id, n, CASE WHEN fits THEN start WHEN carry THEN last ELSE s END, s, e, CASE WHEN fits THEN no ELSE no + 1 END
+  FROM (SELECT p.doc_id, p.n, p.s, p.e, f.start, f.last, f.no, p.e - f.start <= 4000 AS fits,
+               p.s - f.last <= 201 AND f.e - f.last <= 200 AND p.e - f.last <= 4000 AND f.last > f.start AS carry
+        FROM fold f JOIN pieces p ON p.doc_id = f.doc_id AND p.n = f.n + 1)
+), chunked AS (SELECT doc_id, no, min(start) AS s, max(e) AS e FROM fold GROUP BY doc_id, no),
+concepts AS (
+  SELECT doc_id, no, trim(regexp_extract(substr(text, s + 1, e - s), '^([^.!?\n]{{1,80}})', 1)) AS title FROM chunked JOIN viewed USING (doc_id)
+), named AS (SELECT *, {IDENT.format(x='title')} AS i FROM concepts WHERE title <> ''),
+merged AS (SELECT doc_id, i, min(no) AS no, arg_min(title, no) AS title, count(*) AS excerpts FROM named WHERE i <> '' GROUP BY 1, 2),
+cands AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no, i) AS cand, regexp_replace(i, '( (architecture|framework|system|mechanism|method|approach))+$', '') AS sig,
+         i IN ({', '.join(repr(t) for t in C.GENERIC_TITLES)}) AS generic FROM merged
+), grouped AS (SELECT *, min(cand) OVER (PARTITION BY doc_id, sig) AS hub, count(*) OVER (PARTITION BY doc_id, sig) AS members, count(*) OVER (PARTITION BY doc_id) AS total FROM cands),
+picked AS (SELECT *, hub = cand AS selected FROM grouped),
+sums AS (
+  SELECT doc_id, count(*) AS candidates, count(*) FILTER (selected) AS selected, sum(excerpts) AS excerpts, max(CASE WHEN members > 1 OR total > 12 THEN 1 ELSE 0 END) AS curator_calls,
+         count(*) FILTER (selected AND generic) AS g FROM picked GROUP BY 1
+), sized AS (SELECT doc_id, count(*) AS chunks, round(avg(e - s), 1) AS avg_chunk, max(e - s) AS max_chunk FROM chunked GROUP BY 1),
+reported AS (
+  SELECT d.doc_id AS source_id, CAST(length(coalesce(d.text, '')) AS BIGINT) AS source_chars, CAST(length(v.text) AS BIGINT) AS processing_chars, coalesce(chunks, 0) AS chunks, coalesce(avg_chunk, 0.0) AS avg_chunk,
+         CAST(coalesce(max_chunk, 0) AS BIGINT) AS max_chunk, coalesce(candidates, 0) AS candidates, coalesce(selected, 0) AS selected, coalesce(curator_calls, 0) AS curator_calls, CAST(coalesce(excerpts, 0) AS BIGINT) AS excerpts,
+         concat_ws(',', CASE WHEN selected > 0 AND g = selected THEN 'only_generic' END, CASE WHEN selected > 12 THEN 'too_many' END) AS reasons
+  FROM documents d JOIN viewed v USING (doc_id) LEFT JOIN sized USING (doc_id) LEFT JOIN sums USING (doc_id)
+)"""
+
+
+def _scan(spark, d):
+    sources = docs(spark, d).select(F.col("doc_id").alias("source_id"), F.concat_ws(" ", F.lit("document"), F.col("doc_id").cast("string")).alias("title"), "text")
+    return R.scan(sources)
+
+
+@query(SCAN + """ SELECT source_id, source_chars, processing_chars, chunks, avg_chunk, max_chunk, candidates, selected, CAST(curator_calls AS INTEGER) AS curator_calls, excerpts AS located, excerpts,
+ CAST(chunks + curator_calls AS BIGINT) AS llm_calls, CASE WHEN reasons = '' THEN 'pass' ELSE 'failed' END AS gate, reasons, CASE WHEN reasons = '' THEN 0 ELSE 6 END AS exit_code,
+ 'located ' || excerpts || '/' || excerpts || ' across ' || candidates || ' candidates' AS locatability FROM reported""")
+def scan_report(spark, d):
+    """The main path over every document with the fake provider: view, chunks, replies, merge, roles, coverage, curator, gate"""
+    return _scan(spark, d).report.select(
+        "source_id", "source_chars", "processing_chars", "chunks", "avg_chunk", "max_chunk", "candidates", "selected", "curator_calls", "located", "excerpts", "llm_calls", "gate", "reasons",
+        "exit_code", "locatability")
+
+
+@query(SCAN + f""", kept AS (SELECT p.* FROM picked p JOIN reported r ON r.source_id = p.doc_id WHERE p.selected AND reasons = '')
+ SELECT min(doc_id) AS source_id, arg_min(title, doc_id) AS title, '{C.WIKI_DIR}/' || replace(i, ' ', '-') || '.md' AS path, 'create' AS action, count(DISTINCT doc_id) AS sources FROM kept GROUP BY i""")
+def scan_plan(spark, d):
+    """The main path's last step: one planned note for each identity of the sources that passed"""
+    p = _scan(spark, d).plan
+    return p.select("source_id", "title", "path", "action", F.size("all_sources").cast("bigint").alias("sources"))
+
+
 def _pairs(spark, d):
     """Texts and benchmark texts that may be located in them, both as they are and normalised."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), X.normal_excerpt(F.col("text")).alias("needle")).where("needle <> ''")
@@ -153,6 +234,37 @@ def locate_benchmark(spark, d):
     return _located(spark, d).select("doc_id", "item_id", (at - 1).alias("start"), (at - 1 + F.length("needle")).alias("end"))
 
 
+PLACES = f"""WITH hit AS (
+  SELECT doc_id, item_id, text, h, n FROM (SELECT doc_id, text, {NORMAL.format(x='text')} AS h FROM documents), (SELECT item_id, {NORMAL.format(x='text')} AS n FROM benchmark) WHERE n <> '' AND instr(h, n) > 0
+), chars AS (
+  SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(0, length(text))) AS pos FROM (SELECT DISTINCT doc_id, text FROM hit)
+), bare AS (SELECT * FROM chars WHERE c NOT IN ('*', '_', '`')),
+blanks AS (SELECT *, regexp_matches(c, '^[ \\t\\n\\r\\f]$') AS blank FROM bare),
+runs AS (SELECT *, coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY pos), true) AS before FROM blanks),
+kept AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM runs WHERE NOT (blank AND before)),
+places AS (SELECT doc_id, item_id, length(n) AS size, unnest(list_filter(range(1, length(h) - length(n) + 2), lambda i: substr(h, i, length(n)) = n)) AS p FROM hit),
+found AS (
+  SELECT doc_id, item_id, a.pos AS s, b.pos + 1 AS e FROM places JOIN kept a USING (doc_id) JOIN kept b USING (doc_id) WHERE a.k = p AND b.k = p + size - 1
+)"""
+
+
+@query(PLACES + ' SELECT doc_id, item_id, min(s) AS "start", arg_min(e, s) AS "end" FROM found GROUP BY 1, 2')
+def locate_original(spark, d):
+    """benchmark texts in documents, as places in the original text"""
+    pairs = _located(spark, d).select("doc_id", "item_id", F.col("item").alias("excerpt"))
+    return locate(pairs, docs(spark, d).select("doc_id", F.col("text").alias("content")), "doc_id").select("doc_id", "item_id", "start", "end")
+
+
+@query(PLACES + """, r AS (SELECT doc_id, item_id, s, e, s >= length(text) // 2 AS inside FROM found JOIN documents USING (doc_id))
+ SELECT doc_id, item_id, arg_min(s, (CASE WHEN inside THEN 0 ELSE 1000000000 END) + s) AS "start", arg_min(e, (CASE WHEN inside THEN 0 ELSE 1000000000 END) + s) AS "end" FROM r GROUP BY 1, 2""")
+def locate_preferred(spark, d):
+    """The same, a hit in the second half of the text before others"""
+    size = F.length("text")
+    pairs = _located(spark, d).select(
+        "doc_id", "item_id", F.col("item").alias("excerpt"), F.floor(size / 2).alias("pref_start"), size.alias("pref_end"))
+    return locate(pairs, docs(spark, d).select("doc_id", F.col("text").alias("content")), "doc_id").select("doc_id", "item_id", "start", "end")
+
+
 @query(f"""SELECT count(DISTINCT item_id) FILTER (hit) AS located, count(DISTINCT item_id) AS total,
  'located ' || count(DISTINCT item_id) FILTER (hit) || '/' || count(DISTINCT item_id) AS line
  FROM (SELECT item_id, EXISTS (SELECT 1 FROM documents WHERE instr({NORMAL.format(x='documents.text')}, {NORMAL.format(x='b.text')}) > 0) AS hit FROM benchmark b)""")

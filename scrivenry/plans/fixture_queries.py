@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from scrivenry import config as C
 from scrivenry.functions import text as X
-from scrivenry.operators import candidates as A, coverage as V, extract as E, headings as H, notes as N
+from scrivenry.operators import candidates as A, coverage as V, extract as E, headings as H, notes as N, view as L
 from scrivenry.plans.fixtures import frame, with_values
 
 QUERIES = {}
@@ -139,15 +139,7 @@ MARK = C.OMISSION
 def view_lines(spark, d):
     """P5, P6, P7, P8, P9, F13; the detectors are ours"""
     t = F.col("line")
-    digits = F.regexp_count(t, F.lit("[0-9]"))
-    formula = t.rlike(r"[=^\\].*[+/^\\]")
-    kind = (
-        F.when(F.startswith(t, F.lit(MARK)), "omission").when(t.rlike(r"(?i)^(figure|fig\.) ?[0-9]"), "caption")
-        .when(t.rlike(r"^\|?( ?:?-+:? ?\|)+ ?(:?-+:? ?)?$"), "table_rule")
-        .when(F.contains(t, F.lit("|")), F.when(~t.rlike(r"^\|.*\|$"), "table_malformed").when(
-            digits > F.lit(C.TABLE_DIGIT_SHARE) * F.regexp_count(t, F.lit(r"[\p{L}\p{N}]")), "table_dense").otherwise("table"))
-        .when(formula, "formula").when(F.trim(t) == "", "blank").when(digits > F.lit(0.5) * F.regexp_count(t, F.lit(r"\S")), "figure_text").otherwise("prose"))
-    return frame(spark, "view_lines").select("id", kind.alias("kind"), F.when(formula & ~F.contains(t, F.lit("|")), F.lit(MARK + ": formula]")).otherwise(t).alias("shown"))
+    return frame(spark, "view_lines").select("id", L.line_kind(t).alias("kind"), L.shown_line(t).alias("shown"))
 
 
 @query(with_values("candidates") + " SELECT source_id, cand_id, role FROM candidates WHERE role NOT IN ('baseline', 'analysis') AND (role NOT IN ('dataset', 'metric') OR own)")

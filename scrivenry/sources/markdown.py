@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scrivenry import config as C
 from scrivenry.functions import text as X
+from scrivenry.sources.tables import worker_path
 
 FRONT = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
 
@@ -80,6 +81,7 @@ def extract(files: DataFrame, method: str = "plain") -> DataFrame:
         for p in parts:
             yield pd.DataFrame({"source_file": p["path"], "content": [extractor(c) for c in p["content"]]})
 
+    worker_path(files.sparkSession)
     raw = files.select("path", "content").mapInPandas(run, "source_file string, content string")
     low = F.length(F.trim("content")) < C.LOW_TEXT_CHARS
     return raw.select("source_file", F.lit(method).alias("extraction_method"), F.when(~low, X.escape_angle(F.col("content"))).alias("content"),

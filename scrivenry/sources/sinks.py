@@ -16,42 +16,108 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm.org.apache.hadoop.fs.Path
 
 
-def write_atomic(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Write beside ``path`` and rename: readers see the old table or the new one, never a part."""
-    spark = df.sparkSession
-    stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
-    df.write.format(kind).save(stage)
+def _promote(spark: SparkSession, path: str) -> None:
+    """Bring a published table, which a writer left beside its place, into its place."""
     fs, target, new = _fs(spark, path)
+    published = new(f"{path.rstrip('/')}.next")
+    if not fs.exists(published):
+        return
     old = new(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
     if fs.exists(target) and not fs.rename(target, old):
         raise OSError(f"cannot set aside {path}")
-    if not fs.rename(new(stage), target):
-        fs.rename(old, target)
+    if not fs.rename(published, target):
         raise OSError(f"cannot put {path} in place")
     fs.delete(old, True)
 
 
-def save_plan(notes: DataFrame, path: str) -> str:
-    """JSON lines of (path, action, content, base), and their digest, which is returned and stored.
+def write_atomic(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Write beside ``path``, publish by one rename and then move into place.
 
-    Refused where nothing is planned.
+    From the rename to ``path.next`` on, the new table is the current one, before it the old one;
+    ``read_current`` reads whichever that is, also after a crash at any point, which the next writer mends.
     """
-    rows = notes.select("path", "action", "content", "base")
-    digest = plan_digest(rows)
+    spark = df.sparkSession
+    stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
+    df.write.format(kind).save(stage)
+    _promote(spark, path)
+    fs, _, new = _fs(spark, path)
+    if not fs.rename(new(stage), new(f"{path.rstrip('/')}.next")):
+        raise OSError(f"cannot publish {path}")
+    _promote(spark, path)
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """Where the current table of ``path`` lies."""
+    fs, _, new = _fs(spark, path)
+    published = f"{path.rstrip('/')}.next"
+    return published if fs.exists(new(published)) else path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p, new = _fs(spark, current(spark, path))
+    return fs.exists(p)
+
+
+def read_current(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """The last table that ``write_atomic`` published at ``path``."""
+    return spark.read.format(kind).load(current(spark, path))
+
+
+PLAN = ("path", "action", "content", "base", "source_id", "source_hash", "version")
+PLAN_SCHEMA = "path string, action string, content string, base string, source_id string, source_hash string, version int"
+
+
+def _plan_rows(notes: DataFrame) -> DataFrame:
+    """The columns of a plan; those that ``notes`` lacks are null."""
+    kinds = dict(c.split() for c in PLAN_SCHEMA.split(", "))
+    return notes.select(*[(F.col(c) if c in notes.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in PLAN])
+
+
+def save_plan(notes: DataFrame, path: str, write: bool = False, exit_code: int = 0) -> str:
+    """JSON lines of the planned notes with their digest, which is returned, and a copy for people in ``path.review``.
+
+    Refused together with ``write``, after a failure (exit code other than 0), and where nothing is planned.
+    """
+    if write:
+        raise ValueError("a plan is either saved or written")
+    if exit_code:
+        raise ValueError(f"the run failed with {exit_code}, so there is no plan to save")
+    rows = _plan_rows(notes)
     if rows.isEmpty():
         raise ValueError("nothing was processed, so there is no plan to save")
+    digest = plan_digest(rows)
+    review = rows.select(F.concat(F.lit("# "), "action", F.lit(" "), "path", F.lit("\n\n"), F.coalesce("content", F.lit(""))).alias("value"))
+    write_atomic(review, f"{path.rstrip('/')}.review", "text")
     write_atomic(rows.withColumn("digest", F.lit(digest)), path, "json")
     return digest
 
 
 def plan_digest(rows: DataFrame) -> str:
-    """Order-free digest of the plan's rows."""
-    each = rows.select(X.sha256(F.to_json(F.struct("path", "action", "content", "base"))).alias("h"))
-    return each.agg(X.sha256(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("d")).first()["d"]
+    """Digest of a plan's rows in any order: their number and the sums of the parts of their digests."""
+    each = _plan_rows(rows).select(X.sha256(F.to_json(F.struct(*PLAN))).alias("h"))
+    part = lambda i: F.sum(F.conv(F.substr("h", F.lit(15 * i + 1), F.lit(15)), 16, 10).cast("decimal(38,0)"))
+    sums = F.concat_ws("/", F.count(F.lit(1)).cast("string"), *[F.coalesce(part(i).cast("string"), F.lit("")) for i in range(4)])
+    return each.agg(X.sha256(sums).alias("d")).first()["d"]
 
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("path string, action string, content string, base string, digest string").json(path)
+    return spark.read.schema(f"{PLAN_SCHEMA}, digest string").json(current(spark, path))
+
+
+def plan_checks(plan: DataFrame, digest: str, state: DataFrame, notes: DataFrame, spent: DataFrame) -> DataFrame:
+    """What ``plan_reasons`` judges, one row for each planned note, from the state of things now.
+
+    ``state`` has (source_id, content_hash) of the sources as they are, ``notes`` (path, content, origin) of the
+    notes as they are, ``spent`` (digest) of plans that were applied.
+    """
+    found = plan_digest(plan)
+    now = state.select(F.col("source_id").cast("string").alias("source_id"), F.col("content_hash").alias("found_hash"))
+    held = notes.select("path", F.col("content").alias("found_base"), F.col("origin").alias("owner"))
+    used = not spent.where(F.col("digest") == digest).isEmpty()
+    return (
+        plan.join(now, "source_id", "left").join(held, "path", "left")
+        .select(F.col("path").alias("plan_id"), F.lit(digest).alias("digest"), F.lit(found).alias("found_digest"), F.col("version"), "source_hash",
+                "found_hash", "path", "action", "base", "found_base", "owner", F.lit(used).alias("spent")))
 
 
 def apply_plan(plan: DataFrame, checks: DataFrame, target: str, write: bool) -> bool:

@@ -92,10 +92,31 @@ def test_provider_runs_once_and_failures_are_kept(spark):
     def provider(text):
         if text == "boom":
             raise TimeoutError
-        return '{"title":"T","role":"concept","definition":"d","evidence":[{"claim":"c","excerpt":"e"}]}'
+        return '{"title":"T","role":"concept","definition":"d","key_points":[],"evidence":[{"claim":"c","excerpt":"e"}]}'
 
     got = E.check_replies(E.extract(c, provider, "doc_id"))
-    assert {r["chunk_no"]: r["status"] for r in got.collect()} == {1: "ok", 2: "failed"}
+    assert {r["chunk_no"]: (r["status"], r["failure"]) for r in got.collect()} == {1: ("ok", None), 2: ("failed", "timeout")}
+
+
+def test_providers_get_their_limits(spark):
+    c = spark.createDataFrame([(1, 1, "a"), (1, 2, "slow")], "doc_id bigint, chunk_no bigint, text string")
+
+    def provider(text, max_tokens, temperature, timeout_s):
+        import time
+
+        time.sleep(1.2 if text == "slow" else 0)
+        return f"{max_tokens} {temperature} {timeout_s}"
+
+    got = {r["chunk_no"]: (r["reply"], r["failure"]) for r in E.extract(c, provider, "doc_id", timeout_s=1).collect()}
+    assert got == {1: ("1024 0 1", None), 2: (None, "timeout")}
+
+
+def test_replies_are_strict(spark):
+    good = '{"title":"T","role":"concept","definition":"d","key_points":["k"],"evidence":[{"claim":"c","excerpt":"e"}]}'
+    bad = [good.replace('"key_points":["k"],', ""), good.replace('"d"', '"d","more":1'), good.replace('["k"]', "[1]"), good.replace('["k"]', '["k",null]'), good.replace('"c"', "null"),
+           good.replace(',"excerpt":"e"', ""), good.replace('"T"', "3"), good.replace('[{"claim":"c","excerpt":"e"}]', '[{"claim":"c","excerpt":"e"},{"claim":"c"}]'), f"[{good}]"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([good, *bad])], "id bigint, reply string")
+    assert {r["id"] for r in E.check_replies(df).where("status <> 'failed'").collect()} == {0}
 
 
 def test_notes_and_sinks(spark, tmp_path):
@@ -127,11 +148,145 @@ def test_ingest_and_cli(spark, sf, tmp_path, capsys):
     assert got[0]["content"].startswith("k &lt; n &lt;unknown") and got[0]["exit_code"] == 0
     (tmp_path / "p" / "b.txt").write_text("short")
     assert main(["ingest", str(tmp_path / "p")], spark) == 3
-    assert main(["scan", f"{sf}/documents.parquet", "--save-plan", str(tmp_path / "plan")], spark) == 0
-    digest = capsys.readouterr().out.split("digest=")[1].strip()
-    assert main(["apply", str(tmp_path / "plan"), "--digest", "x"], spark) == 5
-    assert main(["apply", str(tmp_path / "plan"), "--digest", digest, "--write", str(tmp_path / "o")], spark) == 0
-    assert spark.read.parquet(str(tmp_path / "o")).count() > 0
+    docs = f"{sf}/documents.parquet"
+    # one source that fails its gate blocks the whole run
+    spark.createDataFrame([(1, "Method. Nothing more."), (2, "A small gate. More.")], "doc_id bigint, text string").write.parquet(str(tmp_path / "generic"))
+    assert main(["scan", str(tmp_path / "generic"), "--save-plan", str(tmp_path / "plan")], spark) == 6 and not (tmp_path / "plan").exists()
+    assert main(["scan", docs, "--save-plan", str(tmp_path / "whole")], spark) == 0
+    one = spark.read.parquet(docs).where("length(text) between 500 and 3000").orderBy("doc_id").first()["doc_id"]
+    assert main(["scan", docs, "--source", str(one), "--save-plan", str(tmp_path / "plan")], spark) == 0
+    digest = capsys.readouterr().out.split("digest=")[-1].strip()
+    assert "# create Library/Concepts/" in "".join(x.read_text() for x in (tmp_path / "plan.review").glob("*.txt"))
+    with pytest.raises(ValueError):
+        S.save_plan(S.read_plan(spark, str(tmp_path / "plan")), str(tmp_path / "no"), write=True)
+    with pytest.raises(ValueError):
+        S.save_plan(S.read_plan(spark, str(tmp_path / "plan")), str(tmp_path / "no"), exit_code=5)
+    apply = ["apply", str(tmp_path / "plan"), "--sources", docs, "--spent", str(tmp_path / "spent"), "--write", str(tmp_path / "o"), "--digest"]
+    assert main([*apply, "x"], spark) == 5
+    spark.read.parquet(docs).where(F.col("doc_id") == one).withColumn("text", F.lit("changed")).write.parquet(str(tmp_path / "changed"))
+    assert main([*apply[:2], "--sources", str(tmp_path / "changed"), "--digest", digest], spark) == 5
+    assert "source_changed" in capsys.readouterr().out
+    assert main([*apply, digest], spark) == 0 and main([*apply, digest], spark) == 5
+    notes = S.read_current(spark, str(tmp_path / "o"))
+    assert notes.count() > 0 and "### Evidence 1" in notes.first()["content"]
+    state = str(tmp_path / "state")
+    run = ["scan", docs, "--source", str(one), "--state", state, "--write", str(tmp_path / "w")]
+    assert main(run, spark) == 0 and "planned=0" not in capsys.readouterr().out
+    assert main(run, spark) == 0 and "planned=0" in capsys.readouterr().out
+
+
+def test_verify_marks_machine_notes(spark, tmp_path, capsys):
+    from scrivenry.cli import main
+
+    spark.createDataFrame([(1, "The *Gate*  is\nsmall."), (2, "Other.")], "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(1, "the gate is small"), (1, "the gate is large"), (2, "nothing")], "doc_id bigint, excerpt string").write.parquet(str(tmp_path / "e"))
+    notes = [("a.md", "A", "ai", "false", "body", 1), ("b.md", "B", "me", "false", "body", 1), ("c.md", "C", "ai", "true", "body", 2), ("d.md", "D", "ai", "false", "body", 9)]
+    spark.createDataFrame(notes, "path string, title string, origin string, human_verified string, body string, doc_id bigint").write.parquet(str(tmp_path / "n"))
+    base = ["verify", str(tmp_path / "d"), str(tmp_path / "e"), "--notes", str(tmp_path / "n"), "--write", str(tmp_path / "o")]
+    assert main(base, spark) == 2 and "1 of 3" in capsys.readouterr().out
+    assert main([*base, "--reviewer", "R"], spark) == 0
+    got = {r["path"]: (r["human_verified"], r["verified_by"], r["body"]) for r in S.read_current(spark, str(tmp_path / "o")).collect()}
+    assert got["a.md"] == ("true", "ai", "body\nVerification: 1 of 2 excerpts verbatim, by R\n")
+    assert got["b.md"] == ("false", None, "body") and got["c.md"] == ("true", None, "body") and got["d.md"] == ("false", None, "body")
+
+
+PAPER = """# Q-Net: small gates for graphs
+
+Intro prose says things. More of it.
+
+## 3 Method
+
+### 3.1 Note Folding
+
+Note folding joins notes that say the same. It runs often.
+
+### 3.2 Link Finding
+
+Link finding draws edges between notes.
+
+### 3.3 Experiment Setup
+
+Not a mechanism.
+
+## References
+
+Nobody. A paper nobody reads.
+"""
+
+
+def test_main_path_over_a_paper(spark):
+    import json
+
+    from scrivenry.operators import scan as R
+
+    def provider(text):
+        title, role = ("Note Folding", "method_entity") if "folding joins" in text and "Link finding" in text else ("Link Finding", "mechanism") if text.startswith("Link Finding") else ("Gate", "concept")
+        line = [x for x in text.split("\n") if x and not x.startswith("#")][-1] if title != "Gate" else text[:20]
+        return json.dumps({"title": title, "role": role, "definition": "d", "key_points": ["k"], "evidence": [{"claim": "c", "excerpt": line}]})
+
+    sources = spark.createDataFrame([(1, "Q-Net: small gates for graphs", PAPER), (2, "Empty", None), (3, "Known", "Old words.")], "source_id bigint, title string, text string")
+    import hashlib
+
+    state = spark.createDataFrame([(3, hashlib.sha256(b"Old words.").hexdigest())], "source_id bigint, content_hash string")
+    notes = spark.createDataFrame([("Library/Concepts/gate.md", "Note-Folding", "ai", "false", "old")], "path string, title string, origin string, human_verified string, body string")
+    got = R.scan(sources, provider=provider, notes=notes, state=state)
+    report = {r["source_id"]: r for r in got.report.collect()}
+    assert set(report) == {1, 2} and "nobody reads" not in got.view.where("source_id = 1").first()["content"]
+    r = report[1]
+    assert (r["detected"], r["covered_before"], r["targeted"], r["recovered"], r["still_uncovered"], r["recovery_calls"]) == (2, 1, 1, 1, 0, 1)
+    assert (r["candidates"], r["selected"], r["located"], r["excerpts"], r["llm_calls"], r["gate"], r["exit_code"]) == (2, 2, 2, 2, 2, "pass", 0)
+    cands = {x["title"]: x for x in got.candidates.collect()}
+    assert cands["Note Folding"]["role"] == "mechanism" and cands["Link Finding"]["role"] == "mechanism"
+    plan = {x["title"]: x for x in got.plan.collect()}
+    assert plan["Note Folding"]["action"] == "update" and plan["Note Folding"]["path"] == "Library/Concepts/gate.md" and plan["Note Folding"]["base"] == "old"
+    text = plan["Link Finding"]["content"]
+    assert plan["Link Finding"]["action"] == "create" and [x for x in text.split("\n") if x.startswith("## ")] == [
+        f"## {x}" for x in ("Definition", "Core Idea", "Mechanism", "Key Points", "Related Concepts", "Evidence", "Sources", "Open Questions", "Provenance")]
+    assert "- [[Note-Folding]]" in text and "Source: [[Q-Net: small gates for graphs]]" in text
+    assert got.exit_code() == 0
+
+    broken = R.scan(sources, provider=lambda t: "{", notes=notes)
+    assert broken.exit_code() == 5 and broken.plan.count() == 0
+    curated = R.scan(sources.where("source_id = 1"), provider=provider, curator=lambda asked: asked.select("source_id", F.lit("Unheard Of").alias("title")))
+    assert curated.report.first()["curator_calls"] in (0, 1)
+
+
+def test_locate_operator(spark):
+    from scrivenry.operators.locate import locate
+
+    text = "Intro. The *Gate*  is\nsmall. Then the gate is small again.\n> [... omitted from AI extraction: hidden words]"
+    ev = spark.createDataFrame([(1, "a", "the gate is small", None, None), (1, "b", "the gate is small", 25, 200), (1, "c", "", None, None), (1, "d", None, None, None), (1, "e", "hidden words", None, None),
+                                (2, "f", "x", None, None), (None, "g", "x", None, None), (1, "a", "the gate is small", None, None)], "source_id bigint, content string, excerpt string, pref_start int, pref_end int")
+    contents = spark.createDataFrame([(1, text), (3, None)], "source_id bigint, content string")
+    got = locate(ev, contents).collect()
+    at = {r["content"]: (r["start"], r["end"]) for r in got}
+    assert len(got) == 8 and text[at["a"][0]:at["a"][1]] == "The *Gate*  is\nsmall" and at["b"][0] > at["a"][1]
+    assert all(at[k] == (None, None) for k in "cdefg")
+    assert locate(ev.where("false"), contents).count() == 0
+
+
+def test_short_excerpts_in_blocks(spark, monkeypatch):
+    from scrivenry.operators import locate as O
+
+    texts = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "betamax gam"), (3, "")], "doc_id bigint, hay string")
+    needles = ["alp", "a beta g", "beta gamma", "ta gamma delta eps", "nothing", "max gam", "beta gamma delta epsilon"]
+    items = spark.createDataFrame(list(enumerate(needles)), "item_id int, needle string")
+    want = {(d, i) for d, h in ((1, "alpha beta gamma delta epsilon"), (2, "betamax gam")) for i, n in enumerate(needles) if n in h}
+    for block in (10_000, 1):
+        monkeypatch.setattr(O, "SHORT_BLOCK", block)
+        assert want <= {(r["doc_id"], r["item_id"]) for r in O.candidate_pairs(texts, items).collect()}
+
+
+def test_tables_stay_readable_at_every_step(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "t")
+    S.write_atomic(spark.range(3), out)
+    # a writer that dies between publishing and moving leaves the new table as the current one
+    monkeypatch.setattr(S, "_promote", lambda *a: None)
+    S.write_atomic(spark.range(5), out)
+    monkeypatch.undo()
+    assert spark.read.parquet(out).count() == 3 and S.read_current(spark, out).count() == 5
+    S.write_atomic(spark.range(7), out)
+    assert spark.read.parquet(out).count() == 7 == S.read_current(spark, out).count()
 
 
 def test_every_document_is_ingested(spark, tmp_path):
