@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from scrivenry.sources.tables import worker_path
+
 #: What an Arrow batch holds at most (one row at least).
 RECORDS, BATCH_BYTES = 1000, 8 << 20
 
@@ -21,14 +21,9 @@ def bound_batches(spark: SparkSession) -> None:
     """Limit what passes between the JVM and a Python worker at once, by rows and by bytes.
 
     The limits belong to the session, so every operator sets the same ones, and only where the session
-    sets none of its own; what an operator needs beyond that it does by ``slices``. Workers on this
-    machine also get the folder of this package on their path; a cluster gets the package through
-    ``--py-files``.
+    sets none of its own; what an operator needs beyond that it does by ``slices``.
     """
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in known:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+    worker_path(spark)
     own = spark.conf.getAll
     for name, value in (("maxRecordsPerBatch", RECORDS), ("maxBytesPerBatch", BATCH_BYTES)):
         if f"spark.sql.execution.arrow.{name}" not in own:

@@ -8,14 +8,14 @@ from itertools import combinations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scrivenry.llm.batches import bound_batches
+from scrivenry.llm.batches import map_batches, slices
 from scrivenry.operators.graph import connected_components
 from scrivenry.sources.tables import materialise
 
 #: A shard with more fingerprints than this is cut into blocks; trees of blocks meet pairwise.
 BLOCK = 4096
 #: A class of candidates with more nodes, or more shingles in all, is cut into blocks likewise.
-VERIFY_BLOCK, VERIFY_SHINGLES = 1024, 4_000_000
+VERIFY_BLOCK, VERIFY_SHINGLES = 4096, 2_000_000
 #: Hashes turned into bit counts at once.
 CHUNK = 8192
 
@@ -125,7 +125,6 @@ def fingerprints(
     With ``sets`` the fingerprint is of the set of shingles, however often each occurs, and ``node``
     (128-bit digest of the set) and ``n`` (its size) are added.
     """
-    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
 
@@ -133,7 +132,7 @@ def fingerprints(
         import numpy as np
         import xxhash
 
-        for b in batches:
+        for b in slices(batches, megabytes=4):
             fps, anc, nodes, sizes = [], [], [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py(), shingle)
@@ -148,7 +147,7 @@ def fingerprints(
                 cols += [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "fp", "anchors", "node", "n"][:len(cols)])
 
-    return src.mapInArrow(run, f"doc {kind}, fp binary, anchors array<bigint>" + (", node binary, n bigint" if sets else ""))
+    return map_batches(src, run, f"doc {kind}, fp binary, anchors array<bigint>" + (", node binary, n bigint" if sets else ""))
 
 
 def _band_keys(fp: Column, radius: int) -> Column:
@@ -172,30 +171,73 @@ def _anchor_keys(anc: Column, n: int) -> Column:
     ])
 
 
+class _Classes:
+    """Classes of the members of a group, and how many there are."""
+
+    def __init__(self) -> None:
+        self.parent: dict = {}
+        self.count = 0
+
+    def add(self, x) -> None:
+        self.parent[x] = x
+        self.count += 1
+
+    def root(self, x):
+        up = self.parent
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x, y) -> bool:
+        a, b = self.root(x), self.root(y)
+        if a == b:
+            return False
+        self.parent[a] = b
+        self.count -= 1
+        return True
+
+
 def _join_blocks(radius: int):
-    """Groups (key, i, j) in sorted rows -> links (a, b) of fingerprints that span the near ones."""
+    """Groups (key, i, j) in sorted rows -> links (a, b) of fingerprints that span the near ones.
 
-    def group(left: list[int], right: list[int], same: bool, width: int, out: list[tuple[bytes, bytes]]) -> None:
-        parent: dict[int, int] = {}
+    Where all members of a tree are one class, a search ends at its first hit, so copies of one text with
+    small changes cost a search each and not all their pairs. A group of two blocks gives out only links
+    that join what the blocks do not join by themselves, which their own groups give out.
+    """
 
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    def grow(members: list[int], out: list[tuple[int, int]]) -> tuple[BKTree, _Classes]:
+        tree, classes = BKTree(), _Classes()
+        for x in members:
+            classes.add(x)
+            for y in tree.within(x, radius):
+                if classes.join(x, y):
+                    out.append((x, y))
+                if classes.count == 1:
+                    break
+            tree.add(x)
+        return tree, classes
 
-        tree = BKTree()
+    def group(left: list[int], right: list[int], same: bool, width: int, out: list[tuple[bytes, bytes]]) -> None:
+        found: list[tuple[int, int]] = []
+        tree, classes = grow(left, found)
         if not same:
-            for x in left:
-                tree.add(x)
-        for x in left if same else right:
-            for y in tree.within(x, radius):
-                a, b = root(x), root(y)
-                if a != b:
-                    parent[a] = b
-                    out.append((x.to_bytes(width), y.to_bytes(width)))
-            if same:
-                tree.add(x)
+            found = []
+            one = classes.count == 1
+            others = grow(right, [])[1]
+            classes.parent |= others.parent
+            classes.count += others.count
+            for x in right:
+                if one and classes.root(x) == classes.root(left[0]):
+                    continue
+                for y in tree.within(x, radius):
+                    if classes.join(x, y):
+                        found.append((x, y))
+                    if one or classes.count == 1:
+                        break
+                if classes.count == 1:
+                    break
+        out += [(x.to_bytes(width), y.to_bytes(width)) for x, y in found]
 
     def run(batches):
         here = None
@@ -244,10 +286,8 @@ def near_links(routed: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     dealt = cut.select(
         "key", "side", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     ).select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "fp")
-    return (
-        dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        .mapInArrow(_join_blocks(radius), "a binary, b binary")
-    )
+    return map_batches(
+        dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), _join_blocks(radius), "a binary, b binary")
 
 
 def _shingle_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -259,47 +299,59 @@ def _shingle_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: st
         import numpy as np
         import xxhash
 
-        for b in batches:
+        for b in slices(batches, megabytes=4):
             found = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column(5)]
             # rows may share an id; only a row with the node's own set stands for it
             own = pa.array([xxhash.xxh3_128_digest(x) == n.as_py() for x, n in zip(found, b.column(4))], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:5], pa.array(found, pa.binary())], names=["key", "blocks", "side", "fp", "node", "set"]).filter(own)
 
-    return src.mapInArrow(run, "key binary, blocks int, side int, fp binary, node binary, set binary")
+    kind = src.schema["key"].dataType.simpleString()
+    return map_batches(src, run, f"key {kind}, blocks int, side int, fp binary, node binary, set binary")
 
 
 def _verify_blocks(similarity: float, radius: int):
-    """Groups (key, i, j) in sorted rows -> links (a, b) of nodes that span those of ``similarity`` or more."""
+    """Groups (key, i, j) in sorted rows -> links (a, b) of nodes that span those of ``similarity`` or more; as ``_join_blocks``."""
 
-    def group(left: dict, right: dict, out: list[tuple[bytes, bytes]]) -> None:
+    def near(a: tuple, b: tuple) -> bool:
         import numpy as np
 
-        parent: dict[bytes, bytes] = {}
-
-        def root(x: bytes) -> bytes:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+        (fa, sa), (fb, sb) = a, b
+        small, large = sorted((len(sa), len(sb)))
+        if small < similarity * large - 1 or (fa ^ fb).bit_count() > radius:
+            return False
+        both = np.concatenate((sa, sb))
+        both.sort()
+        shared = int((both[1:] == both[:-1]).sum())
+        return bool(shared) and shared / (len(both) - shared) >= similarity
+
+    def grow(members: dict, out: list[tuple[bytes, bytes]]) -> _Classes:
+        classes, earlier = _Classes(), []
+        for x, own in members.items():
+            classes.add(x)
+            for y in earlier:
+                if classes.root(x) != classes.root(y) and near(own, members[y]):
+                    classes.join(x, y)
+                    out.append((x, y))
+                if classes.count == 1:
+                    break
+            earlier.append(x)
+        return classes
 
-        earlier = list(left.items()) if right else []
-        for x, (fx, sx) in (right or left).items():
-            for y, (fy, sy) in earlier:
-                small, large = sorted((len(sx), len(sy)))
-                if small < similarity * large - 1 or (fx ^ fy).bit_count() > radius:
-                    continue
-                a, b = root(x), root(y)
-                if a == b:
-                    continue
-                both = np.concatenate((sx, sy))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if shared and shared / (len(both) - shared) >= similarity:
-                    parent[a] = b
+    def group(left: dict, right: dict, out: list[tuple[bytes, bytes]]) -> None:
+        if not right:
+            grow(left, out)
+            return
+        classes, others = grow(left, []), grow(right, [])
+        classes.parent |= others.parent
+        classes.count += others.count
+        for x, own in right.items():
+            for y, other in left.items():
+                if classes.count == 1:
+                    return
+                if classes.root(x) != classes.root(y) and near(own, other):
+                    classes.join(x, y)
                     out.append((x, y))
-            if not right:
-                earlier.append((x, (fx, sx)))
 
     def run(batches):
         import numpy as np
@@ -344,11 +396,9 @@ def verified_links(
         "doc", "key", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("side"), "fp", "node")
     sets = _shingle_sets(docs, members, id_col, text_col, shingle)
     dealt = sets.select("key", "side", "fp", "node", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return (
-        dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "fp", "node", "set")
-        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        .mapInArrow(_verify_blocks(similarity, radius), "a binary, b binary")
-    )
+    met = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "fp", "node", "set")
+    return map_batches(
+        met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), _verify_blocks(similarity, radius), "a binary, b binary")
 
 
 def near_duplicates(
@@ -376,19 +426,20 @@ def near_duplicates(
         raise ValueError("bands cut a fingerprint of 64 bits")
     exact = similarity is not None
     prints = materialise(fingerprints(docs, id_col, text_col, shingle, words, n_anchors, exact), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc").alias("doc"))
+    # a number for a fingerprint: its own bits, or of wide ones a hash
+    number = (lambda fp: F.conv(F.hex(fp), 16, -10).cast("bigint")) if words == 1 else F.xxhash64
+    nodes = prints.groupBy("fp").agg(F.min("doc").alias("doc")).withColumn("at", number(F.col("fp")))
     if n_anchors:
         routed = prints.select(F.explode(_anchor_keys(F.col("anchors"), n_anchors)).alias("key"), "fp").distinct()
     else:
         routed = nodes.select(F.explode(_band_keys(F.col("fp"), radius)).alias("key"), "fp")
-    links = materialise(near_links(routed, radius).distinct(), "near")
+    links = near_links(routed, radius).select(number(F.col("a")).alias("a"), number(F.col("b")).alias("b"))
     joined = connected_components(links)
-    classes = nodes.join(joined, nodes["fp"] == joined["node"], "left").select(
-        "fp", "doc", F.coalesce("component", "fp").alias("class"))
+    classes = nodes.join(joined, nodes["at"] == joined["node"], "left").select("fp", "at", "doc", F.coalesce("component", "at").alias("class"))
     if exact:
-        own = prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("doc", "fp", "n")])
-        members = materialise(own.join(classes.select("fp", "class"), "fp").select("doc", "node", "fp", "n", "class"), "candidates")
-        links = materialise(verified_links(docs, members, id_col, text_col, shingle, similarity, radius), "verified")
+        own = prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("doc", "fp", "n")]).withColumn("at", number(F.col("fp")))
+        members = materialise(own.join(classes.select("at", "class"), "at").select("doc", "node", "fp", "n", "class"), "candidates")
+        links = verified_links(docs, members, id_col, text_col, shingle, similarity, radius)
         joined = connected_components(links).withColumnRenamed("node", "at")
         classes = members.join(joined, members["node"] == joined["at"], "left").select(
             "node", "doc", F.coalesce("component", "node").alias("class"))
