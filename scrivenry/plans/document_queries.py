@@ -339,17 +339,17 @@ def low_text(spark, d):
     return docs(spark, d).select("doc_id", F.when(F.length(F.trim(F.coalesce("text", F.lit("")))) < C.LOW_TEXT_CHARS, C.EXITS["ocr"]).otherwise(0).alias("exit_code"))
 
 
-@query(r"""WITH f AS (SELECT doc_id, regexp_matches(text, '(?m)^[a-z]') AS a, regexp_matches(text, '\|') AS b, regexp_matches(text, '[#$%&]{3}') AS c,
- regexp_matches(text, '[\p{L}]{30}') AS d, regexp_matches(text, '(?m)^[^\n]$') AS e FROM documents WHERE text IS NOT NULL)
+@query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS (SELECT doc_id, regexp_matches(text, '(?m)^[a-z]') AS a, regexp_matches(text, '\|') AS b, regexp_matches(text, '[#$%&]{3}') AS c,
+ regexp_matches(text, '[\p{L}]{30}') AS d, regexp_matches(text, '(?m)^[^\n]$') AS e FROM t)
  SELECT doc_id, concat_ws(',', CASE WHEN a THEN 'reading_order' END, CASE WHEN b THEN 'table_layout' END, CASE WHEN c THEN 'formula_layout' END,
  CASE WHEN d THEN 'word_joining' END, CASE WHEN e THEN 'rotated_text' END) AS extraction_warnings,
  CASE WHEN a OR b OR c OR d OR e THEN 'review' ELSE 'good' END AS extraction_quality FROM f""")
 def quality_codes(spark, d):
     """S4; the detectors are ours: lines that start in lower case, pipes, symbol runs, very long words, lines of one character"""
-    t = F.col("text")
+    t = F.coalesce("text", F.lit(""))
     tests = (r"(?m)^[a-z]", r"\|", r"[#$%&]{3}", r"[\p{L}]{30}", r"(?m)^[^\n]$")
     codes = F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(n)) for n, p in zip(C.WARNINGS, tests)]))
-    x = docs(spark, d).where("text is not null").select("doc_id", F.array_distinct(codes).alias("c"))
+    x = docs(spark, d).select("doc_id", F.array_distinct(codes).alias("c"))
     return x.select("doc_id", F.array_join("c", ",").alias("extraction_warnings"), F.when(F.size("c") > 0, "review").otherwise("good").alias("extraction_quality"))
 
 
@@ -366,6 +366,11 @@ def _sql_markdown(x: str) -> str:
     return rf"regexp_replace({_sql_unescape(x)}, '^\s+|\s+$', '', 'g')"
 
 
+def _said(pattern: str) -> str:
+    found = "regexp_extract(html, '" + pattern.replace("'", "''") + "', 1)"
+    return f"nullif(trim({_sql_unescape(found)}), '')"
+
+
 SQL_TITLE = _sql_unescape(f"trim(regexp_extract(html, '{P.TITLE}', 1))")
 
 
@@ -389,8 +394,8 @@ def page_text(spark, d):
 
 
 @query(f"""SELECT page_id, 'source' AS "type", 'external' AS origin, 'raw' AS knowledge_status, '' AS domain, DATE '2026-01-01' AS created,
- DATE '2026-01-01' AS updated, 'web' AS source_type, nullif(trim(url), '') AS source_url, nullif({SQL_TITLE}, '') AS title,
- CAST(NULL AS VARCHAR) AS author, CAST(NULL AS DATE) AS published, false AS human_verified FROM pages""")
+ DATE '2026-01-01' AS updated, 'web' AS source_type, coalesce({_said(P.CANONICAL)}, nullif(trim(url), '')) AS source_url, nullif({SQL_TITLE}, '') AS title,
+ {_said(P.AUTHOR)} AS author, TRY_CAST({_said(P.PUBLISHED)} AS DATE) AS published, false AS human_verified FROM pages""")
 def web_properties(spark, d):
     """S8"""
     return P.properties(table(spark, d, "pages"), "2026-01-01")
@@ -441,14 +446,8 @@ def conversation_notes(spark, d):
     ).select("conv_id", "turns", F.array_join("r.role", ">").alias("roles"), "chars")
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '\n.*', '') AS line FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(10))")
-def report_escape(spark, d):
-    """A report line keeps what the console can show"""
-    return docs(spark, d).where(~F.contains("text", F.lit("\n"))).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("line"))
-
-
 @query(r"""SELECT doc_id, replace(replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g'), chr(13), '\r'), chr(10), '\n') AS line FROM documents""")
-def report_escape_all(spark, d):
-    """Every document as one report line, line ends escaped; a null text is an empty line"""
+def report_escape(spark, d):
+    """Every document as one report line: what the console cannot show and line ends are escaped; a null text is an empty line"""
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?")
     return docs(spark, d).select("doc_id", F.replace(F.replace(plain, F.lit("\r"), F.lit(r"\r")), F.lit("\n"), F.lit(r"\n")).alias("line"))

@@ -51,6 +51,12 @@ def section(body: Column, name: str) -> Column:
     return F.regexp_replace(found, r"^\s+|\s+$", "")
 
 
+def content(body: Column) -> Column:
+    """The Content section of a source note, with the headings it holds: up to the last section for people's marks."""
+    found = F.regexp_extract(body, r"(?ms)^## Content\s*?$\n?(.*)^## My Highlights\s*?$", 1)
+    return F.regexp_replace(found, r"^\s+|\s+$", "")
+
+
 def plain_extractor(content: bytes) -> str:
     """Extractor for text files, and the stand-in where no PDF library is installed."""
     return content.decode("utf-8", "replace")

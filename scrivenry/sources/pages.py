@@ -25,6 +25,9 @@ STEPS = (
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 H1 = r"(?is)<h1[^>]*>(.*?)</h1>"
+AUTHOR = r"""(?i)<meta\b[^>]*name=["']author["'][^>]*content=["']([^"']*)["']"""
+PUBLISHED = r"""(?i)<meta\b[^>]*property=["']article:published_time["'][^>]*content=["']([0-9]{4}-[0-9]{2}-[0-9]{2})"""
+CANONICAL = r"""(?i)<link\b[^>]*rel=["']canonical["'][^>]*href=["'](https?://[^"']+)["']"""
 HREF = r'(?i)<a\b[^>]*href="([^"]*)"'
 
 
@@ -46,14 +49,18 @@ def title(html: Column) -> Column:
 
 
 def properties(pages: DataFrame, captured: str) -> DataFrame:
-    """The twelve capture properties; what a page does not say stays null, nothing is made up."""
-    blank = F.lit(None).cast("string")
+    """The twelve capture properties; what a page does not say stays null, nothing is made up.
+
+    The author, the date of publication and the canonical address are those of the page's head; ``captured`` is the
+    day of the capture.
+    """
+    said = lambda pattern: F.nullif(F.trim(unescape(F.regexp_extract("html", pattern, 1))), F.lit(""))
     return pages.select(
         "page_id", F.lit("source").alias("type"), F.lit("external").alias("origin"), F.lit("raw").alias("knowledge_status"),
         F.lit("").alias("domain"), F.lit(captured).cast("date").alias("created"), F.lit(captured).cast("date").alias("updated"),
-        F.lit("web").alias("source_type"), F.nullif(F.trim("url"), F.lit("")).alias("source_url"),
-        F.nullif(title(F.col("html")), F.lit("")).alias("title"), blank.alias("author"),
-        F.try_to_date(blank, "yyyy-MM-dd").alias("published"), F.lit(False).alias("human_verified"),
+        F.lit("web").alias("source_type"), F.coalesce(said(CANONICAL), F.nullif(F.trim("url"), F.lit(""))).alias("source_url"),
+        F.nullif(title(F.col("html")), F.lit("")).alias("title"), said(AUTHOR).alias("author"),
+        F.try_to_date(said(PUBLISHED), "yyyy-MM-dd").alias("published"), F.lit(False).alias("human_verified"),
     )
 
 
