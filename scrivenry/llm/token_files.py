@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from scrivenry.llm.batches import bound_batches
-from scrivenry.sources.tables import materialise, shared_dir
+from scrivenry.llm.batches import map_batches, slices
+from scrivenry.sources.tables import shared_dir
 
 #: Fixed values of the record format (all numbers little-endian).
 #:   record  = length u64 | masked crc32 of these 8 bytes u32 | payload | masked crc32 of payload u32 | 0x0A
@@ -30,10 +30,12 @@ FOOT = struct.Struct("<I")
 INNER = struct.Struct("<BqB")
 
 _TOKENIZERS: dict[str, tuple] = {}
+#: Text bytes of a shard (a range of keys); bytes of records that are written as one row, and rows of a file.
+SHARD_BYTES, BLOB_BYTES, FILE_BLOBS = 32 << 20, 4 << 20, 4
 #: Words whose ids a Python worker remembers; a batch's own are always held.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 400_000
 END_MARK = re.compile(r"([.,!?;:])(?<=[^\W_][.,!?;:])(?![^ \n])")
-ODD = re.compile("[\u03a3\u0130]|<\\|")
+ODD = ("\u03a3", "\u0130", "<|")
 
 
 def masked_crc(data: bytes) -> int:
@@ -109,7 +111,7 @@ class ChunkEncoder:
         or digit and white space is parted. Not so in pieces with one of the two letters whose lower
         case hangs on their neighbours or takes a mark, or with what may start a special token.
         """
-        if unicodedata.is_normalized("NFC", text) and not ODD.search(text):
+        if unicodedata.is_normalized("NFC", text) and not any(x in text for x in ODD):
             if self.folds:
                 text = text.lower()
             if self.parts:
@@ -165,112 +167,125 @@ def _encoder(name: str, spec: str) -> ChunkEncoder:
     return _TOKENIZERS[name]
 
 
-def encode_records(
-    docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text",
-    cuts: list[int] | None = None,
-) -> DataFrame:
-    """(doc, shard, record): each row's framed ids with ``end_id`` appended. Null texts are empty.
+def encode_records(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
+    """(shard, seq, value) of (doc, text) rows: their framed records in order, ``end_id`` appended to the ids.
 
-    The shard is the number of ``cuts`` below the key, 0 for null keys.
+    A shard is a partition of the rows. A blob holds about BLOB_BYTES of records or one longer one,
+    without the line feed that ends its last record. Null texts are empty.
     """
-    bound_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     name = hashlib.sha256(spec.encode()).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast((spec, np.array(cuts or [], np.int64)))
+    shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches):
-        spec, bounds = shared.value
-        encode = _encoder(name, spec)
-        tail = b"" if end_id is None else encode.pack([end_id])
-        for b in batches:
-            keys = b.column(0).to_pylist()
-            records = [frame(k, ids + tail, encode.width) for k, ids in zip(
-                keys, encode.batch([t or "" for t in b.column(1).to_pylist()]))]
-            shards = np.searchsorted(bounds, np.array([-(2**63) if k is None else k for k in keys], np.int64), "left")
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(shards.astype(np.int32)), pa.array(records, pa.binary())], names=["doc", "shard", "record"])
+        from pyspark import TaskContext
+
+        shard, seq = TaskContext.get().partitionId(), 0
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc bigint, shard int, record binary")
+        def blob() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([b"\n".join(held)], pa.binary())],
+                names=["shard", "seq", "value"])
+
+        encode = _encoder(name, shared.value)
+        tail = b"" if end_id is None else encode.pack([end_id])
+        held: list[bytes] = []
+        size = 0
+        for b in slices(batches):
+            ids = encode.batch([t or "" for t in b.column(1).to_pylist()])
+            for key, own in zip(b.column(0).to_pylist(), ids):
+                held.append(frame(key, own + tail, encode.width))
+                size += len(held[-1]) + 1
+                if size >= BLOB_BYTES:
+                    yield blob()
+                    held, size, seq = [], 0, seq + 1
+        if held:
+            yield blob()
+
+    return map_batches(docs.select("doc", "text"), run, "shard int, seq int, value binary")
 
 
 def write_token_files(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id",
-    text_col: str = "text", shard_bytes: int = 16 << 20,
+    text_col: str = "text", shard_bytes: int = SHARD_BYTES,
 ) -> None:
     """Write ``path/data/shard=K/...`` in ascending key order, shard by shard, and ``path/index``.
 
-    Shards are ranges of keys between quantiles, about ``shard_bytes`` of text each. Rows are framed
-    where they are read, dealt to their shard once and written by Spark's committer, so a lost executor
-    leaves no half file. Null keys come first; equal keys stay together in the order of their
-    records' hash; an empty table writes no data. The index has (shard, doc, offset, length,
-    n_tokens, local_start) for reads in any order.
+    Shards are ranges of (key, hash of the text, row), about ``shard_bytes`` of text each where texts are
+    alike, so that even a key with a third of all rows, or repeated rows, are spread over many. Texts are
+    shuffled once, encoded in order and written by Spark's committer, so a lost executor leaves no half
+    file. A file holds at most FILE_BLOBS blobs (16 MB in all, or longer records); the files of a shard go in
+    the order of their numbers. Null keys come first; equal keys go in the order of their
+    texts' hash; an empty table writes no records. The index has (shard, part, doc, offset, length, n_tokens,
+    local_start, ids_crc32) for reads in any order, as read back from the files, every checksum verified.
+    Further columns, whatever their names, are not looked at.
     """
     text_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(1, -(-text_bytes // shard_bytes))
-    cuts = docs.agg(F.percentile_approx(
-        F.col(id_col).cast("bigint"), [i / n for i in range(1, n)] or [0.5], 100 * n).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts)) if n > 1 else []
-    placed = encode_records(docs, tokenizer_path, end_id, id_col, text_col, cuts)
-    (
-        placed.repartitionById(len(cuts) + 1, F.col("shard"))
-        .sortWithinPartitions("shard", F.col("doc").asc_nulls_first(), F.xxhash64("record"))
-        .select("shard", F.col("record").cast("string").alias("value"))
-        .write.partitionBy("shard").text(f"{path}/data")
-    )
-    spark = docs.sparkSession
-    scan = _scan(spark, f"{path}/data")
-    if scan is None:
-        scan = spark.createDataFrame([], SCHEMA)
-    scan.select("shard", "doc", "offset", "length", "n_tokens", "local_start").write.parquet(f"{path}/index")
+    rows = docs.select(
+        F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"),
+        F.monotonically_increasing_id().alias("row"))
+    order = (F.col("doc").asc_nulls_first(), F.col("tie"))
+    placed = rows.repartitionByRange(n, *order, "row").sortWithinPartitions(*order)
+    blobs = encode_records(placed, tokenizer_path, end_id).sortWithinPartitions("shard", "seq")
+    blobs.select("shard", F.col("value").cast("string")).write.partitionBy("shard").option("maxRecordsPerFile", FILE_BLOBS).text(f"{path}/data")
+    _scan(docs.sparkSession, f"{path}/data").write.parquet(f"{path}/index")
 
 
-SCHEMA = ("shard int, file string, doc bigint, offset bigint, length bigint, n_tokens bigint, "
+SCHEMA = ("shard int, part int, doc bigint, offset bigint, length bigint, n_tokens bigint, "
           "local_start bigint, ids_crc32 bigint")
+#: Fixed by Spark's writer: shard and number of a file.
+FILE_NAME = r"/shard=(\d+)/[^/]*[.-]c(\d+)[^/]*$"
+#: Shards whose sizes are summed up in one group.
+GROUP = 1024
 
 
-def _scan(spark: SparkSession, data: str) -> DataFrame | None:
-    """Every record of the files under ``data``, its checksums verified; None without files."""
-    from pyspark.errors import AnalysisException
-
-    bound_batches(spark)
-    try:
-        files = spark.read.format("binaryFile").load(data)
-        if "shard" not in files.columns:
-            return None
-    except AnalysisException:
-        return None
+def _scan(spark: SparkSession, data: str) -> DataFrame:
+    """Every record of the files under ``data``, its checksums verified."""
+    files = spark.read.format("binaryFile").load(data)
+    at = lambda i: F.regexp_extract("path", FILE_NAME, i).cast("int")
 
     def run(batches):
+        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 6]
         for b in batches:
-            for path, content, shard in zip(*(c.to_pylist() for c in b.columns)):
+            for k in range(b.num_rows):
+                shard, part, content = (b.column(i)[k] for i in range(3))
                 rows, total = [], 0
-                for offset, length, key, ids in read_frames(content):
-                    rows.append((shard, path, key, offset, length, len(ids), total, zlib.crc32(ids.astype("<u4").tobytes())))
+                for offset, length, key, ids in read_frames(content.as_buffer()):
+                    rows.append((shard.as_py(), part.as_py(), key, offset, length, len(ids), total, zlib.crc32(ids.astype("<u4").tobytes())))
                     total += len(ids)
-                kinds = [pa.int32(), pa.string(), *[pa.int64()] * 6]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
                     names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return files.select("path", "content", F.col("shard").cast("int")).mapInArrow(run, SCHEMA)
+    return map_batches(files.select(at(1).alias("shard"), at(2).alias("part"), "content"), run, SCHEMA)
+
+
+def _starts(sizes: DataFrame) -> DataFrame:
+    """(shard, part, before): ids of all files before, from (shard, part, n).
+
+    Sums in two steps, groups of GROUP shards and then whole groups, so that the one task that orders the
+    groups gets a row for each.
+    """
+    group = F.floor(F.col("shard") / GROUP).alias("g")
+    inner = Window.partitionBy("g").orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    grouped = sizes.withColumn("g", group)
+    totals = grouped.groupBy("g").agg(F.sum("n").alias("t")).select("g", F.coalesce(F.sum("t").over(outer), F.lit(0)).alias("base"))
+    local = grouped.select("g", "shard", "part", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("own"))
+    return local.join(totals, "g").select("shard", "part", (F.col("base") + F.col("own")).alias("before"))
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, start, n_tokens, ids_crc32) of every record, from the files themselves.
+    """(doc, start, n_tokens, ids_crc32) of every record of the files, by the index that was read from them.
 
-    ``start`` counts the ids of all documents before: the sum of the earlier shards (one row for each
-    shard) plus the place inside the shard.
+    ``start`` counts the ids of all documents before: the sum of the earlier files plus the place
+    inside the file.
     """
-    scan = _scan(spark, f"{path}/data")
-    if scan is None:
-        return spark.createDataFrame([], "doc bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    rows = materialise(scan, "records")
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(starts, "shard").select(
+    rows = spark.read.schema(SCHEMA).parquet(f"{path}/index")
+    starts = _starts(rows.groupBy("shard", "part").agg(F.sum("n_tokens").alias("n")))
+    return rows.join(starts, ["shard", "part"]).select(
         "doc", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
