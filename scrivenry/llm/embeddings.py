@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scrivenry.llm.batches import map_batches
+from scrivenry.llm.batches import map_batches, slices
 from scrivenry.operators.graph import connected_components
 from scrivenry.sources.tables import materialise
 
@@ -66,7 +66,10 @@ def buckets(x: np.ndarray, table: int, rotations: int, probes: int) -> np.ndarra
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    """Rows of unit length; scaled first, so that no finite row overflows."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def _clean(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -79,84 +82,181 @@ def _clean(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), v.alias("vec")).where(good)
 
 
+def _deal(vectors: DataFrame, tables: int, rotations: int, probes: int, block: int) -> DataFrame:
+    """(dim, key, i, j, side, id, n, keys, vec): the members of every two blocks that meet, in sorted partitions.
+
+    Vectors of one length meet only each other. Every vector enters ``probes`` buckets in each of
+    ``tables`` tables. A bucket of more than ``block`` vectors is cut by a hash into blocks and each two
+    blocks are a group of their own, so no pair of a bucket is left out and a group stays bounded.
+    """
+    def hashed(batches):
+        for b in slices(batches):
+            dims = b.column(2).to_numpy()
+            for dim in np.unique(dims):
+                part = b.filter(pa.array(dims == dim))
+                x = _matrix(part.column(1), int(dim))
+                padded = 1 << max(2, (int(dim) - 1).bit_length())
+                x = np.pad(x, ((0, 0), (0, padded - int(dim))))
+                keys = np.concatenate([buckets(x, t, rotations, probes) for t in range(tables)], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "dim", "keys"])
+
+    sized = vectors.withColumn("dim", F.size("vec"))
+    keyed = materialise(map_batches(sized.select("id", "vec", "dim"), hashed, "id bigint, dim int, keys array<bigint>"), "buckets")
+    routed = keyed.select("id", "dim", F.explode(F.array_distinct("keys")).alias("key"))
+    big = routed.groupBy("dim", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(
+        "dim", "key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    cut = routed.join(big, ["dim", "key"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = cut.select(
+        "dim", "key", "side", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).select("dim", "key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id")
+    # only members of shared buckets take their vector along
+    whole = sized.select("id", "n", "vec").join(keyed.select("id", "keys"), "id")
+    met = dealt.join(whole, "id").select("dim", "key", "i", "j", "side", "id", "n", "keys", "vec")
+    return met.repartition("dim", "key", "i", "j").sortWithinPartitions("dim", "key", "i", "j")
+
+
+class _Group:
+    """Members of one group: which are linked, and which links no earlier group has."""
+
+    def __init__(self, at: tuple, held: list[tuple], threshold: float, tables: int) -> None:
+        side, self.ids, self.n, self.keys, x = (np.concatenate([h[i] for h in held]) for i in range(5))
+        self.same = at[2] == at[3]
+        self.left = np.arange(len(side)) if self.same else np.flatnonzero(side == at[2])
+        self.right = self.left if self.same else np.flatnonzero(side == at[3])
+        self.key, self.table = at[1], at[1] % 1024
+        y = x[self.right]
+        self.linked = np.zeros((len(self.left), len(self.right)), bool)
+        for s in range(0, len(self.left), 256):
+            cos = x[self.left[s:s + 256]] @ y.T
+            self.linked[s:s + 256] = cos >= threshold
+            p, q = np.nonzero(np.abs(cos - threshold) < 1e-9)
+            self.linked[s + p, q] = np.einsum("ij,ij->i", x[self.left[s + p]], y[q]) >= threshold
+        if self.same:
+            np.fill_diagonal(self.linked, False)
+        self.probes = self.keys.shape[1] // tables
+
+    def new_pairs(self):
+        """Links (left place, right place), each way where the group has one block, of which this group's key is the smallest shared one
+        in the first table that shares any: a pair is new in one group alone. In slices."""
+        rows, cols = np.nonzero(np.triu(self.linked) if self.same else self.linked)
+        w = self.probes
+        for s in range(0, len(rows), 1 << 16):
+            p, q = self.left[rows[s:s + (1 << 16)]], self.right[cols[s:s + (1 << 16)]]
+            for t in range(self.table):
+                a, b = self.keys[p, t * w:t * w + w], self.keys[q, t * w:t * w + w]
+                free = ~(a[:, :, None] == b[:, None, :]).any((1, 2))
+                p, q = p[free], q[free]
+            t = self.table
+            a, b = self.keys[p, t * w:t * w + w], self.keys[q, t * w:t * w + w]
+            shared = np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.iinfo(np.int64).max).min(1)
+            own = shared == self.key
+            yield p[own], q[own]
+
+    def tree(self) -> list[tuple[int, int]]:
+        """Links that join all that the group's links join, one less than their members."""
+        out = []
+        m = len(self.left)
+        if self.same:
+            rest = np.ones(m, bool)
+            for root in range(m):
+                if not rest[root]:
+                    continue
+                rest[root] = False
+                todo = [root]
+                while todo:
+                    at = todo.pop()
+                    found = np.flatnonzero(self.linked[at] & rest)
+                    rest[found] = False
+                    out += [(at, k) for k in found.tolist()]
+                    todo += found.tolist()
+            return [(int(self.ids[self.left[a]]), int(self.ids[self.left[b]])) for a, b in out]
+        rest_l, rest_r = np.ones(m, bool), np.ones(len(self.right), bool)
+        for root in range(m):
+            if not rest_l[root]:
+                continue
+            rest_l[root] = False
+            todo = [(0, root)]
+            while todo:
+                side, at = todo.pop()
+                rest = rest_l if side else rest_r
+                found = np.flatnonzero((self.linked[:, at] if side else self.linked[at]) & rest)
+                rest[found] = False
+                out += [(k, at) if side else (at, k) for k in found.tolist()]
+                todo += [(1 - side, k) for k in found.tolist()]
+        return [(int(self.ids[self.left[a]]), int(self.ids[self.right[b]])) for a, b in out]
+
+
+def _groups(batches, threshold: float, tables: int):
+    """Groups of sorted rows (dim, key, i, j, side, id, n, keys, vec) of two members or more."""
+    here, held = None, []
+
+    def close():
+        if here is None or sum(len(h[1]) for h in held) < 2:
+            return None
+        sides = np.concatenate([h[0] for h in held])
+        if here[2] != here[3] and not ((sides == here[2]).any() and (sides == here[3]).any()):
+            return None
+        return _Group(here, held, threshold, tables)
+
+    for b in slices(batches):
+        dim, k, i, j, side, ids, n = (b.column(c).to_numpy(zero_copy_only=False) for c in range(7))
+        edge = np.flatnonzero((np.diff(dim) != 0) | (np.diff(k) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        for s, e in zip((0, *edge), (*edge, len(k))):
+            now = (int(dim[s]), int(k[s]), int(i[s]), int(j[s]))
+            if now != here:
+                if (got := close()) is not None:
+                    yield got
+                here, held = now, []
+            keys = b.column(7).slice(s, e - s).flatten().to_numpy().reshape(e - s, -1)
+            held.append((side[s:e], ids[s:e], n[s:e], keys, _matrix(b.column(8).slice(s, e - s), now[0])))
+    if (got := close()) is not None:
+        yield got
+
+
 def near_pairs(
     vectors: DataFrame, dim: int, threshold: float = 0.9, tables: int = TABLES, rotations: int = ROTATIONS,
     probes: int = PROBES, block: int = BLOCK,
 ) -> DataFrame:
-    """(id, vec) of distinct directions and ids -> (a, b, cosine), a < b, each pair once.
+    """(id, vec) of distinct ids -> (a, b), a < b: every link of vectors of length ``dim`` once.
 
-    Every vector enters ``probes`` buckets in each of ``tables`` tables; the members of a bucket are
-    compared exactly in double precision. A bucket of more than ``block`` vectors is cut by a hash into
-    blocks and each two blocks are compared in a group of their own, so no pair of a bucket is left
-    out and a group stays bounded. What is lost are pairs that share no bucket.
+    The members of a bucket are compared exactly in double precision. What is lost are pairs that share
+    no bucket. A group of m near vectors has m * (m - 1) / 2 rows here; ``near_links`` has none of them.
     """
-    padded = 1 << max(1, (dim - 1).bit_length())
+    def run(batches):
+        for g in _groups(batches, threshold, tables):
+            for p, q in g.new_pairs():
+                a, b = g.ids[p], g.ids[q]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    def hashed(batches):
-        for b in batches:
-            x = _matrix(b.column(1), dim)
-            x /= np.linalg.norm(x, axis=1)[:, None]
-            if padded > dim:
-                x = np.pad(x, ((0, 0), (0, padded - dim)))
-            keys = np.concatenate([buckets(x, t, rotations, probes) for t in range(tables)], axis=1)
+    rows = vectors.where(F.size("vec") == dim).withColumn("n", F.lit(1).cast("bigint"))
+    return map_batches(_deal(rows, tables, rotations, probes, block), run, "a bigint, b bigint")
+
+
+def near_links(
+    vectors: DataFrame, threshold: float = 0.9, tables: int = TABLES, rotations: int = ROTATIONS, probes: int = PROBES,
+    block: int = BLOCK,
+) -> DataFrame:
+    """(id, n, vec) of distinct ids -> rows (a, b, linked): b null: ``linked`` vectors more that link with a
+    (the sum of their n); else a link of a spanning set.
+
+    A link is counted in the one group that has the first bucket its vectors share, so pairs never
+    leave their group: rows out are bounded by the members of groups, not by their square.
+    """
+    def run(batches):
+        for g in _groups(batches, threshold, tables):
+            total = np.zeros(len(g.ids), np.int64)
+            for p, q in g.new_pairs():
+                np.add.at(total, p, g.n[q])
+                np.add.at(total, q, g.n[p])
+            some = np.flatnonzero(total)
+            tree = np.array(g.tree(), np.int64).reshape(-1, 2)
+            a = np.concatenate((g.ids[some], tree[:, 0]))
+            b = pa.array(np.concatenate((np.zeros(len(some), np.int64), tree[:, 1])), mask=np.arange(len(a)) < len(some))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "keys"])
+                [pa.array(a), b, pa.array(np.concatenate((total[some], np.zeros(len(tree), np.int64))))], names=["a", "b", "linked"])
 
-    keyed = map_batches(vectors, hashed, "id bigint, keys array<bigint>")
-    routed = materialise(keyed, "buckets").select("id", F.explode(F.array_distinct("keys")).alias("key"))
-    big = routed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    cut = routed.join(big, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = cut.select(
-        "key", "side", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id")
-    # only members of shared buckets take their vector along
-    dealt = dealt.join(vectors, "id").select("key", "i", "j", "side", "id", "vec")
-
-    def compare(batches):
-        held: list[tuple] = []  # arrays of the open group
-        here = None
-
-        def close():
-            if here is None:
-                return None
-            side = np.concatenate([h[0] for h in held])
-            ids = np.concatenate([h[1] for h in held])
-            x = np.concatenate([h[2] for h in held])
-            left = side == here[1]
-            right = side == here[2]
-            if here[1] != here[2] and not (left.any() and right.any()) or len(ids) < 2:
-                return None
-            la, xa, rb, xb = ids[left], x[left], ids[right], x[right]
-            out = []
-            for s in range(0, len(la), 512):
-                cos = xa[s:s + 512] @ xb.T
-                p, q = np.nonzero(cos >= threshold - 1e-9)
-                exact = np.einsum("ij,ij->i", xa[s:s + 512][p], xb[q])
-                a, b = la[s:s + 512][p], rb[q]
-                ok = (exact >= threshold) & ((a < b) if here[1] == here[2] else (a != b))
-                out.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], exact[ok]))
-            a, b, c = (np.concatenate(z) for z in zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["a", "b", "cosine"])
-
-        for batch in batches:
-            k, i, j, side, ids = (batch.column(n).to_numpy(zero_copy_only=False) for n in range(5))
-            x = _matrix(batch.column(5), dim)
-            x = x / np.linalg.norm(x, axis=1)[:, None]
-            edge = np.flatnonzero((np.diff(k) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            for s, e in zip((0, *edge), (*edge, len(k))):
-                now = (k[s], i[s], j[s])
-                if now != here:
-                    if (got := close()) is not None and got.num_rows:
-                        yield got
-                    here, held = now, []
-                held.append((side[s:e], ids[s:e], x[s:e]))
-        if (got := close()) is not None and got.num_rows:
-            yield got
-
-    pairs = map_batches(
-        dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), compare, "a bigint, b bigint, cosine double")
-    return pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    return map_batches(_deal(vectors, tables, rotations, probes, block), run, "a bigint, b bigint, linked bigint")
 
 
 def near_duplicates(
@@ -164,26 +264,19 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_links, component, kept): one row for each input row.
 
-    Equal vectors are one node with a count, so copies are never paired with each other. Vectors that
-    are null, zero or hold null or non-finite parts, and those of another length than the most
-    common one (the longer on a tie), link with nothing and are kept as classes of their own. A
-    repeated id has one class: its vectors' links are summed. An empty table gives no rows.
+    Equal vectors are one node with a count, so copies are never paired with each other. Vectors of
+    different lengths do not link; each length is searched in its own buckets. Vectors that are null,
+    zero or hold null or non-finite parts link with nothing and are kept as classes of their own. A
+    repeated id has one class: its vectors' links are summed. An empty table gives no rows; further
+    columns, whatever their names, are not looked at.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v"))
     good = _clean(rows, "id", "v")
-    dims = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    alone = rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
-    if dims is None:
-        return alone.withColumn("kept", F.lit(True))
-    dim = dims["d"]
     copies = materialise(
-        good.where(F.size("vec") == dim).groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-        .where("id is not null"), "vectors")
-    pairs = materialise(near_pairs(copies.select("id", "vec"), dim, threshold, **how), "pairs")
-    sizes = copies.select("id", "n")
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = both.join(sizes.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
-    joined = connected_components(pairs.select("a", "b"))
+        good.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("id is not null"), "vectors")
+    found = materialise(near_links(copies, threshold, **how), "links-of-vectors")
+    links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("linked").alias("linked"))
+    joined = connected_components(found.where("b is not null").select("a", "b"))
     nodes = (
         copies.join(links, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
         .select("vec", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"),
