@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -52,6 +53,7 @@ EXCEPTIONS = ("Classpath-exception-2.0", "GCC-exception-3.1", "LLVM-exception",
 TAG = "spdx license identifier"
 TAG_LINE = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
 LEXEME = re.compile(r"[()]|[A-Za-z0-9.-]+\+?|\S")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 IDENT = re.compile(r"[A-Za-z0-9.-]+\+?")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _BY_LOWER = {k.lower(): (k, *v) for k, v in IDENTIFIERS.items()}
@@ -110,36 +112,56 @@ def to_postfix(expression: str) -> list[str] | None:
 
 
 def evaluate(expression: str) -> tuple[bool, bool, list[str]]:
-    """(valid, permissive, family labels): AND needs both sides, OR one, WITH an exception lifts copyleft."""
+    """(valid, permissive, labels): AND needs both sides, OR one, WITH an exception lifts copyleft.
+
+    Labels are the families of known identifiers and, in lower case, the unknown ones. An expression with an
+    unknown identifier or exception is not valid, but keeps its labels; what is unknown is not permissive and lifts
+    nothing. What is no expression at all has no labels.
+    """
     postfix = to_postfix(expression)
     if postfix is None:
         return False, False, []
+    valid = True
     labels: list[str] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, str]] = []  # kind, permissive, label that an unknown name would leave
     for x in postfix:
         if x in PRECEDENCE:
             if len(stack) < 2:
                 return False, False, []
             right, left = stack.pop(), stack.pop()
             if x == "with":
-                if right[0] != "exception" or left[0] != "licence":
+                if left[0] not in ("licence", "unknown") or right[0] not in ("exception", "unknown"):
                     return False, False, []
-                stack.append(("licence", True))
+                if right[0] == "unknown":
+                    valid = False
+                stack.append(("mix", left[1] or right[0] == "exception" and left[0] == "licence", ""))
+                names = [left]
             elif "exception" in (left[0], right[0]):
                 return False, False, []
             else:
-                stack.append(("mix", left[1] and right[1] if x == "and" else left[1] or right[1]))
+                stack.append(("mix", left[1] and right[1] if x == "and" else left[1] or right[1], ""))
+                names = [left, right]
+            for kind, _, name in names:
+                if kind == "unknown":
+                    valid = False
+                    labels.append(name)
         elif x.lower() in _EXC_LOWER:
-            stack.append(("exception", True))
+            stack.append(("exception", True, ""))
         else:
             known = _BY_LOWER.get(x.lower()) or _BY_LOWER.get(x.rstrip("+").lower())
-            if known is None and not x.lower().startswith("licenseref-"):
-                return False, False, []
-            labels.append(known[1] if known else x.lower())
-            stack.append(("licence", bool(known and known[2])))
+            if known:
+                labels.append(known[1])
+                stack.append(("licence", known[2], ""))
+            elif x.lower().startswith("licenseref-"):
+                labels.append(x.lower())
+                stack.append(("licence", False, ""))
+            else:
+                stack.append(("unknown", False, x.lower()))
     if len(stack) != 1 or stack[0][0] == "exception":
         return False, False, []
-    return True, stack[0][1], labels
+    if stack[0][0] == "unknown":
+        return False, False, [stack[0][2]]
+    return valid, stack[0][1], labels
 
 
 def normal_words(text: str) -> list[str]:
@@ -174,14 +196,14 @@ def _scanner():
         labels: set[str] = set()
         weights: dict[str, float] = {}
         hits: list[tuple[str, str, int, int]] = []
+        tags: list[int] = []
         spaces = at = 0
-        tagged = False
         for end, (n, phrase, kinds) in automaton.iter(normal) if words else ():
             spaces += normal.count(" ", at, end)
             at = end
             for kind, label, weight in kinds:
                 if kind == "tag":
-                    tagged = True
+                    tags.append(spaces - n)
                     continue
                 labels.add(label)
                 weights[phrase] = weight
@@ -190,8 +212,11 @@ def _scanner():
                     base.add(label)
                     starts.append(spaces - n)
         expressions = []
-        if tagged:
-            for m in TAG_LINE.finditer(text):
+        words_of_text, gone = WORD.finditer(text) if tags else iter(()), 0
+        for place in tags:
+            first = next(islice(words_of_text, place - gone, None))
+            gone = place + 1
+            if m := TAG_LINE.match(text, first.start()):  # the tag's words in their fixed spelling
                 valid, permissive, named = evaluate(m[1])
                 expressions.append((m[1].strip(), valid, permissive))
                 labels.update(named)
@@ -204,6 +229,13 @@ def _scanner():
     return scan
 
 
+OUT = (
+    ("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"),
+    ("score", "double"), ("hits", "array<struct<kind:string,label:string,word:long,words:int>>"),
+    ("expressions", "array<struct<expression:string,valid:boolean,permissive:boolean>>"),
+)
+
+
 def scan_licenses(df: DataFrame, text_col: str = "text", key_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row for each input row: its key columns, counts, labels, hits, expressions and score.
 
@@ -211,7 +243,8 @@ def scan_licenses(df: DataFrame, text_col: str = "text", key_cols: tuple[str, ..
     validity and whether a permissive reading satisfies them. ``score`` joins the weights of
     the distinct pieces of evidence as 1 - prod(1 - w). Null and empty texts have no words,
     no hits and score 0; repeated rows are scanned alike; an empty table gives no rows.
-    The automaton is built once in each task; a row is one text, however long.
+    The automaton is built once in each task; a row is one text, however long. Other columns are not looked at;
+    a result named like a key column ends in ``_found``.
     """
     src = df.select(*key_cols, F.col(text_col).alias("__text"))
 
@@ -230,12 +263,8 @@ def scan_licenses(df: DataFrame, text_col: str = "text", key_cols: tuple[str, ..
         return one
 
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return map_rows(
-        src, make,
-        f"{keys}, n_words long, n_base long, first_word long, last_word long, base_labels string, "
-        "labels string, score double, hits array<struct<kind:string,label:string,word:long,words:int>>, "
-        "expressions array<struct<expression:string,valid:boolean,permissive:boolean>>",
-    )
+    found = ", ".join(f"{n}_found {k}" if n in key_cols else f"{n} {k}" for n, k in OUT)
+    return map_rows(src, make, f"{keys}, {found}")
 
 
 def op6(docs: DataFrame) -> DataFrame:
