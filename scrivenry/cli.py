@@ -20,7 +20,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("ingest", help="files -> source table; a dry run unless --write")
     a.add_argument("path")
-    a.add_argument("--extractor", default="plain", choices=sorted(M.EXTRACTORS))
+    a.add_argument("--extractor", default=M.default_extractor(), choices=sorted(M.EXTRACTORS))
     a.add_argument("--write")
     a.add_argument("--replace", action="store_true", help="let new extractions take the place of sources that are there")
     a = sub.add_parser("scan", help="sources (doc_id, text) -> planned concept notes")

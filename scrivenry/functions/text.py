@@ -205,3 +205,21 @@ def is_loopback(url: Column) -> Column:
     """Only plain http(s) to this machine."""
     host = F.regexp_extract(F.lower(url), r"^https?://(\[[0-9a-f:]+\]|[^/:@?#\[\]]+)(:[0-9]+)?([/?#]|$)", 1)
     return host.isin(*C.LOOPBACK)
+
+
+def endpoint_reasons(url: Column, proxy: Column, redirect: Column, model: Column) -> Column:
+    """Why a model connection is refused, joined by commas; empty where it is allowed. There is no fallback.
+
+    Only this machine is talked to, directly: no remote host, no proxy, no redirect to elsewhere, no model that the
+    server itself fetches from a cloud (``-cloud`` in its tag).
+    """
+    return F.array_join(F.array_compact(F.array(
+        F.when(~F.coalesce(is_loopback(url), F.lit(False)), "remote_host"), F.when(F.coalesce(proxy, F.lit("")) != "", "proxy"),
+        F.when(redirect.isNotNull() & ~is_loopback(redirect), "redirect"), F.when(F.lower(model).rlike("[:-]cloud$"), "cloud_model"))), ",")
+
+
+def unload_requests(enabled: Column, llm_calls: Column, exit_code: Column) -> Column:
+    """One request to unload the model at the end of a run, where it is enabled, a call was made and the run ended
+    well or was blocked (exit 0, 5, 6); it is no model call."""
+    asked = enabled & (llm_calls > 0) & exit_code.isin(C.EXITS["ok"], C.EXITS["technical"], C.EXITS["quality"])
+    return F.when(F.coalesce(asked, F.lit(False)), 1).otherwise(0)

@@ -434,6 +434,19 @@ def loopback_guard(spark, d):
     return frame(spark, "configs").select("id", X.is_loopback(F.col("base_url")).alias("allowed"), X.keep_alive_seconds(F.col("keep_alive")).alias("keep_alive_s"))
 
 
+LOCAL = r"coalesce(regexp_extract(lower({x}), '^https?://(\[[0-9a-f:]+\]|[^/:@?#\[\]]+)(:[0-9]+)?([/?#]|$)', 1) IN ('localhost', '127.0.0.1', '[::1]', '::1'), false)"
+
+
+@query(with_values("endpoints") + f""" SELECT id, r = '' AS allowed, r AS reasons, CASE WHEN enabled AND llm_calls > 0 AND exit_code IN (0, 5, 6) THEN 1 ELSE 0 END AS unload_requests
+ FROM (SELECT *, concat_ws(',', CASE WHEN NOT {LOCAL.format(x='base_url')} THEN 'remote_host' END, CASE WHEN coalesce(proxy, '') <> '' THEN 'proxy' END,
+ CASE WHEN redirect IS NOT NULL AND NOT {LOCAL.format(x='redirect')} THEN 'redirect' END, CASE WHEN regexp_matches(lower(model), '[:-]cloud$') THEN 'cloud_model' END) AS r FROM endpoints)""")
+def endpoint_guard(spark, d):
+    """Remote hosts, proxies, redirects and cloud models are refused; one unload request under its rule"""
+    r = X.endpoint_reasons(F.col("base_url"), F.col("proxy"), F.col("redirect"), F.col("model"))
+    return frame(spark, "endpoints").select(
+        "id", (r == "").alias("allowed"), r.alias("reasons"), X.unload_requests(F.col("enabled"), F.col("llm_calls"), F.col("exit_code")).alias("unload_requests"))
+
+
 @query(with_values("runs") + """ SELECT source_id, chunks + curator + recovery AS llm_calls, CASE WHEN low_text THEN 3 WHEN failures > 0 THEN 5 WHEN gate = 'failed' THEN 6 ELSE 0 END AS exit_code,
  bool_or(failures > 0 OR gate = 'failed' OR low_text) OVER () AS writes_blocked FROM runs""")
 def exit_code(spark, d):

@@ -100,6 +100,11 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         (1, "http://localhost:11434", "30s"), (2, "https://127.0.0.1/api", "2m"), (3, "http://example.org", "3600"), (4, "http://[::1]:9", "61m"),
         (5, "http://localhost.evil.org", "1h"), (6, "http://user@127.0.0.1", "-1"), (7, "ftp://localhost", ""), (8, "http://127.0.0.1:80?x", "3601"), (9, "HTTP://LOCALHOST", "60m"),
     ]),
+    "endpoints": ("id bigint, base_url string, proxy string, redirect string, model string, enabled boolean, llm_calls bigint, exit_code bigint", [
+        (1, "http://localhost:11434", None, None, "small:4b", True, 14, 0), (2, "http://localhost:11434", "http://proxy:3128", None, "small:4b", True, 3, 5),
+        (3, "http://127.0.0.1:1", "", "http://example.org/x", "small:4b", True, 0, 0), (4, "http://127.0.0.1:1", None, "http://localhost/x", "large:120b-cloud", False, 5, 0),
+        (5, "http://example.org", "p", "http://example.org", "Large:CLOUD", True, 5, 4), (6, None, None, None, None, None, 5, 6), (7, "https://[::1]/", None, None, "m", True, 2, 6),
+    ]),
     "proposals": ("id bigint, target string, change string, reason string, sources string, part string", [
         (1, "Knowledge/A.md", "add", "because", "[[S One]]", "Mechanism"), (2, "Knowledge/A.md", "add", None, "[[S One]]", "Mechanism"), (3, "", "add", "x", "[[S One]]", "P"),
     ]),

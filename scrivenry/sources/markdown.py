@@ -71,7 +71,23 @@ def pdf_extractor(content: bytes) -> str:
     return "\n".join(f"### Page {i}\n{p.extract_text()}" for i, p in enumerate(PdfReader(io.BytesIO(content)).pages, 1))
 
 
-EXTRACTORS: dict[str, Callable[[bytes], str]] = {"plain": plain_extractor, "pypdf": pdf_extractor}
+def layout_extractor(content: bytes) -> str:
+    """The layout-aware extractor, where its library is installed."""
+    import pymupdf
+    import pymupdf4llm
+
+    pages = pymupdf4llm.to_markdown(pymupdf.open(stream=content), page_chunks=True)
+    return "\n".join(f"### Page {i}\n{p['text']}" for i, p in enumerate(pages, 1))
+
+
+EXTRACTORS: dict[str, Callable[[bytes], str]] = {"plain": plain_extractor, "pypdf": pdf_extractor, "layout": layout_extractor}
+
+
+def default_extractor() -> str:
+    """The layout-aware one where it can run, else text; ``pypdf`` only by name."""
+    from importlib.util import find_spec
+
+    return "layout" if find_spec("pymupdf4llm") else "plain"
 
 
 def ingest(spark: SparkSession, path: str, method: str = "plain") -> DataFrame:

@@ -40,21 +40,29 @@ def shared_dir(spark: SparkSession) -> str:
     return (conf or sc.getCheckpointDir()).rstrip("/")
 
 
-#: Folders that ``materialise`` wrote, by application.
-_MADE: dict[str, list[str]] = {}
+#: Folders and tables of intermediate results, by application.
+_MADE: dict[str, list[tuple[str, str]]] = {}
+
+
+def note_made(spark: SparkSession, kind: str, name: str) -> None:
+    """Remember a ``folder`` or ``table`` for ``release``."""
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append((kind, name))
 
 
 def release(spark: SparkSession) -> int:
-    """Delete what ``materialise`` wrote for this application; results that read it must be written before."""
+    """Delete the intermediate results of this application; what reads them must be written before."""
     made = _MADE.pop(spark.sparkContext.applicationId, [])
     jvm = spark.sparkContext._jvm
-    for path in made:
-        p = jvm.org.apache.hadoop.fs.Path(path)
+    for kind, name in made:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            continue
+        p = jvm.org.apache.hadoop.fs.Path(name)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     return len(made)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The lineage is cut at a table that survives lost executors, and an expensive
@@ -62,6 +70,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.option("compression", compression).parquet(path)
+    note_made(spark, "folder", path)
     return spark.read.schema(df.schema).parquet(path)

@@ -251,6 +251,27 @@ def test_main_path_over_a_paper(spark):
     assert curated.report.first()["curator_calls"] in (0, 1)
 
 
+def test_intermediate_results_are_released(spark, tmp_path):
+    import os
+
+    from scrivenry.sources import tables as T
+
+    T.release(spark)
+    df = T.materialise(spark.range(3), "some")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and T.release(spark) == 1 and not os.path.exists(path) and T.release(spark) == 0
+
+
+def test_page_heads(spark):
+    from scrivenry.sources import pages as P
+
+    head = '<head><meta name="author" content="A &amp; B"><meta property="article:published_time" content="2024-03-05T10:00"><link rel="canonical" href="https://x.org/a"></head>'
+    pages = spark.createDataFrame([(1, "https://x.org/a?utm=1", head), (2, " ", "<p>no head</p>")], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r for r in P.properties(pages, "2026-01-01").collect()}
+    assert (got[1]["author"], str(got[1]["published"]), got[1]["source_url"]) == ("A & B", "2024-03-05", "https://x.org/a")
+    assert got[2]["author"] is None and got[2]["published"] is None and got[2]["source_url"] is None
+
+
 def test_locate_operator(spark):
     from scrivenry.operators.locate import locate
 
