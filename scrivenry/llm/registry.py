@@ -12,7 +12,6 @@ def _docs(spark, sf_dir):
 
 QUERIES = {
     "op2_substring_dedup": lambda spark, d: substrings.op2(_docs(spark, d)),
-    "op2_line_dedup": lambda spark, d: substrings.op2(_docs(spark, d), substrings.repeated_lines),
     "op3_byte_bpe": lambda spark, d: bpe.op3(_docs(spark, d)),
     "op5_embedding_near_dedup": lambda spark, d: embeddings.op5(table(spark, d, "embeddings")),
     "op9_token_files": lambda spark, d: token_files.op9(_docs(spark, d)),

@@ -3,91 +3,26 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from scrivenry.functions.arrays import running
 from scrivenry.llm.batches import map_batches, slices
 from scrivenry.llm.licenses import normal_words
 from scrivenry.sources.tables import materialise
 
-#: A unit ends at a line feed or after end marks; the pieces cover the text.
+#: A sentence ends at a line feed or after end marks; the pieces cover the text.
 UNIT = re.compile(r"\n|[^\n.!?]*[.!?]+|[^\n.!?]+")
-#: Words that a unit needs to be compared; shorter ones neither join nor part a run.
-UNIT_WORDS = 5
-#: Words that the repeated units of a run need together for the run to go.
+#: Words that the repeated sentences of a run need together for the run to go.
 RUN_WORDS = 8
+#: Bytes of a unit's digest: among 3 * 10**12 units (100 TB) about 0.0001 pairs of different ones are expected to be equal.
+DIGEST = 12
 #: White space at the ends of a line; a line of nothing else is empty.
 BLANK = " \t\r\v\f"
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, tkey, at, start, end, words, digest): compared units; ``at`` counts them in their text."""
-    src = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
-    kind = src.schema["doc"].dataType.simpleString()
-
-    def run(batches):
-        import xxhash
-
-        for b in slices(batches):
-            own, cols = [], ([], [], [], [], [])
-            for row, t in enumerate(b.column(2)):
-                text = t.as_py() or ""
-                at = 0
-                for m in UNIT.finditer(text):
-                    unit = m[0]
-                    if len(unit) < 2 * UNIT_WORDS - 1:
-                        continue
-                    words = normal_words(unit)
-                    if len(words) >= UNIT_WORDS:
-                        own.append(row)
-                        for c, x in zip(cols, (at, m.start(), m.end(), len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))):
-                            c.append(x)
-                        at += 1
-            take = pa.array(own, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), *(pa.array(c, pa.int32()) for c in cols[:4]),
-                 pa.array(cols[4], pa.binary())],
-                names=["doc", "tkey", "at", "start", "end", "words", "digest"])
-
-    return map_batches(src, run, f"doc {kind}, tkey bigint, at int, start int, end int, words int, digest binary")
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """(doc, tkey, n_removed, spans): for each text with repeats, its spans (start, end, first_doc).
-
-    Units are equal where their normal words are (128-bit digest). Of equal units the one with the
-    smallest (key, place) stays; the others are repeats. Repeats that follow each other, short units
-    between them aside, form a run, and runs of ``run_words`` words or more become spans of
-    code points in the original text. ``first_doc`` holds what stays of the run's first unit.
-
-    The earliest of each digest is a partial minimum, so a line that is everywhere costs one row for each
-    task; digests that occur once never reach the join, whose sides are both plain exchanges that
-    adaptive execution can split where a digest is hot. Rows with equal key and text are one document.
-    Null keys rank last; null and empty texts have no units; an empty table gives no rows.
-    """
-    units = _units(docs, id_col, text_col)
-    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "tkey", "at")
-    first = materialise(
-        units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where("first <> last").select("digest", "first"), "first-units")
-    again = units.join(first.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).where(place != F.col("first"))
-    own = Window.partitionBy("doc", "tkey").orderBy("at")
-    runs = (
-        again.repartition("doc", "tkey")
-        .groupBy("doc", "tkey", "at").agg(*[F.min(c).alias(c) for c in ("start", "end", "words")], F.min("first.doc").alias("first_doc"))
-        .withColumn("run", F.col("at") - F.row_number().over(own))
-        .groupBy("doc", "tkey", "run").agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"),
-            F.count(F.lit(1)).alias("n"), F.min_by("first_doc", "at").alias("first_doc"))
-        .where(F.col("words") >= run_words)
-    )
-    return runs.groupBy("doc", "tkey").agg(
-        F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end", "first_doc"))).alias("spans"))
-
-
 def line_units(text: str) -> list[tuple[int, int, int, int, bool, str]]:
     """(at, start, end, words, line, normal form) of every non-empty line and every sentence with words.
 
@@ -113,97 +48,115 @@ def line_units(text: str) -> list[tuple[int, int, int, int, bool, str]]:
     return out
 
 
-def _line_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, tkey, at, start, end, words, line, digest) of ``line_units``."""
-    src = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
+def _units(docs: DataFrame, id_col: str, text_col: str, row: str) -> DataFrame:
+    """(doc, row, at, start, end, words, line, digest) of ``line_units``, written once."""
+    src = docs.select(F.col(id_col).alias("doc"), F.col(row).alias("row"), F.col(text_col).alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
 
     def run(batches):
         import xxhash
 
-        for b in slices(batches):
+        for b in slices(batches, megabytes=4):
             own, cols = [], ([], [], [], [], [], [])
-            for row, t in enumerate(b.column(2)):
+            for at, t in enumerate(b.column(2)):
                 for *unit, form in line_units(t.as_py() or ""):
-                    own.append(row)
-                    for c, x in zip(cols, (*unit, xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass")))):
+                    own.append(at)
+                    for c, x in zip(cols, (*unit, xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass"))[:DIGEST])):
                         c.append(x)
             take = pa.array(own, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(take), b.column(1).take(take), *(pa.array(c, pa.int32()) for c in cols[:4]),
                  pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.binary())],
-                names=["doc", "tkey", "at", "start", "end", "words", "line", "digest"])
+                names=["doc", "row", "at", "start", "end", "words", "line", "digest"])
+
+    return materialise(map_batches(
+        src, run, f"doc {kind}, row bigint, at int, start int, end int, words int, line boolean, digest binary"), "units", "zstd")
 
-    return map_batches(src, run, f"doc {kind}, tkey bigint, at int, start int, end int, words int, line boolean, digest binary")
 
+def repeated_spans(
+    docs: DataFrame, row: str, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS,
+) -> DataFrame:
+    """(row, n_removed, spans): for each row of ``docs`` with repeats, its spans (start, end, first_doc).
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """(doc, tkey, n_removed, spans) as ``repeated_spans``, with no least length for lines and units.
+    Units are equal where their normal words are (96-bit digest). Of equal units the one with the smallest
+    (key, row, place) stays, null keys last. Every later occurrence of a non-empty line goes, whatever its
+    words. Of sentences, repeats of any length that follow each other form a run, and runs of ``run_words``
+    words or more go too. Spans are code points of the original text; those that overlap are one, and
+    ``first_doc`` holds what stays of a span's first unit.
 
-    Every later occurrence of a non-empty line goes, whatever its words. Of sentences, repeats of any length
-    that follow each other form a run, and runs of ``run_words`` words or more go too. Spans that overlap
-    are one. The plan is that of ``repeated_spans``.
+    Units are made once. The earliest of each digest is a partial minimum, so a line that is everywhere costs
+    one row for each task; digests that occur once never reach the join, whose sides are both plain
+    exchanges that adaptive execution can split where a digest is hot.
     """
-    units = _line_units(docs, id_col, text_col)
-    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "tkey", "start")
+    units = _units(docs, id_col, text_col, row)
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "start")
     first = materialise(
-        units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where("first <> last").select("digest", "first"), "first-lines")
-    again = units.join(first.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).where(place != F.col("first"))
-    text, sentence = ("doc", "tkey"), F.col("at") >= 0
-    own = Window.partitionBy(*text, sentence).orderBy("at")
-    before = Window.partitionBy(*text).orderBy("start", "end")
+        units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select(F.col("digest").alias("d"), "first"), "first-units")
+    # what is shuffled of a unit is its digest and three numbers
+    pair = lambda high, low: F.shiftleft(high.cast("bigint"), 32) + low
+    narrow = units.select(
+        "digest", "row", pair(F.col("start"), F.col("end")).alias("span"), pair(F.col("at"), F.col("words") * 2 + F.col("line").cast("int")).alias("unit"))
+    high, low = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    again = narrow.join(first, F.col("digest") == F.col("d")).where(
+        (F.col("row") != F.col("first.row")) | (high("span") != F.col("first.start"))
+    ).select(
+        "row", high("unit").alias("at"), high("span").alias("start"), low("span").cast("int").alias("end"),
+        F.shiftright(low("unit"), 1).cast("int").alias("words"), (low("unit").bitwiseAND(F.lit(1)) == 1).alias("line"), F.col("first.doc").alias("first_doc"))
+    sentence = F.col("at") >= 0
+    own = Window.partitionBy("row", sentence).orderBy("at")
+    before = Window.partitionBy("row").orderBy("start", "end")
     runs = (
-        again.repartition(*text)
-        .groupBy(*text, "start", "end").agg(*[F.min(c).alias(c) for c in ("at", "words", "line")], F.min("first.doc").alias("first_doc"))
+        again.repartition("row")
         .withColumn("run", F.when(sentence, F.col("at") - F.row_number().over(own)))
-        .withColumn("long", sentence & (F.sum("words").over(Window.partitionBy(*text, "run")) >= run_words))
+        .withColumn("long", sentence & (F.sum("words").over(Window.partitionBy("row", "run")) >= run_words))
         .where("long or line")
-        .groupBy(*text, "long", F.when(F.col("long"), F.col("run")).otherwise(F.col("start")).alias("part")).agg(
+        .groupBy("row", "long", F.when(F.col("long"), F.col("run")).otherwise(F.col("start")).alias("part")).agg(
             F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), F.min_by("first_doc", "start").alias("first_doc"))
     )
     merged = (
         runs.withColumn("reach", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("span", F.count_if(F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).over(before.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*text, "span").agg(
+        .groupBy("row", "span").agg(
             F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.min_by("first_doc", F.struct("start", "end")).alias("first_doc"))
     )
-    return merged.groupBy(*text).agg(
+    return merged.groupBy("row").agg(
         F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end", "first_doc"))).alias("spans"))
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "kept_text", run_words: int = RUN_WORDS,
-    find: Callable[..., DataFrame] = repeated_spans,
 ) -> DataFrame:
     """``docs`` with ``out`` (the text without its repeated spans; null stays null), ``n_removed`` and ``spans``.
 
-    ``find`` is ``repeated_spans`` or ``repeated_lines``. Spans keep their offsets in the original text.
-    Columns of these names are replaced.
+    Rows are told apart by their place in the scan, which must be one that can be repeated, as of a table of
+    files: of repeated rows one keeps its units and the others lose them all. Null and empty texts have
+    no units; an empty table gives no rows; very long texts cost their length. Columns named like the
+    three new ones, __row or __at are replaced or dropped, others stay.
     """
-    spans = find(docs, id_col, text_col, run_words).select(
-        F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), F.col("n_removed").alias("__n"), F.col("spans").alias("__s"))
-    src = docs.drop(out, "n_removed", "spans").withColumn("__key", F.xxhash64(text_col))
-    found = src.join(spans, (src["__key"] == spans["__tkey"]) & src[id_col].eqNullSafe(spans["__doc"]), "left")
+    src = docs.drop("n_removed", "spans", *({out} - {text_col}), "__row", "__at").withColumn("__row", F.monotonically_increasing_id())
+    spans = repeated_spans(src, "__row", id_col, text_col, run_words).withColumnRenamed("row", "__at")
+    found = src.join(spans, F.col("__row") == F.col("__at"), "left")
     text = F.col(text_col)
-    cut = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(text.substr(s["at"] + 1, x["start"] - s["at"]))).alias("out")),
-        lambda s: F.concat(F.array_join(s["out"], ""), text.substr(s["at"] + 1, F.length(text))),
-    )
-    kind = spans.schema["__s"].dataType.simpleString()
+
+    def step(at, x):
+        return x["end"], F.array(text.substr(at + 1, x["start"] - at))
+
+    last = F.get("spans", F.size("spans") - 1)["end"]
+    cut = F.concat(F.array_join(running(F.col("spans"), F.lit(0), "string", step), ""), text.substr(last + 1, F.length(text)))
+    kind = spans.schema["spans"].dataType.simpleString()
     return (
-        found.withColumn("n_removed", F.coalesce("__n", F.lit(0).cast("bigint")))
-        .withColumn("spans", F.coalesce("__s", F.array().cast(kind)))
+        found.withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("bigint")))
+        .withColumn("spans", F.coalesce("spans", F.array().cast(kind)))
         .withColumn(out, F.when(F.size("spans") > 0, cut).otherwise(text))
-        .drop("__key", "__doc", "__tkey", "__n", "__s")
+        .drop("__row", "__at")
     )
 
 
-def op2(docs: DataFrame, find: Callable[..., DataFrame] = repeated_spans) -> DataFrame:
+def op2(docs: DataFrame) -> DataFrame:
     """One row for each document: where its first repeat is kept (null: nothing goes), units removed, spans as
     start:end:first doc_id, digest of what stays."""
-    found = remove_repeats(docs.select("doc_id", "text"), find=find)
+    found = remove_repeats(docs.select("doc_id", "text"))
     return found.select(
         "doc_id", F.get("spans", F.lit(0))["first_doc"].alias("first_doc_id"), "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]).cast("long")).alias("removed_chars"),
@@ -215,32 +168,53 @@ def op2(docs: DataFrame, find: Callable[..., DataFrame] = repeated_spans) -> Dat
 
 OP2_SQL = r"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
-pieces AS (
-  SELECT doc_id, r, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS pos
-  FROM (SELECT doc_id, r, regexp_extract_all(text, '\n|[^\n.!?]*[.!?]+|[^\n.!?]+') AS p FROM docs)
-), placed AS (
-  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+split AS (
+  SELECT doc_id, r, unnest(p) AS line, unnest(range(1, len(p) + 1)) AS pos FROM (SELECT doc_id, r, string_split(text, chr(10)) AS p FROM docs)
+), lines AS (
+  SELECT doc_id, r, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
+         trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare,
+         regexp_extract_all(line, '[^.!?]*[.!?]+|[^.!?]+') AS p
+  FROM split
+), pieces AS (
+  SELECT doc_id, r, s, len, piece, n, s + coalesce(sum(length(piece)) OVER (PARTITION BY r, s ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ps
+  FROM (SELECT doc_id, r, s, length(line) AS len, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS n FROM lines WHERE bare <> '')
+), worded AS (
+  SELECT doc_id, r, s, len, ps, length(piece) AS size, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM pieces
+), sentences AS (
+  SELECT *, count(*) OVER (PARTITION BY r, s) AS parts FROM worded WHERE len(w) > 0
+), counts AS (
+  SELECT r, s, count(*) AS parts FROM worded WHERE len(w) > 0 GROUP BY r, s
+), whole AS (
+  SELECT doc_id, r, s, length(line) AS len, bare, parts,
+         array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), ' ') AS form
+  FROM lines LEFT JOIN counts USING (r, s) WHERE bare <> ''
 ), units AS (
-  SELECT doc_id, r, pos, CAST(s AS BIGINT) AS s, CAST(s + length(piece) AS BIGINT) AS e,
-         regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM placed
-), compared AS (
-  SELECT *, array_to_string(w, ' ') AS norm, row_number() OVER (PARTITION BY r ORDER BY pos) - 1 AS num
-  FROM units WHERE len(w) >= 5
+  SELECT doc_id, r, -1 AS num, CAST(s AS BIGINT) AS s, CAST(s + len AS BIGINT) AS e, 0 AS words, true AS line, CASE WHEN form = '' THEN bare ELSE form END AS form
+  FROM whole WHERE parts IS NULL OR parts > 1
+  UNION ALL
+  SELECT doc_id, r, row_number() OVER (PARTITION BY r ORDER BY ps) - 1, CAST(CASE WHEN parts = 1 THEN s ELSE ps END AS BIGINT),
+         CAST(CASE WHEN parts = 1 THEN s + len ELSE ps + size END AS BIGINT), len(w), parts = 1, array_to_string(w, ' ')
+  FROM sentences
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, num) AS k,
-         first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, num) AS first_doc
-  FROM compared
+  SELECT *, row_number() OVER (PARTITION BY form ORDER BY doc_id NULLS LAST, r, s) AS k,
+         first_value(doc_id) OVER (PARTITION BY form ORDER BY doc_id NULLS LAST, r, s) AS first_doc
+  FROM units
 ), runs AS (
-  SELECT r, min(s) AS s, max(e) AS e, sum(len(w)) AS words, count(*) AS n, arg_min(first_doc, num) AS first_doc
-  FROM (SELECT *, num - row_number() OVER (PARTITION BY r ORDER BY num) AS run FROM ranked WHERE k > 1)
-  GROUP BY r, run HAVING sum(len(w)) >= 8
+  SELECT *, num >= 0 AND sum(words) OVER (PARTITION BY r, run) >= 8 AS long
+  FROM (SELECT *, CASE WHEN num >= 0 THEN num - row_number() OVER (PARTITION BY r, num >= 0 ORDER BY num) END AS run FROM ranked WHERE k > 1)
+), gone AS (
+  SELECT r, min(s) AS s, max(e) AS e, count(*) AS n, arg_min(first_doc, s) AS first_doc
+  FROM runs WHERE long OR line GROUP BY r, long, CASE WHEN long THEN run ELSE s END
+), marked AS (
+  SELECT *, coalesce(max(e) OVER (PARTITION BY r ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= s, true) AS opens FROM gone
+), merged AS (
+  SELECT r, min(s) AS s, max(e) AS e, sum(n) AS n, arg_min(first_doc, s * 10000000000 + e) AS first_doc
+  FROM (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS span FROM marked) GROUP BY r, span
 ), found AS (
   SELECT r, sum(n) AS n_removed, count(*) AS n_spans, sum(e - s) AS removed_chars,
-         string_agg(s || ':' || e || ':' || first_doc, ',' ORDER BY s) AS spans, arg_min(first_doc, s) AS first_doc_id, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es
-  FROM runs GROUP BY r
+         string_agg(s || ':' || e || ':' || coalesce(CAST(first_doc AS VARCHAR), ''), ',' ORDER BY s) AS spans, arg_min(first_doc, s) AS first_doc_id, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es
+  FROM merged GROUP BY r
 )
 SELECT doc_id, first_doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
        CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars, coalesce(spans, '') AS spans,
