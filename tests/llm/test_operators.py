@@ -2,6 +2,7 @@ import glob
 import hashlib
 import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -62,16 +63,72 @@ def test_secrets(spark, sample, odd, empty):
     assert set(secrets.train(secrets.labelled_samples(spark).where("false"))) == {0.0}
 
 
+def test_long_texts_with_many_secrets(spark):
+    """Linear: a megabyte of keys takes seconds; the spans are those of brute force."""
+    rng = np.random.default_rng(4)
+    keys = [rng.bytes(16).hex() for _ in range(30_000)]
+    texts = [" ".join(keys), " ".join(f"token={k}" for k in keys), "decade facade ab12 " * 50_000 + keys[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    start = time.time()
+    got = {r["doc_id"]: r for r in rows(secrets.op1(docs))}
+    assert time.time() - start < 60
+    assert all(got[i]["base_sha256"] == hashlib.sha256(base_spans(t).encode()).hexdigest() for i, t in enumerate(texts))
+    out = rows(secrets.redact_secrets(docs.where("doc_id = 1"), secrets.train(secrets.labelled_samples(spark))))
+    assert out[0]["text"] == " ".join(["[SECRET]"] * 30_000)
+
+
+def brute_markov(text, ratios, threshold=secrets.THRESHOLD):
+    """Spans that the models add, by a plain loop."""
+    base = [(m.start(), m.end()) for kind, p, least, g in secrets.KINDS for m in re.finditer(p, text) if len(m[g]) >= least]
+    at = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    out = []
+    for m in re.finditer(secrets.TOKEN, text):
+        t = m[0]
+        if any(a < m.end() and m.start() < b for a, b in base) or not (re.search("[0-9]", t) and re.search("[A-Za-z]", t)) or len(set(t)) < secrets.DISTINCT:
+            continue
+        if sum(round(ratios[at[a] * len(at) + at[b]], 6) for a, b in zip(t, t[1:])) / (len(t) - 1) >= threshold:
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+def test_markov_spans_against_brute_force(spark, sample):
+    ratios = secrets.train(secrets.labelled_samples(spark))
+    rng = np.random.default_rng(2)
+    pick = lambda n: "".join(rng.choice(list(secrets.ALPHABET), n))
+    texts = [" ".join(pick(int(k)) for k in rng.integers(15, 45, 12)) for _ in range(60)]
+    texts += [f"x {pick(30)}.token: {pick(25)}.{pick(24)} my_long_name_secret={pick(22)} password = {pick(4)} {pick(26)}" for _ in range(40)]
+    texts += [f"{pick(22)}AKIA{'Q' * 17}{pick(5)} 0123456789abcdef01234567{pick(6)}" for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").union(sample.select((F.col("doc_id") + 1000), "text"))
+    want = {r["doc_id"]: brute_markov(r["text"] or "", ratios) for r in docs.collect()}
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("markov")] for r in rows(secrets.op1(docs))}
+    assert got == want and sum(map(len, want.values())) > 100
+
+
 # 2
 def test_substrings(spark, odd, empty):
     p = "One passage that many hold is here. It has a second sentence of some length. "
-    docs = spark.createDataFrame([(1, "Alpha. " + p), (2, p + "Beta words stay as they are here."), (3, None), (None, p), (2, p + "Beta words stay as they are here.")], "doc_id bigint, text string")
-    got = {r["doc_id"]: r for r in rows(substrings.remove_repeats(docs))}
+    two = p + "Beta words stay as they are here."
+    docs = spark.createDataFrame([(1, "Alpha. " + p), (2, two), (3, None), (None, p), (2, two)], "doc_id bigint, text string").withColumn("spans", F.lit("x"))
+    found = rows(substrings.remove_repeats(docs))
+    got = {r["doc_id"]: r for r in found if r["kept_text"] or r["text"] != two}
     assert got[1]["kept_text"] == "Alpha. " + p and got[2]["kept_text"] == " Beta words stay as they are here." and got[None]["kept_text"] == " " and got[3]["kept_text"] is None
     assert [(s["start"], s["end"], s["first_doc"]) for s in got[2]["spans"]] == [(0, len(p) - 1, 1)]
+    # of repeated rows one keeps its units and the others lose them all
+    assert sorted(r["kept_text"] for r in found if r["doc_id"] == 2) == ["", " Beta words stay as they are here."]
     assert substrings.op2(odd).count() == 10 and substrings.op2(empty).count() == 0
 
 
+def test_substring_oracle_with_odd_rows(spark, odd, sample, tmp_path):
+    """Repeated rows, nulls, empty and long texts, against the SQL."""
+    docs = odd.where("doc_id is null or doc_id <> 3 or shard = 'y'").select("doc_id", "text").union(
+        sample.select((F.col("doc_id") % 60 + 100).alias("doc_id"), "text").where("doc_id % 60 < 1")).union(odd.where("doc_id = 7").select("doc_id", "text"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")
+    os.rename(glob.glob(f"{tmp_path}/one/*.parquet")[0], f"{tmp_path}/documents.parquet")
+    names, theirs = oracle(tmp_path, registry.ORACLES["op2_substring_dedup"])
+    ours = rows(substrings.op2(spark.read.parquet(f"{tmp_path}/documents.parquet")))
+    assert sorted(str(tuple(r[c] for c in names)) for r in ours) == sorted(map(str, theirs)) and sum(r["n_removed"] for r in ours) > 3
+
+
 def brute_lines(texts):
     """{doc: (spans, kept text)} where every later line and every run of 8 repeated words goes."""
     first, found = {}, {}
@@ -102,12 +159,12 @@ def brute_lines(texts):
 def test_lines_of_any_length_go(spark, sample, odd, empty):
     lic, hot = "Released under the MIT license", "The and attion to thanedble the, anea. Eriner thanea."
     docs = spark.createDataFrame([(1, f"{lic}\n{hot}\n***\nYes."), (2, f"Alpha one\n{lic}\nBeta two\n{hot}\n***\nyes\n\nGamma yes. End"), (3, "Go on. Now. So it is. Then we go. Home again. Tail"), (4, "Go on. Now. So it is. Then we go. Home again. Head")], "doc_id bigint, text string")
-    got = {r["doc_id"]: r for r in rows(substrings.remove_repeats(docs, find=substrings.repeated_lines))}
+    got = {r["doc_id"]: r for r in rows(substrings.remove_repeats(docs))}
     assert got[2]["kept_text"] == "Alpha one\n\nBeta two\n\n\nGamma yes. End" and got[2]["n_removed"] >= 4
     assert got[4]["kept_text"] == " Head" and {s["first_doc"] for s in got[4]["spans"]} == {3} and got[1]["n_removed"] == 0
     want = brute_lines({r["doc_id"]: r["text"] for r in sample.collect()})
-    assert want == {r["doc_id"]: r["kept_text"] for r in rows(substrings.remove_repeats(sample, find=substrings.repeated_lines))}
-    assert substrings.op2(odd, substrings.repeated_lines).count() == 10 and substrings.op2(empty, substrings.repeated_lines).count() == 0
+    assert want == {r["doc_id"]: r["kept_text"] for r in rows(substrings.remove_repeats(sample))}
+    assert substrings.op2(odd).count() == 10 and substrings.op2(empty).count() == 0
 
 
 # 3
@@ -169,6 +226,59 @@ def test_windows_shuffle_beyond_the_broadcast_bound(spark, odd, monkeypatch):
     assert a == sorted(map(str, rows(decontaminate.op4(odd, bench))))
 
 
+@pytest.mark.parametrize("bound", [{"BROADCAST_WINDOWS": 4}, {"BROADCAST_BYTES": 0}, {"LEAST_BITS": 1 << 40}, {"BROADCAST_WINDOWS": 3, "BROADCAST_BYTES": 0, "LEAST_BITS": 1 << 40}])
+def test_contamination_beyond_each_bound(spark, odd, monkeypatch, bound):
+    items = [(1, "again and again"), (2, "Word number 17 stands here, and more follow. Word number 18 stands here, and more"), (5, "AGAIN, and again"), (6, "ÉTÉ x y")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for k, v in bound.items():
+        monkeypatch.setattr(decontaminate, k, v)
+    want = Counter((r["doc_id"], *brute_hits(r["text"], items)) for r in odd.collect())
+    assert want == Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in rows(decontaminate.op4(odd, bench)))
+
+
+def test_documents_are_not_shuffled_for_decontamination(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    plan = decontaminate.decontaminate(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def brute_cut(text, items):
+    """The text without hit words and what stands before each of them; None where it is contaminated."""
+    n, hit, *_ = brute_hits(text, items)
+    if hit and 20 * hit >= n:
+        return None
+    found = set()
+    words = list(WORD.finditer(lower(text)))
+    for _, t in items:
+        w = WORD.findall(lower(t))
+        k = min(13, len(w))
+        for s in range(max(1, len(w) - 12)) if w else ():
+            for at in range(len(words) - k + 1):
+                if [x[0] for x in words[at:at + k]] == w[s:s + k]:
+                    found.update(range(at, at + k))
+    out, last = "", 0
+    for i, m in enumerate(words):
+        if i not in found:
+            out += text[last:m.end()]
+        last = m.end()
+    return out + text[last:] if text else text
+
+
+def test_decontamination_both_ways(spark, empty):
+    """Clean documents stay as they are, contaminated ones go, lesser passages are cut and nothing else."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    filler = lambda k, n: " ".join(f"f{k}x{i}," if i % 7 else f"F{k}X{i}\n" for i in range(n))
+    texts = [filler(0, 50), filler(1, 900) + " " + passage + "! " + filler(2, 900), passage, filler(3, 20) + " " + passage, "", None,
+             filler(4, 700) + " " + " ".join(passage.split()[:12]) + " end", filler(5, 1500) + " " + passage.upper()[:40] + " " + passage[:-4] + " " + filler(6, 10)]
+    items = [(1, passage), (2, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint").withColumn("item_ids", F.lit("x")).withColumn("__h", F.lit(1))
+    got = {r["doc_id"]: r for r in rows(decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string")))}
+    want = {i: brute_cut(t, items) if t else t for i, t in enumerate(texts)}
+    assert set(got) == {i for i, t in want.items() if t is not None or texts[i] is None} == {0, 1, 4, 5, 6, 7}
+    assert all(r["text"] == want[i] and r["n_chars"] == len(want[i] or "") and r["item_ids"] == "x" for i, r in got.items())
+    assert decontaminate.decontaminate(empty, spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
+
+
 # 5
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
@@ -205,6 +315,42 @@ def test_embedding_recall_and_blocks(spark):
     assert embeddings.near_pairs(df, 64, block=8).count() == 60 * 59 // 2
 
 
+def test_embeddings_of_every_length_and_repeated_ids(spark):
+    """Against all pairs within each length; classes and kept of every row."""
+    rng = np.random.default_rng(11)
+    data = []
+    for dim in (1, 2, 3, 17, 64):
+        x = rng.normal(size=(40, dim))
+        data += [v.tolist() for v in np.concatenate([x, x[:15] + rng.normal(size=(15, dim)) * 0.04, x[:5] * 1e200, x[:5]])]
+    table = [(int(i), v, "x") for i, v in zip(rng.permutation(len(data)) * 3, data)]
+    table += [(table[0][0], table[0][1], "again")]
+    df = spark.createDataFrame(table, "vec_id bigint, embedding array<double>, vec string")
+    got = rows(embeddings.near_duplicates(df))
+    root = {i: i for i, *_ in table}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    unit = [np.array(v) / np.abs(v).max() for _, v, _ in table]
+    unit = [v / np.linalg.norm(v) for v in unit]
+    links = Counter()
+    for a in range(len(table)):
+        for b in range(a):
+            if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.9:
+                links[a] += 1
+                links[b] += 1
+                p, q = find(table[a][0]), find(table[b][0])
+                root[max(p, q)] = min(p, q)
+    # in two and three dimensions nearly all directions are near some other, many at the very threshold
+    low = {i for i, v, _ in table if len(v) in (2, 3)}
+    want = Counter((i, links[k], find(i), find(i) == i) for k, (i, *_) in enumerate(table) if i not in low)
+    assert want == Counter((r["id"], r["n_links"], r["component"], r["kept"]) for r in got if r["id"] not in low)
+    total = sum(links[k] for k, (i, *_) in enumerate(table) if i in low)
+    assert 0.97 * total <= sum(r["n_links"] for r in got if r["id"] in low) <= total and len(got) == len(table)
+
+
 # 6
 def test_licenses(spark, sample, odd, empty):
     for docs in (sample, odd):
@@ -225,6 +371,104 @@ def test_licenses(spark, sample, odd, empty):
     assert r["labels"] == "apache,mit" and r["expressions"][0]["permissive"] and 0.9 < r["score"] <= 1
 
 
+PARTS = re.compile(r"\(|\)|[A-Za-z0-9.+-]+|\S")
+
+
+def brute_expression(text):
+    """(valid, permissive, labels) by recursive descent; None where it is no expression."""
+    parts = PARTS.findall(re.sub(r"(\*/|-->).*$", "", text))
+    known = {k.lower(): v for k, v in licenses.IDENTIFIERS.items()}
+    exceptions = {e.lower() for e in licenses.EXCEPTIONS}
+    good, labels = [True], []
+
+    def atom(i):
+        if parts[i] == "(":
+            v, i = either(i + 1)
+            if parts[i] != ")":
+                raise ValueError
+            return v, i + 1
+        x = parts[i].lower()
+        if not re.fullmatch(r"[a-z0-9.-]+\+?", x) or x in ("and", "or", "with") or x in exceptions:
+            raise ValueError
+        own = known.get(x) or known.get(x.rstrip("+"))
+        if own is None and not x.startswith("licenseref-"):
+            good[0] = False
+        labels.append(own[0] if own else x)
+        v = bool(own and own[1])
+        if i + 1 < len(parts) and parts[i + 1].lower() == "with":
+            e = parts[i + 2].lower()
+            if not re.fullmatch(r"[a-z0-9.-]+\+?", e) or e in ("and", "or", "with") or e in known or e.startswith("licenseref-"):
+                raise ValueError
+            if e not in exceptions:
+                good[0] = False
+            return (v or e in exceptions and (own is not None or x.startswith("licenseref-"))), i + 3
+        return v, i + 1
+
+    def chain(i, below, word, join):
+        v, i = below(i)
+        while i < len(parts) and parts[i].lower() == word:
+            w, i = below(i + 1)
+            v = join(v, w)
+        return v, i
+
+    def both(i):
+        return chain(i, atom, "and", lambda a, b: a and b)
+
+    def either(i):
+        return chain(i, both, "or", lambda a, b: a or b)
+
+    try:
+        v, i = either(0)
+        if i != len(parts):
+            raise ValueError
+    except (ValueError, IndexError):
+        return False, False, []
+    return good[0], v, labels
+
+
+def test_expressions_against_recursive_descent():
+    rng = np.random.default_rng(6)
+    pieces = ["MIT", "GPL-2.0-only", "apache-2.0", "Artistic-2.0", "LicenseRef-x", "and", "OR", "with", "Classpath-exception-2.0", "Odd-exception", "(", ")", "GPL-2.0+", ","]
+    weights = np.array([4, 4, 3, 2, 1, 4, 4, 2, 2, 1, 2, 2, 1, 0.3])
+    seen = Counter()
+    for _ in range(6000):
+        x = " ".join(rng.choice(pieces, rng.integers(1, 9), p=weights / weights.sum()))
+        got, want = licenses.evaluate(x), brute_expression(x)
+        assert (got[0], got[1], sorted(got[2])) == (want[0], want[1], sorted(want[2])), x
+        seen[want[0]] += 1
+    assert min(seen.values()) > 100
+    assert licenses.evaluate("MIT OR Artistic-2.0")[1:] == (True, ["mit", "artistic-2.0"])
+
+
+def test_license_labels_and_scores_against_brute_force(spark, sample, odd):
+    texts = ["/* SPDX-License-Identifier: MIT OR Artistic-2.0 */ é", "x SPDX License Identifier: MIT", "spdx-license-identifier: (GPL-2.0-only WITH Classpath-exception-2.0)\nSPDX-License-Identifier: nonsense here\nCC0 and BSD-3-Clause",
+             "Public domain. All rights reserved. ISC license; mozilla public license", "cc by nc, cc by, Apache License SPDX-License-Identifier:"]
+    docs = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").union(sample.select("doc_id", "text")).union(odd.select("doc_id", "text"))
+    phrases = {**{p: [(lab, 0.7)] for p, lab in licenses.BASE.items()}}
+    for p, lw in licenses.NOTICES.items():
+        phrases.setdefault(p, []).append(lw)
+    for name, (lab, _) in licenses.IDENTIFIERS.items():
+        if len(w := WORD.findall(lower(name))) > 1:
+            phrases.setdefault(" ".join(w), []).append((lab, 0.8))
+    want = Counter()
+    for r in docs.collect():
+        text = r["text"] or ""
+        line = f" {' '.join(WORD.findall(lower(text)))} "
+        labels, weights = set(), {}
+        for p, found in phrases.items():
+            if f" {p} " in line:
+                labels.update(lab for lab, _ in found)
+                weights[p] = found[-1][1]
+        for m in re.finditer(r"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])SPDX-License-Identifier:[ \t]*([^\r\n]*)", text):
+            valid, _, named = brute_expression(m[1])
+            labels.update(named)
+            weights[m[0]] = 0.95 if valid else 0.3
+        want[r["doc_id"], ",".join(sorted(labels)), round(1 - float(np.prod([1 - w for w in weights.values()])), 9)] += 1
+    assert want == Counter((r["doc_id"], r["labels"], round(r["score"], 9)) for r in rows(licenses.op6(docs)))
+    clash = licenses.scan_licenses(docs.where("doc_id = 1000").withColumn("labels", F.lit("mine")), key_cols=("doc_id", "labels")).first()
+    assert clash["labels"] == "mine" and clash["labels_found"] == "artistic-2.0,mit"
+
+
 # 7
 def test_sharding(spark, sample, odd, empty):
     for docs in (sample, odd):
@@ -268,6 +512,30 @@ def test_quality(spark, odd, empty):
     assert quality.train(odd, labels.where("false")).score(np.array([0]), np.array([0.0])) == 0.5
 
 
+def test_scores_against_a_plain_sum(spark, odd):
+    """Score of whole texts: features by plain loops, all pairs summed one by one."""
+    rng = np.random.default_rng(3)
+    size = quality.BUCKETS + len(quality.STATS)
+    m = quality.Machine(0.2, rng.normal(size=size) * 0.1, rng.normal(size=(size, 2)) * 0.05)
+    texts = ["", None, "one two two three", "é ß — word word", "a b c d e f g\nh i.\nh i."]
+    docs = spark.createDataFrame([(i, t, None if i == 3 else i) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars int")
+    for r in rows(quality.score_quality(docs, m)):
+        text, x = r["text"] or "", {}
+        words = Counter(text.split())
+        for w, n in words.items():
+            k = zlib.crc32(w.encode()) % quality.BUCKETS
+            x[k] = x.get(k, 0.0) + 1 + np.log(n)
+        norm = max(1e-9, sum(v * v for v in x.values()) ** 0.5)
+        x = {k: v / norm for k, v in x.items()}
+        stats = quality.statistics(text, words, sum(words.values()), None if r["n_chars"] is None else float(r["n_chars"]))
+        x |= {quality.BUCKETS + i: v for i, v in enumerate(stats)}
+        at = sorted(x)
+        margin = m.w0 + sum(m.w[i] * x[i] for i in at) + sum(m.v[i] @ m.v[j] * x[i] * x[j] for n, i in enumerate(at) for j in at[:n])
+        assert abs(r["quality_score"] - 1 / (1 + np.exp(-margin))) < 1e-5
+    kept = rows(quality.keep_good(odd, m, 0.0))
+    assert len(kept) == 10 and kept[0].__fields__ == odd.columns and rows(quality.keep_good(odd, m, 1.1)) == []
+
+
 # 9
 def test_token_files(spark, sample, odd, empty, tmp_path):
     import public_tokenizers
@@ -309,7 +577,11 @@ def test_damaged_records_are_refused():
 
 # 10
 def brute_fp(t, k=3):
-    h = simhash.shingle_hashes(t, k)
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+    grams = [" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+    h = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h)) if len(h) else 0
 
 
@@ -450,3 +722,56 @@ def test_pipeline_against_brute_force(spark, sf):
     for i, r in got[4].items():
         assert base_spans(r["text"]) == ""
         assert got[5][i]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def test_pipeline_over_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows and further columns through every stage; empty tables."""
+    import corpus_pipeline as C
+
+    wide = lambda df: df.select("doc_id", "text", F.lit("en").alias("lang"), F.col("shard").alias("source"), F.length("text").cast("bigint").alias("n_chars"), "hits")
+    for name, docs, labels, items in (
+        ("odd", odd, [(4, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, 0)], [(1, "again and again", 9), (2, None, 9), (3, "", 9)]),
+        ("empty", empty, [], []), ("nothing to learn", odd, [], []),
+    ):
+        d = f"{tmp_path}/{name.replace(' ', '-')}"
+        wide(docs).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame(items, "item_id bigint, text string, hits int").write.parquet(f"{d}/benchmark.parquet")
+        now = spark.read.parquet(f"{d}/documents.parquet")
+        sizes = [now.count()]
+        for k, (step, stage) in enumerate(C.STAGES):
+            stage(spark, now, d).write.parquet(f"{d}/{k}")
+            now = spark.read.parquet(f"{d}/{k}")
+            sizes.append(now.count())
+            assert k == 4 or now.columns == wide(docs).columns, step
+        assert now.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and sizes == sorted(sizes, reverse=True)
+        if name == "nothing to learn":
+            assert sizes == [10, 10, 6, 6, 6, 6]
+        assert C.run(spark, d).count() == sizes[-1]
+
+
+def test_stages_keep_and_leave(spark, empty, sample):
+    """Rows of empty tables, and of each stage's rows those it must leave alone."""
+    machine = quality.fit([])
+    bench = spark.createDataFrame([(1, "no such words here")], "item_id bigint, text string")
+    ratios = secrets.train(secrets.labelled_samples(spark))
+    for out in (quality.keep_good(empty, machine), simhash.keep_one(empty), decontaminate.decontaminate(empty, bench), secrets.redact_secrets(empty, ratios)):
+        assert out.columns == empty.columns and out.count() == 0
+    assert decontaminate.decontaminate(sample, bench).exceptAll(sample).count() == 0 and decontaminate.decontaminate(sample, bench).count() == sample.count()
+    clean = sample.where("not text rlike '[0-9]'")
+    assert clean.count() > 0 and secrets.redact_secrets(clean, ratios).exceptAll(clean).count() == 0
+
+
+def test_settings_of_the_session_stay(spark, odd):
+    """Limits that a session sets itself are not touched, and operators of different kinds set the same ones."""
+    from scrivenry.llm import batches
+
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "3")
+        batches.bound_batches(spark)
+        assert spark.conf.get(names[0]) == "3"
+        assert licenses.op6(odd).count() == 10
+    finally:
+        spark.conf.set(names[0], before[0])
