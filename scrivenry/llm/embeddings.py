@@ -130,27 +130,25 @@ class _Group:
         for s in range(0, len(self.left), 256):
             cos = x[self.left[s:s + 256]] @ y.T
             self.linked[s:s + 256] = cos >= threshold
-            p, q = np.nonzero(np.abs(cos - threshold) < 1e-9)
-            self.linked[s + p, q] = np.einsum("ij,ij->i", x[self.left[s + p]], y[q]) >= threshold
+            edge = np.abs(cos - threshold) < 1e-9
+            if edge.any():
+                p, q = np.nonzero(edge)
+                self.linked[s + p, q] = np.einsum("ij,ij->i", x[self.left[s + p]], y[q]) >= threshold
         if self.same:
             np.fill_diagonal(self.linked, False)
         self.probes = self.keys.shape[1] // tables
 
     def new_pairs(self):
-        """Links (left place, right place), each way where the group has one block, of which this group's key is the smallest shared one
-        in the first table that shares any: a pair is new in one group alone. In slices."""
+        """Links (left place, right place) of which this group's key is the smallest shared one in the first table
+        that shares any, so a pair is new in one group alone. In slices."""
         rows, cols = np.nonzero(np.triu(self.linked) if self.same else self.linked)
-        w = self.probes
-        for s in range(0, len(rows), 1 << 16):
-            p, q = self.left[rows[s:s + (1 << 16)]], self.right[cols[s:s + (1 << 16)]]
-            for t in range(self.table):
-                a, b = self.keys[p, t * w:t * w + w], self.keys[q, t * w:t * w + w]
-                free = ~(a[:, :, None] == b[:, None, :]).any((1, 2))
-                p, q = p[free], q[free]
-            t = self.table
-            a, b = self.keys[p, t * w:t * w + w], self.keys[q, t * w:t * w + w]
-            shared = np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.iinfo(np.int64).max).min(1)
-            own = shared == self.key
+        w, n = self.probes, self.table + 1
+        for s in range(0, len(rows), 1 << 13):
+            p, q = self.left[rows[s:s + (1 << 13)]], self.right[cols[s:s + (1 << 13)]]
+            a, b = (self.keys[x, :n * w].reshape(-1, n, w) for x in (p, q))
+            met = (a[:, :, :, None] == b[:, :, None, :]).any(3)
+            shared = np.where(met[:, -1], a[:, -1], np.iinfo(np.int64).max).min(1)
+            own = ~met[:, :-1].any((1, 2)) & (shared == self.key)
             yield p[own], q[own]
 
     def tree(self) -> list[tuple[int, int]]:
@@ -188,7 +186,7 @@ class _Group:
 
 
 def _groups(batches, threshold: float, tables: int):
-    """Groups of sorted rows (dim, key, i, j, side, id, n, keys, vec) of two members or more."""
+    """Groups with a link, of sorted rows (dim, key, i, j, side, id, n, keys, vec)."""
     here, held = None, []
 
     def close():
@@ -197,7 +195,8 @@ def _groups(batches, threshold: float, tables: int):
         sides = np.concatenate([h[0] for h in held])
         if here[2] != here[3] and not ((sides == here[2]).any() and (sides == here[3]).any()):
             return None
-        return _Group(here, held, threshold, tables)
+        found = _Group(here, held, threshold, tables)
+        return found if found.linked.any() else None
 
     for b in slices(batches):
         dim, k, i, j, side, ids, n = (b.column(c).to_numpy(zero_copy_only=False) for c in range(7))
