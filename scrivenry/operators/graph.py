@@ -13,9 +13,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Only nodes with a link to another node are returned; loops and nulls are ignored.
     Each round hangs every larger neighbour of a node on the node's smallest
     neighbour (large star), then every smaller one (small star); the number of rounds
-    is logarithmic in the diameter. A star centre with many leaves is only ever
-    aggregated with a partial ``min``, and leaves are joined back by key, so no group
-    is collected. Each round is written to the shared folder.
+    is logarithmic in the diameter. A star centre with many leaves is aggregated with a
+    partial ``min``, and its leaves are joined back from a written table, so that both sides of
+    that join are plain exchanges, which adaptive execution splits where a centre has very
+    many leaves. No group is collected. Each round is written to the shared folder.
     """
     e = (
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -26,7 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         large = (
             both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
