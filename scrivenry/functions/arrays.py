@@ -45,3 +45,25 @@ def running(
         return F.when(n > 0, whole).when(n == 0, end(zero) if end else empty)
 
     return bind(items, fold)
+
+
+def cut(text: Column, spans: Column) -> Column:
+    """array<string>: the characters of each span (start, end), which are in order of both.
+
+    ``substr`` walks a text from its start, so n spans are cut out of about sqrt(n) stretches of the text.
+    """
+    def part(cuts: Column, g: Column, width: Column) -> Column:
+        def inner(mine: Column) -> Column:
+            start = F.get(mine, F.lit(0))["start"]
+            stretch = text.substr(start + 1, F.get(mine, F.size(mine) - 1)["end"] - start)
+            return bind(stretch, lambda t: F.transform(mine, lambda c: t.substr(c["start"] - start + 1, c["end"] - c["start"])))
+
+        return bind(F.slice(cuts, g * width + 1, width), inner)
+
+    def whole(cuts: Column) -> Column:
+        n = F.size(cuts)
+        width = F.ceil(F.sqrt(n)).cast("int")
+        return F.when(n > 0, F.flatten(F.transform(
+            F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), lambda g: part(cuts, g, width)))).otherwise(F.array().cast("array<string>"))
+
+    return bind(spans, whole)

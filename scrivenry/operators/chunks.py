@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from scrivenry import config as C
-from scrivenry.functions.arrays import running
+from scrivenry.functions.arrays import bind, cut, running
 
 BLOCK = "array<struct<start:int,end:int>>"
 CHUNK = "array<struct<start:int,end:int,blocks:int>>"
@@ -66,11 +66,12 @@ def blocks(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
 
 def chunks(df: DataFrame, id_col: str, text_col: str = "text", limit: int = C.CHUNK_CHARS, overlap: int = 0) -> DataFrame:
     """(id, chunk_no, start, end, blocks, text): a document's chunks in order, in one projection."""
-    folded = pack_blocks(split_oversize(line_blocks(F.coalesce(F.col(text_col), F.lit(""))), limit), limit, overlap)
-    return df.select(id_col, F.col(text_col).alias("t"), F.posexplode(folded).alias("p", "c")).select(
-        id_col, (F.col("p") + 1).cast("bigint").alias("chunk_no"), F.col("c.start").cast("bigint").alias("start"),
-        F.col("c.end").cast("bigint").alias("end"), F.col("c.blocks").cast("bigint").alias("blocks"),
-        F.col("t").substr(F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    folded = pack_blocks(split_oversize(line_blocks(text), limit), limit, overlap)
+    found = bind(folded, lambda spans: F.arrays_zip(spans.alias("at"), cut(text, spans).alias("text")))
+    return df.select(id_col, F.posexplode(found).alias("p", "c")).select(
+        id_col, (F.col("p") + 1).cast("bigint").alias("chunk_no"), F.col("c.at.start").cast("bigint").alias("start"),
+        F.col("c.at.end").cast("bigint").alias("end"), F.col("c.at.blocks").cast("bigint").alias("blocks"), F.col("c.text").alias("text"))
 
 
 def numbered(df: DataFrame, by: str, *order: str) -> Column:

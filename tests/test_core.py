@@ -79,6 +79,18 @@ def test_chunks_are_slices(spark, sf):
         assert r["text"] == texts[r["doc_id"]][r["start"]:r["end"]] and r["end"] - r["start"] <= 4000
 
 
+def test_long_texts_are_chunked_in_seconds(spark):
+    import time
+
+    text = "\n".join(f"line {i} é" for i in range(200_000))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string")
+    began = time.time()
+    blocks, chunks = K.blocks(df, "doc_id").collect(), K.chunks(df, "doc_id", overlap=200).collect()
+    assert time.time() - began < 60
+    assert [r["text"] for r in blocks] == text.split("\n") and all(text[r["start"]:r["end"]] == r["text"] for r in blocks[::997])
+    assert all(text[r["start"]:r["end"]] == r["text"] and r["doc_id"] == 1 for r in chunks) and chunks[-1]["end"] == len(text)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (5, 5), (None, 3)] + [(300, 300 + i) for i in range(1, 30)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
