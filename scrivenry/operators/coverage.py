@@ -51,5 +51,5 @@ def targets(open_subs: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("source_id").orderBy("start"))
     body = F.left("body", F.lit(C.CHUNK_CHARS))
     return (
-        open_subs.where(F.length(F.trim("body")) > 0).withColumn("n", n).where(F.col("n") <= C.MAX_TARGETED)
+        open_subs.where(F.col("body").rlike(r"\S")).withColumn("n", n).where(F.col("n") <= C.MAX_TARGETED)
         .withColumn("target_id", X.targeted_id(F.col("sub_id"), F.concat(F.col("heading"), F.lit("\n"), body))))

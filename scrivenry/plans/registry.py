@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scrivenry.plans import document_queries, fixture_queries, sink_queries
+from scrivenry.plans import document_queries, fixture_queries, paper_queries, sink_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**document_queries.QUERIES, **fixture_queries.QUERIES, **sink_queries.QUERIES}
-ORACLES: dict[str, str] = {**document_queries.ORACLES, **fixture_queries.ORACLES, **sink_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**document_queries.QUERIES, **fixture_queries.QUERIES, **sink_queries.QUERIES, **paper_queries.QUERIES}
+ORACLES: dict[str, str] = {**document_queries.ORACLES, **fixture_queries.ORACLES, **sink_queries.ORACLES, **paper_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
