@@ -105,7 +105,7 @@ def repeated_spans(
         F.shiftright(low("unit"), 1).cast("int").alias("words"), (low("unit").bitwiseAND(F.lit(1)) == 1).alias("line"), F.col("first.doc").alias("first_doc"))
     sentence = F.col("at") >= 0
     own = Window.partitionBy("row", sentence).orderBy("at")
-    before = Window.partitionBy("row").orderBy("start", "end")
+    before = Window.partitionBy("row").orderBy("start", "end", "long")
     runs = (
         again.repartition("row")
         .withColumn("run", F.when(sentence, F.col("at") - F.row_number().over(own)))
@@ -118,7 +118,7 @@ def repeated_spans(
         runs.withColumn("reach", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("span", F.count_if(F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).over(before.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("row", "span").agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.min_by("first_doc", F.struct("start", "end")).alias("first_doc"))
+            F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.min_by("first_doc", F.struct("start", "end", "long")).alias("first_doc"))
     )
     return merged.groupBy("row").agg(
         F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end", "first_doc"))).alias("spans"))
@@ -204,13 +204,13 @@ split AS (
   SELECT *, num >= 0 AND sum(words) OVER (PARTITION BY r, run) >= 8 AS long
   FROM (SELECT *, CASE WHEN num >= 0 THEN num - row_number() OVER (PARTITION BY r, num >= 0 ORDER BY num) END AS run FROM ranked WHERE k > 1)
 ), gone AS (
-  SELECT r, min(s) AS s, max(e) AS e, count(*) AS n, arg_min(first_doc, s) AS first_doc
+  SELECT r, long, min(s) AS s, max(e) AS e, count(*) AS n, arg_min(first_doc, s) AS first_doc
   FROM runs WHERE long OR line GROUP BY r, long, CASE WHEN long THEN run ELSE s END
 ), marked AS (
-  SELECT *, coalesce(max(e) OVER (PARTITION BY r ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= s, true) AS opens FROM gone
+  SELECT *, coalesce(max(e) OVER (PARTITION BY r ORDER BY s, e, long ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= s, true) AS opens FROM gone
 ), merged AS (
-  SELECT r, min(s) AS s, max(e) AS e, sum(n) AS n, arg_min(first_doc, s * 10000000000 + e) AS first_doc
-  FROM (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS span FROM marked) GROUP BY r, span
+  SELECT r, min(s) AS s, max(e) AS e, sum(n) AS n, arg_min(first_doc, (s * 10000000000 + e) * 2 + CAST(long AS INTEGER)) AS first_doc
+  FROM (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY s, e, long ROWS UNBOUNDED PRECEDING) AS span FROM marked) GROUP BY r, span
 ), found AS (
   SELECT r, sum(n) AS n_removed, count(*) AS n_spans, sum(e - s) AS removed_chars,
          string_agg(s || ':' || e || ':' || coalesce(CAST(first_doc AS VARCHAR), ''), ',' ORDER BY s) AS spans, arg_min(first_doc, s) AS first_doc_id, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es
