@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+#: Equal rows that are numbered at once.
+RUN = 1 << 16
+
 
 def _score(key: Column, shard: Column, weight: Column) -> Column:
     """-w / ln(u) with u uniform in (0, 1): the largest score owns the key in proportion to w."""
@@ -60,7 +63,7 @@ def number_slots(
 ) -> DataFrame:
     """Every row with ``slot``: gapless from 0 in its shard, in a fixed order.
 
-    Equal rows are counted before any shuffle. A shard is cut into ``buckets`` by a hash
+    Equal rows are counted before any shuffle and come back in runs of RUN slots. A shard is cut into ``buckets`` by a hash
     of the ordering columns; rows are numbered inside (shard, bucket) and start at the
     sum of the earlier buckets, a table of at most ``n_shards * buckets`` rows, which
     bounds the broadcast whatever the input is.
@@ -86,10 +89,14 @@ def number_slots(
             F.broadcast(starts),
             (placed[shard_col] == starts["__shard"]) & (placed["__bucket"] == starts["__b"]),
         )
+        .select(
+            *cols, (F.col("__start") + F.col("__at")).alias("__first"), "__n",
+            F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / RUN))).alias("__run"))
         .select(
             *cols,
-            F.explode(F.sequence(F.col("__start") + F.col("__at"),
-                                 F.col("__start") + F.col("__at") + F.col("__n") - 1)).alias("slot"),
+            F.explode(F.sequence(
+                F.col("__first") + F.col("__run") * RUN,
+                F.col("__first") + F.least((F.col("__run") + 1) * RUN, F.col("__n")) - 1)).alias("slot"),
         )
     )
 

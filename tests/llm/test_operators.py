@@ -486,6 +486,15 @@ def test_sharding(spark, sample, odd, empty):
     assert moved.where("grown_shard <> 40").count() == 0 and 350 < moved.count() < 650
 
 
+def test_equal_rows_get_slots_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 4)
+    docs = spark.createDataFrame([(1, "same")] * 23 + [(2, "x"), (None, None), (None, None)], "doc_id bigint, text string")
+    got = rows(sharding.op7(docs))
+    assert len(got) == 26
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 # 8
 def test_machine_matches_pairwise_sum():
     rng = np.random.default_rng(0)
@@ -512,6 +521,15 @@ def test_quality(spark, odd, empty):
     assert quality.train(odd, labels.where("false")).score(np.array([0]), np.array([0.0])) == 0.5
 
 
+def test_sample_is_bounded_by_its_values(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(100))) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    words = lambda m: int((m.w[:quality.BUCKETS] != 0).sum())
+    whole, part = quality.train(docs, labels), quality.train(docs, labels, values=1000)
+    assert words(whole) > 2500 and 500 < words(part) <= 1000
+    assert words(quality.train(docs, labels, values=10)) == 0
+
+
 def test_scores_against_a_plain_sum(spark, odd):
     """Score of whole texts: features by plain loops, all pairs summed one by one."""
     rng = np.random.default_rng(3)
