@@ -234,17 +234,20 @@ def locate_benchmark(spark, d):
     return _located(spark, d).select("doc_id", "item_id", (at - 1).alias("start"), (at - 1 + F.length("needle")).alias("end"))
 
 
-PLACES = f"""WITH hit AS (
+PLACES = f"""WITH hit AS MATERIALIZED (
   SELECT doc_id, item_id, text, h, n FROM (SELECT doc_id, text, {NORMAL.format(x='text')} AS h FROM documents), (SELECT item_id, {NORMAL.format(x='text')} AS n FROM benchmark) WHERE n <> '' AND instr(h, n) > 0
-), chars AS (
+), chars AS MATERIALIZED (
   SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(0, length(text))) AS pos FROM (SELECT DISTINCT doc_id, text FROM hit)
 ), bare AS (SELECT * FROM chars WHERE c NOT IN ('*', '_', '`')),
 blanks AS (SELECT *, regexp_matches(c, '^[ \\t\\n\\r\\f]$') AS blank FROM bare),
 runs AS (SELECT *, coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY pos), true) AS before FROM blanks),
 kept AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM runs WHERE NOT (blank AND before)),
-places AS (SELECT doc_id, item_id, length(n) AS size, unnest(list_filter(range(1, length(h) - length(n) + 2), lambda i: substr(h, i, length(n)) = n)) AS p FROM hit),
+pieces AS (SELECT doc_id, item_id, length(n) AS size, unnest(list_transform(string_split(h, n), lambda x: length(x))) AS gap, unnest(range(1, len(string_split(h, n)) + 1)) AS i FROM hit),
+places AS (
+  SELECT * FROM (SELECT doc_id, item_id, size, CAST(1 + (i - 1) * size + sum(gap) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS BIGINT) AS p, i, max(i) OVER (PARTITION BY doc_id, item_id) AS m FROM pieces) WHERE i < m
+),
 found AS (
-  SELECT doc_id, item_id, a.pos AS s, b.pos + 1 AS e FROM places JOIN kept a USING (doc_id) JOIN kept b USING (doc_id) WHERE a.k = p AND b.k = p + size - 1
+  SELECT x.doc_id, x.item_id, a.pos AS s, b.pos + 1 AS e FROM places x JOIN kept a ON a.doc_id = x.doc_id AND a.k = x.p JOIN kept b ON b.doc_id = x.doc_id AND b.k = x.p + x.size - 1
 )"""
 
 
