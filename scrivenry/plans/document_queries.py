@@ -246,8 +246,10 @@ pieces AS (SELECT doc_id, item_id, length(n) AS size, unnest(list_transform(stri
 places AS (
   SELECT * FROM (SELECT doc_id, item_id, size, CAST(1 + (i - 1) * size + sum(gap) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS BIGINT) AS p, i, max(i) OVER (PARTITION BY doc_id, item_id) AS m FROM pieces) WHERE i < m
 ),
-found AS (
-  SELECT x.doc_id, x.item_id, a.pos AS s, b.pos + 1 AS e FROM places x JOIN kept a ON a.doc_id = x.doc_id AND a.k = x.p JOIN kept b ON b.doc_id = x.doc_id AND b.k = x.p + x.size - 1
+begun AS MATERIALIZED (
+  SELECT x.doc_id, x.item_id, a.pos AS s, x.p + x.size - 1 AS last FROM places x JOIN kept a ON a.doc_id = x.doc_id AND a.k = x.p
+), found AS (
+  SELECT x.doc_id, x.item_id, x.s, b.pos + 1 AS e FROM begun x JOIN kept b ON b.doc_id = x.doc_id AND b.k = x.last
 )"""
 
 
