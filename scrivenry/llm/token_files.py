@@ -33,7 +33,7 @@ _TOKENIZERS: dict[str, tuple] = {}
 #: Text bytes of a shard (a range of keys); bytes of records that are written as one row, and rows of a file.
 SHARD_BYTES, BLOB_BYTES, FILE_BLOBS = 32 << 20, 4 << 20, 4
 #: Words whose ids a Python worker remembers; a batch's own are always held.
-MAX_WORDS = 400_000
+MAX_WORDS = 500_000
 END_MARK = re.compile(r"([.,!?;:])(?<=[^\W_][.,!?;:])(?![^ \n])")
 ODD = ("\u03a3", "\u0130", "<|")
 
@@ -50,23 +50,24 @@ def frame(key: int | None, ids: bytes, width: int) -> bytes:
     return size + FOOT.pack(masked_crc(size)) + payload + FOOT.pack(masked_crc(payload))
 
 
-def read_frames(content: bytes):
+def read_frames(content):
     """(offset, length, key, ids) of every record of a file; raises ValueError on any damage."""
-    at = 0
     view = memoryview(content)
-    while at < len(content):
-        if at + HEAD.size > len(content):
+    at, whole = 0, len(view)
+    fixed, least = HEAD.size, HEAD.size + FOOT.size + 1
+    while at < whole:
+        if at + least > whole:
             raise ValueError(f"cut short at {at}")
-        size, check = HEAD.unpack_from(content, at)
-        end = at + HEAD.size + size + FOOT.size
-        if masked_crc(view[at:at + 8]) != check or end + 1 > len(content):
+        size, check = HEAD.unpack_from(view, at)
+        begin = at + fixed
+        end = begin + size + FOOT.size
+        if masked_crc(view[at:at + 8]) != check or end >= whole:
             raise ValueError(f"bad length at {at}")
-        payload = view[at + HEAD.size:end - FOOT.size]
-        if masked_crc(payload) != FOOT.unpack_from(content, end - FOOT.size)[0] or content[end] != 10:
+        payload = view[begin:begin + size]
+        if masked_crc(payload) != FOOT.unpack_from(view, begin + size)[0] or view[end] != 10:
             raise ValueError(f"bad record at {at}")
         known, key, width = INNER.unpack_from(payload)
-        ids = np.frombuffer(payload[INNER.size:], "<u2" if width == 2 else "<u4")
-        yield at, end + 1 - at, key if known else None, ids
+        yield at, end + 1 - at, key if known else None, np.frombuffer(payload, "<u2" if width == 2 else "<u4", -1, INNER.size)
         at = end + 1
 
 
@@ -247,16 +248,22 @@ def _scan(spark: SparkSession, data: str) -> DataFrame:
     at = lambda i: F.regexp_extract("path", FILE_NAME, i).cast("int")
 
     def run(batches):
-        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 6]
         for b in batches:
             for k in range(b.num_rows):
                 shard, part, content = (b.column(i)[k] for i in range(3))
-                rows, total = [], 0
-                for offset, length, key, ids in read_frames(content.as_buffer()):
-                    rows.append((shard.as_py(), part.as_py(), key, offset, length, len(ids), total, zlib.crc32(ids.astype("<u4").tobytes())))
+                found = tuple([] for _ in range(6))
+                doc, offset, length, size, start, crc = found
+                total = 0
+                for place, n, key, ids in read_frames(content.as_buffer()):
+                    doc.append(key)
+                    offset.append(place)
+                    length.append(n)
+                    size.append(len(ids))
+                    start.append(total)
+                    crc.append(zlib.crc32(ids.astype("<u4")))
                     total += len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                    [pa.array([x.as_py()] * len(doc), pa.int32()) for x in (shard, part)] + [pa.array(x, pa.int64()) for x in found],
                     names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return map_batches(files.select(at(1).alias("shard"), at(2).alias("part"), "content"), run, SCHEMA)
