@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from scrivenry.llm.batches import bound_batches, map_batches, slices
+from scrivenry.sources.tables import note_made
 
 #: UTF-8 bytes of text after which a task closes a block of documents.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: Ids that a block's documents are given out with at once (one document at least).
 OUT_IDS = 1 << 20
 #: Hash parts, at least, that the distinct words of a block are dealt to; twice the shuffle partitions, where those are many.
@@ -164,7 +165,7 @@ def encode(
     The words of all blocks are dealt by a hash to parts; in a part each distinct word is encoded
     once, whatever number of blocks hold it, and its ids go back to each block. Even a word that is
     a third of all text is one entry for each block. Documents wait in a table bucketed by block, so
-    only vocabularies are shuffled, never texts. A block (about 8 MB of UTF-8, or one longer text) is
+    only vocabularies are shuffled, never texts. A block (about 12 MB of UTF-8, or one longer text) is
     what one task holds. The ranks are a vocabulary file and are broadcast.
 
     Repeated rows and null keys come back as often as they came in; an empty table gives no rows;
@@ -178,6 +179,7 @@ def encode(
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     _explode(src, pattern, kind, max(PARTS, 2 * buckets)).write.format("parquet").option("compression", "zstd").bucketBy(
         buckets, "block").saveAsTable(table)
+    note_made(spark, "table", table)
     shared = spark.sparkContext.broadcast(ranks)
     name = _digest(ranks, pattern)
 
