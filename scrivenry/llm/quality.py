@@ -10,8 +10,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from scrivenry.llm.batches import map_batches, slices
+from scrivenry.sources.tables import materialise
 
 #: Hash buckets of words.
 BUCKETS = 1 << 15
@@ -19,6 +21,8 @@ BUCKETS = 1 << 15
 RANK = 8
 #: Labelled rows that are fitted at most; taken by a hash of the key, so spread over the table.
 SAMPLE = 8000
+#: Feature values (8 bytes each) of these rows that reach the driver at most.
+SAMPLE_VALUES = 16_000_000
 STATS = (
     "chars", "words", "mean_word", "longest_word", "upper", "digit", "symbol", "space", "other", "distinct",
     "top_word", "repeated_lines", "line_words", "end_marks", "declared_chars", "one",
@@ -48,7 +52,7 @@ def statistics(text: str, words: Counter, n_words: int, declared: float | None)
 
 
 class Features:
-    """(indices, values) of a text: word buckets weighted by 1 + log of their count, of unit length
+    """(indices, values) of a text: word buckets weighted by the sum of 1 + log of their words' counts, of unit length
     together, then the statistics."""
 
     def __init__(self, buckets: int = BUCKETS) -> None:
@@ -67,9 +71,12 @@ class Features:
         text = text or ""
         words = Counter(text.split())
         n = sum(words.values())
-        idx = np.fromiter(map(self.bucket, words), np.int32, len(words))
-        val = 1 + np.log(np.fromiter(words.values(), np.float32, len(words)))
-        val /= max(1e-9, float(np.sqrt((val * val).sum())))
+        found = np.fromiter(map(self.bucket, words), np.int32, len(words))
+        own = 1 + np.log(np.fromiter(words.values(), np.float32, len(words)))
+        # words that share a bucket are one feature, so that no feature meets itself in the pairs
+        idx, place = np.unique(found, return_inverse=True)
+        val = np.bincount(place, own, len(idx))
+        val = val / max(1e-9, float(np.sqrt((val * val).sum())))
         stats = np.array(statistics(text, words, n, declared), np.float32)
         at = np.arange(self.buckets, self.buckets + len(STATS), dtype=np.int32)
         return np.concatenate((idx, at)), np.concatenate((val.astype(np.float32), stats))
@@ -147,12 +154,14 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str, meta_col: str | None) -
 
 def train(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "quality", meta_col: str | None = "n_chars",
+    label_col: str = "quality", meta_col: str | None = "n_chars", values: int = SAMPLE_VALUES,
 ) -> Machine:
     """Fit on at most ``sample`` labelled keys outside the held-out fold, the first by a hash of the key.
 
     Keys with several labels count as 1 where any is; keys without a document, null keys and null
-    labels teach nothing. What reaches the driver is bounded by ``sample``: sparse features, no texts.
+    labels teach nothing. What reaches the driver are sparse features, no texts: ``sample`` rows, of which the
+    last go where the first have ``values`` values together. A very long text has one value for each bucket at most.
+    Repeated rows teach as often as they occur; further columns, whatever their names, are not looked at.
     """
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -173,7 +182,11 @@ def train(
                 names=["doc", "idx", "val", "y"])
 
     kind = src.schema["doc"].dataType.simpleString()
-    table = map_batches(src, run, f"doc {kind}, idx array<int>, val array<float>, y int").toArrow()
+    found = materialise(map_batches(src, run, f"doc {kind}, idx array<int>, val array<float>, y int"), "sample")
+    order = Window.orderBy(F.xxhash64("doc"), "doc").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = found.groupBy("doc").agg(F.sum(F.size("idx")).alias("k"))  # a row for each key of the sample
+    first = sizes.select("doc", F.sum("k").over(order).alias("upto")).where(F.col("upto") <= values)
+    table = found.join(F.broadcast(first.select("doc")), "doc", "left_semi").toArrow()
     rows = sorted(
         (
             (str(d), i.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(np.float32), int(y))
