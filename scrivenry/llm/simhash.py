@@ -14,6 +14,8 @@ from scrivenry.sources.tables import materialise
 
 #: A shard with more fingerprints than this is cut into blocks; trees of blocks meet pairwise.
 BLOCK = 4096
+#: The same for shards by min-wise shingles, whose fingerprints are wide.
+WIDE_BLOCK = 1024
 #: A class of candidates with more nodes, or more shingles in all, is cut into blocks likewise.
 VERIFY_BLOCK, VERIFY_SHINGLES = 4096, 2_000_000
 #: Hashes turned into bit counts at once.
@@ -433,7 +435,7 @@ def near_duplicates(
         routed = prints.select(F.explode(_anchor_keys(F.col("anchors"), n_anchors)).alias("key"), "fp").distinct()
     else:
         routed = nodes.select(F.explode(_band_keys(F.col("fp"), radius)).alias("key"), "fp")
-    links = near_links(routed, radius).select(number(F.col("a")).alias("a"), number(F.col("b")).alias("b"))
+    links = near_links(routed, radius, WIDE_BLOCK if n_anchors else BLOCK).select(number(F.col("a")).alias("a"), number(F.col("b")).alias("b"))
     joined = connected_components(links)
     classes = nodes.join(joined, nodes["at"] == joined["node"], "left").select("fp", "at", "doc", F.coalesce("component", "at").alias("class"))
     if exact:
