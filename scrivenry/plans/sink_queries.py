@@ -35,15 +35,17 @@ def _path(spark, name: str) -> str:
 @query(f"SELECT page_id, url AS source_url, false AS verified, sha256({_sql_markdown('html')}) AS content_sha256 FROM pages")
 def note_scan(spark, d):
     """Every page as a whole Markdown note in a file of its own, read back, properties and sections parsed"""
-    path = _path(spark, "notes")
-    front = F.concat(F.lit("---\ntype: source\npage_id: "), F.col("page_id").cast("string"), F.lit("\nsource_url: \""), "url", F.lit("\"\nhuman_verified: false\n---\n"))
-    note = F.concat(front, P.note_body(P.title(F.col("html")), F.col("url"), P.to_markdown(F.col("html"))))
-    table(spark, d, "pages").select(note.alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
-    raw = spark.read.text(path, wholetext=True)
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    front = F.concat(F.lit("---\ntype: source\npage_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit("\nsource_url: "),
+                     F.coalesce(quoted(F.col("url")), F.lit("null")), F.lit("\nhuman_verified: false\n---\n"))
+    # a page without HTML has no content, which is not an empty one
+    body = F.coalesce(P.note_body(P.title(F.col("html")), F.coalesce("url", F.lit("")), P.to_markdown(F.col("html"))), F.lit(""))
+    raw = S.through_files(table(spark, d, "pages").select(F.concat(front, body).alias("value")), _path(spark, "notes"), ".md")
     parsed = raw.select(M.parse_properties(F.regexp_extract("value", M.FRONT, 1)).alias("p"), F.regexp_extract("value", M.FRONT, 2).alias("body"))
     return parsed.select(
         F.col("p")["page_id"].cast("bigint").alias("page_id"), F.col("p")["source_url"].alias("source_url"),
-        (F.col("p")["human_verified"] == "true").alias("verified"), X.sha256(M.content(F.col("body"))).alias("content_sha256"))
+        (F.col("p")["human_verified"] == "true").alias("verified"),
+        F.when(F.col("body") != "", X.sha256(M.content(F.col("body")))).alias("content_sha256"))
 
 
 @query(r"""SELECT doc_id, 'plain' AS extraction_method, CASE WHEN low THEN 3 ELSE 0 END AS exit_code, CASE WHEN NOT low THEN sha256(

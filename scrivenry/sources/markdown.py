@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scrivenry import config as C
 from scrivenry.functions import text as X
+from scrivenry.sources.batches import bound_batches
 from scrivenry.sources.tables import worker_path
 
 FRONT = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
@@ -27,13 +28,17 @@ def parse_properties(frontmatter: Column) -> Column:
     """map<string,string> of YAML properties; lists become JSON text, unknown ones stay, bad YAML is null."""
     import json
 
+    bound_batches(SparkSession.active())
+
     @F.pandas_udf("map<string,string>")
     def run(s: pd.Series) -> pd.Series:
         import yaml
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
         def one(x):
             try:
-                got = yaml.safe_load(x) if x else None
+                got = yaml.load(x, loader) if x else None
             except yaml.YAMLError:
                 return None
             if not isinstance(got, dict):

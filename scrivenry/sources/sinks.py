@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scrivenry.functions import text as X
 from scrivenry.operators.notes import plan_reasons
+from scrivenry.sources.batches import map_batches, slices
+from scrivenry.sources.tables import materialise, note_made
 
 
 def _fs(spark: SparkSession, path: str):
@@ -63,6 +68,85 @@ def read_current(spark: SparkSession, path: str, kind: str = "parquet") -> DataF
     return spark.read.format(kind).load(current(spark, path))
 
 
+#: Files that one task reads back.
+FILES_A_TASK = 2000
+
+
+def _uri(path: str) -> str:
+    """``file:/x``, as Hadoop prints it, in the form that Arrow reads."""
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def _arrow_reads(path: str) -> bool:
+    try:
+        pafs.FileSystem.from_uri(_uri(path))
+    except (pa.ArrowException, ValueError, OSError):
+        return False
+    return True
+
+
+def write_files(texts: DataFrame, path: str, suffix: str = "") -> DataFrame:
+    """(path) of the files below ``path``, one for each row of ``texts`` (value).
+
+    The files are written by the tasks themselves and their paths are a table, so the driver neither moves nor lists
+    them. Each attempt of a task has a folder of its own; only files of attempts that ended well are in the table.
+    """
+    at = _uri(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, root = pafs.FileSystem.from_uri(at)
+        task, n = TaskContext.get(), 0
+        folder = f"{task.partitionId():06d}-{task.taskAttemptId()}"
+        for b in slices(batches):
+            if not n:
+                store.create_dir(f"{root}/{folder}")
+            paths = []
+            for value in b.column(0):
+                with store.open_output_stream(f"{root}/{folder}/{n:08d}{suffix}", compression=None) as f:
+                    f.write((value.as_py() or "").encode())
+                paths.append(f"{folder}/{n:08d}{suffix}")
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+    note_made(texts.sparkSession, "folder", path)
+    return materialise(map_batches(texts.select("value"), run, "path string"), "files")
+
+
+def read_files(paths: DataFrame, path: str) -> DataFrame:
+    """(value) of the text files ``paths`` (path) below ``path``, each a whole row."""
+    at = _uri(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(at)
+        for b in slices(batches):
+            held, size = [], 0
+            for p in b.column(0).to_pylist():
+                with store.open_input_file(f"{root}/{p}") as f:
+                    held.append(f.readall().decode("utf-8", "replace"))
+                size += len(held[-1])
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+
+    parts = max(paths.sparkSession.sparkContext.defaultParallelism, -(-paths.count() // FILES_A_TASK))
+    return map_batches(paths.repartition(parts), run, "value string")
+
+
+def through_files(texts: DataFrame, path: str, suffix: str = "") -> DataFrame:
+    """(value): ``texts`` (value) written as a file each and read back; by Spark's own files where Arrow does not know the store."""
+    if _arrow_reads(path):
+        return read_files(write_files(texts, path, suffix), path)
+    note_made(texts.sparkSession, "folder", path)
+    texts.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    raw = texts.sparkSession.read.text(path, wholetext=True)
+    # a split holds few small files, so a task takes many splits
+    return raw.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, -(-raw.rdd.getNumPartitions() // 100)))
+
+
 PLAN = ("path", "action", "content", "base", "source_id", "source_hash", "version")
 PLAN_SCHEMA = "path string, action string, content string, base string, source_id string, source_hash string, version int"
 

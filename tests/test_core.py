@@ -351,3 +351,24 @@ def test_registry_without_the_training_data_operators():
 
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'doc_chunks' in e.queries() and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_notes_are_files_that_the_driver_does_not_list(spark, tmp_path):
+    """A file for each page, also of odd ones, and no Spark task for every few of them."""
+    import glob
+    import hashlib
+
+    from scrivenry.plans import sink_queries
+    from scrivenry.sources.tables import shared_dir
+
+    rows = [(i, f"https://x.example/{i}", f"<p>page {i}</p>") for i in range(40)] + [(40, 'https://x.example/?q="a\\b"', "<p>a\r\nb</p>"), (41, None, "<p>x</p>"), (42, "u", None), (43, "u", "")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    before = set(glob.glob(shared_dir(spark).removeprefix("file:") + "/notes-*"))
+    got = sink_queries.note_scan(spark, str(tmp_path))
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {(i, u, False, None if h is None else digest(h.replace("<p>", "").replace("</p>", ""))) for i, u, h in rows}
+    assert {tuple(r) for r in got.collect()} == want
+    made, = set(glob.glob(shared_dir(spark).removeprefix("file:") + "/notes-*")) - before
+    assert len(glob.glob(made + "/*/*.md")) == len(rows)
+    # before: a task for every 31 files at most, whatever their size
+    assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
