@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -61,13 +62,19 @@ def normal_excerpt(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[*_`]", ""), r"[ \t\n\r\f]+", " "))
 
 
+@lru_cache(1 << 16)
+def _form(c: str) -> str:
+    """NFKC and case folding of one character."""
+    return unicodedata.normalize("NFKC", c).casefold()
+
+
 def normal_with_map(text: str) -> tuple[str, list[int]]:
     """Full normalisation of one text: NFKC, case folding, marks off, blanks collapsed; with the
     original offset of every character that stays and the end as a last entry."""
     out: list[str] = []
     at: list[int] = []
     for i, c in enumerate(text):
-        for x in unicodedata.normalize("NFKC", c).casefold():
+        for x in _form(c):
             if x in "*_`":
                 continue
             if x.isspace():
@@ -116,6 +123,26 @@ def locate_normal(
     return first
 
 
+def locate_at_start(
+    excerpt: str | None, content: str | None, dead: list[tuple[int, int]], preferred: tuple[int, int] | None,
+) -> tuple[int, int] | None:
+    """What ``locate_normal`` finds where the excerpt itself stands at the start of its preferred range, else None.
+
+    No hit inside the range can begin before the first character of the excerpt that stays, so only the
+    excerpt is normalised.
+    """
+    if not excerpt or not content or preferred is None:
+        return None
+    a, z = preferred
+    if a < 0 or a + len(excerpt) > z or not content.startswith(excerpt, a):
+        return None
+    needle, at = normal_with_map(excerpt)
+    if not needle:
+        return None
+    start, end = a + at[0], a + at[len(needle) - 1] + 1
+    return None if any(x <= start and end <= y for x, y in dead) else (start, end)
+
+
 def locate_excerpt(excerpt: str | None, content: str | None, preferred: tuple[int, int] | None = None):
     """(start, end) of the excerpt in the original content or None; a hit inside ``preferred`` wins,
     else the first. Only exact hits of normalised text count; hits inside an omission marker do not."""

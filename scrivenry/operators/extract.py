@@ -104,9 +104,9 @@ def check_replies(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
     Unknown, missing or null members and members of another type fail.
     """
     mended = repair(F.col(reply_col))
-    x = replies.withColumn("__a", F.when(strict(F.col(reply_col)), F.from_json(reply_col, REPLY))).withColumn(
-        "__b", F.when(strict(mended), F.from_json(mended, REPLY)))
-    status = F.when(F.col(reply_col).isNull(), "failed").when(valid(F.col("__a")), "ok").when(
+    x = replies.withColumn("__a", F.when(strict(F.col(reply_col)), F.from_json(reply_col, REPLY))).withColumn("__ok", valid(F.col("__a"))).withColumn(
+        "__b", F.when(~F.col("__ok") & strict(mended), F.from_json(mended, REPLY)))
+    status = F.when(F.col(reply_col).isNull(), "failed").when(F.col("__ok"), "ok").when(
         valid(F.col("__b")), "repaired").otherwise("failed")
     return x.withColumn("status", status).withColumn(
-        "concept", F.when(F.col("status") == "ok", F.col("__a")).when(F.col("status") == "repaired", F.col("__b"))).drop("__a", "__b")
+        "concept", F.when(F.col("status") == "ok", F.col("__a")).when(F.col("status") == "repaired", F.col("__b"))).drop("__a", "__b", "__ok")

@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from scrivenry.functions import text as X
-from scrivenry.sources.tables import worker_path
+from scrivenry.sources.batches import map_batches
 
 #: Whole words in a row that a text must share with an excerpt before the two are compared, at most.
 ANCHOR_WORDS = 3
@@ -62,8 +62,8 @@ def locate(evidence: DataFrame, contents: DataFrame, key: str = "source_id") ->
     ``evidence`` has ``key``, ``excerpt`` and, for a preferred range, ``pref_start`` and ``pref_end`` (null: none);
     ``contents`` has ``key`` and ``content``, one row each. Excerpt and content are compared in NFKC, case-folded,
     without emphasis marks and with blanks collapsed; a hit inside the preferred range wins, else the first;
-    hits inside an omission marker do not count. Each content is normalised once: the evidence of one
-    source, which its chunks bound, meets it in one row. Null or empty excerpts and unknown keys are not found.
+    hits inside an omission marker do not count. Each content is normalised once at most, and only where an excerpt does
+    not stand at the start of its preferred range: the evidence of one source, which its chunks bound, meets it in one row. Null or empty excerpts and unknown keys are not found.
     """
     rest = [c for c in evidence.columns if c not in ("start", "end", "pref_start", "pref_end")]
     bound = [F.col(c).cast("bigint") if c in evidence.columns else F.lit(None).cast("bigint") for c in ("pref_start", "pref_end")]
@@ -77,14 +77,16 @@ def locate(evidence: DataFrame, contents: DataFrame, key: str = "source_id") ->
         for b in batches:
             rows = []
             for i in range(b.num_rows):
-                content = b.column(1)[i].as_py()
-                hay = X.normal_with_map(content) if content else None
+                content, hay = b.column(1)[i].as_py(), None
                 dead = X.omissions(content) if content else []
                 for e in b.column(0)[i].as_py():
                     a, z = e.pop("pref_start"), e.pop("pref_end")
-                    at = X.locate_normal(e["excerpt"], hay, dead, None if a is None or z is None else (a, z))
+                    preferred = None if a is None or z is None else (a, z)
+                    at = X.locate_at_start(e["excerpt"], content, dead, preferred)
+                    if at is None and content:
+                        hay = hay or X.normal_with_map(content)
+                        at = X.locate_normal(e["excerpt"], hay, dead, preferred)
                     rows.append({**e, "start": at[0] if at else None, "end": at[1] if at else None})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    worker_path(evidence.sparkSession)
-    return joined.mapInArrow(run, schema)
+    return map_batches(joined, run, schema)

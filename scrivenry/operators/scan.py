@@ -42,10 +42,10 @@ class Scan:
 def _concepts(chunks: DataFrame, provider: Callable[[str], str] | None) -> DataFrame:
     """Checked replies of the provider (None: the fake one, in the JVM) for chunks (source_id, chunk_no, chunk_id, text)."""
     if provider is None:
-        replies = chunks.select("source_id", "chunk_no", E.fake_reply(F.col("text")).alias("reply"), F.lit(None).cast("string").alias("failure"))
+        replies = chunks.select("source_id", "chunk_no", E.fake_reply(F.col("text")).alias("reply"), F.lit(None).cast("string").alias("failure"), "chunk_id")
     else:
-        replies = E.extract(chunks, provider, "source_id")
-    found = E.check_replies(replies).join(chunks.select("source_id", "chunk_no", "chunk_id"), ["source_id", "chunk_no"])
+        replies = E.extract(chunks, provider, "source_id").join(chunks.select("source_id", "chunk_no", "chunk_id"), ["source_id", "chunk_no"])
+    found = E.check_replies(replies)
     # the fake provider has nothing to say about a chunk that begins without a sentence; that is no failure
     return found.withColumn("status", F.when(F.lit(provider is None) & F.col("reply").isNull(), "none").otherwise(F.col("status")))
 
@@ -120,7 +120,7 @@ def scan(
         rows = rows.join(state.select("source_id", "content_hash"), ["source_id", "content_hash"], "left_anti")
     view = materialise(L.processing_view(rows.withColumn("chars", F.length(F.coalesce("text", F.lit(""))).cast("bigint"))), "view")
     cut = K.chunks(view, "source_id", "content", overlap=C.OVERLAP_CHARS)
-    chunks = cut.withColumn("chunk_id", X.chunk_id(F.col("chunk_no"), F.col("text")))
+    chunks = materialise(cut.withColumn("chunk_id", X.chunk_id(F.col("chunk_no"), F.col("text"))), "chunks")
     names = view.select("source_id", X.aliases(F.col("title")).alias("names"))
     parsed = materialise(H.parse(L.lines(view)), "parsed")
     subs = H.method_subsections(parsed)

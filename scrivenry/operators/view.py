@@ -16,6 +16,8 @@ HEADING = "^#{1,6} "
 SYMBOLS = r"[#$%&*@^~|<>{}\\]"
 #: Kinds of lines that the view leaves out.
 LEFT_OUT = ("table_malformed", "table_dense", "figure_text", "noise")
+#: A line without any of these is prose or blank, whatever the detectors say.
+TELLING = r"[0-9=#$%&*@^~|<>{}\\]"
 FORMULA_MARK = C.OMISSION + ": formula]"
 
 
@@ -47,16 +49,16 @@ def view_text(text: Column) -> Column:
     stays. Prose, headings, captions and well-formed tables stay, formulas become markers; broken and
     number-dense tables, raw figure text and lines of symbols go.
     """
-    def step(section: Column, line: Column) -> tuple[Column, Column]:
-        heading = line.rlike("^#{1,2} ") & ~line.rlike(PAGE)
-        now = F.when(heading, X.heading_parts(line)["canonical"]).otherwise(section)
+    def step(out: Column, line: Column) -> tuple[Column, Column]:
+        heading = F.startswith(line, F.lit("#")) & line.rlike("^#{1,2} ") & ~line.rlike(PAGE)
+        now = F.when(heading, X.heading_parts(line)["canonical"].rlike(DROPPED)).otherwise(out)
         kind = F.when(line.rlike(HEADING), "heading").otherwise(line_kind(line))
         kind = bind(kind, lambda k: F.when((k == "prose") & is_noise(line), "noise").otherwise(k))
         shown = F.when(line.rlike(HEADING), line).otherwise(shown_line(line))
         none = F.array().cast("array<string>")
-        return now, F.when(now.rlike(DROPPED) | kind.isin(*LEFT_OUT), none).otherwise(F.array(shown))
+        return now, F.when(now, none).when(~line.rlike(TELLING), F.array(line)).when(kind.isin(*LEFT_OUT), none).otherwise(F.array(shown))
 
-    return F.array_join(running(F.split(F.coalesce(text, F.lit("")), "\n", -1), F.lit(""), "string", step), "\n")
+    return F.array_join(running(F.split(F.coalesce(text, F.lit("")), "\n", -1), F.lit(False), "string", step), "\n")
 
 
 def processing_view(sources: DataFrame, text_col: str = "text") -> DataFrame:

@@ -372,3 +372,42 @@ def test_notes_are_files_that_the_driver_does_not_list(spark, tmp_path):
     assert len(glob.glob(made + "/*/*.md")) == len(rows)
     # before: a task for every 31 files at most, whatever their size
     assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
+def test_excerpts_at_the_start_of_their_range_need_no_whole_content(spark, monkeypatch):
+    import random
+
+    from scrivenry.operators import locate as O
+
+    r = random.Random(5)
+    made = ("a", "b", "A", " ", "  ", "\n", "*", "ﬁ", "i", "é", "> [... omitted from AI extraction: formula]\n", "ß")
+    for _ in range(3000):
+        content = "".join(r.choices(made, k=r.randint(0, 12)))
+        a = r.randint(0, len(content))
+        z = r.randint(a, len(content))
+        excerpt = content[a:r.randint(a, len(content))]
+        dead = X.omissions(content)
+        fast = X.locate_at_start(excerpt, content, dead, (a, z))
+        assert fast is None or fast == X.locate_normal(excerpt, X.normal_with_map(content), dead, (a, z))
+    # before: each content was normalised whole, one character at a time
+    sizes = []
+    whole = X.normal_with_map
+    monkeypatch.setattr(X, "normal_with_map", lambda t: sizes.append(len(t)) or whole(t))
+    text = "Some words stand here. " * 1000
+    assert X.locate_at_start(text[2300:2600], text, [], (2300, 6300)) == (2300, 2599) and max(sizes) == 300
+    ev = spark.createDataFrame([(1, text[2300:2600], 2300, 6300), (1, text[:9], None, None), (2, "x", 0, 1)], "source_id long, excerpt string, pref_start long, pref_end long")
+    got = O.locate(ev, spark.createDataFrame([(1, text)], "source_id long, content string")).collect()
+    assert {(g["source_id"], g["start"], g["end"]) for g in got} == {(1, 2300, 2599), (1, 0, 9), (2, None, None)}
+
+
+def test_scan_cuts_its_chunks_once(spark, monkeypatch):
+    """Chunks are a table that later steps read, and chunk ids come with the replies, not by a join of texts."""
+    from scrivenry.operators import scan as R
+
+    names = []
+    kept = R.materialise
+    monkeypatch.setattr(R, "materialise", lambda df, name, *a: names.append(name) or kept(df, name, *a))
+    R.scan(spark.createDataFrame([(1, "t", "First words. More.\nOther line."), (2, "u", None)], "source_id long, title string, text string"))
+    assert "chunks" in names and names.index("chunks") < names.index("general")
+    chunks = spark.createDataFrame([(1, 1, "c", "Word.")], "source_id long, chunk_no long, chunk_id string, text string")
+    assert "Join" not in R._concepts(chunks, None)._jdf.queryExecution().optimizedPlan().toString()
