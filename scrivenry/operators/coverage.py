@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from scrivenry import config as C
@@ -52,4 +52,18 @@ def targets(open_subs: DataFrame) -> DataFrame:
     body = F.left("body", F.lit(C.CHUNK_CHARS))
     return (
         open_subs.where(F.col("body").rlike(r"\S")).withColumn("n", n).where(F.col("n") <= C.MAX_TARGETED)
-        .withColumn("target_id", X.targeted_id(F.col("sub_id"), F.concat(F.col("heading"), F.lit("\n"), body))))
+        .withColumn("target_id", target_id(F.col("sub_id"), F.col("heading"), body)))
+
+
+def target_id(sub_id: Column, heading: Column, body: Column) -> Column:
+    return X.targeted_id(sub_id, F.concat(heading, F.lit("\n"), body))
+
+
+def first_bodies(subs: Column, content: Column) -> Column:
+    """array<struct(sub_id, heading, body)> of the first eight of ``subs`` (``headings.subsections``), bodies as ``targets`` cuts them."""
+    def one(x: Column) -> Column:
+        start = x["start"] + x["width"] + 1
+        body = F.substr(content, (start + 1).cast("int"), F.least(x["end"] - start, F.lit(C.CHUNK_CHARS)).cast("int"))
+        return F.struct(x["sub_id"].alias("sub_id"), x["heading"].alias("heading"), body.alias("body"))
+
+    return F.transform(F.slice(subs, 1, C.MAX_TARGETED), one)

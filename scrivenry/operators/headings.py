@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from scrivenry.functions import text as X
+from scrivenry.functions.arrays import bind, running
 
 # Canonical headings of sections that extraction never sees.
 DROPPED = r"^(references|bibliography|contents|table of contents|(neurips )?paper checklist|checklist)$"
@@ -72,6 +73,119 @@ def method_subsections(parsed: DataFrame) -> DataFrame:
         .select("source_id", "sub_id", "canonical", "heading", "start", "end", "pages"))
 
 
+def outlines(contents: DataFrame) -> DataFrame:
+    """``contents`` (source_id, content; one row each) with ``marks`` (headings and page markers in order, as ``parse`` and
+    ``spans`` have them), ``total`` (characters) and ``lines``. A projection, linear in text and headings."""
+    # only lines that begin like a heading are looked at, so the text is cut before these
+    parts = F.split("content", r"\n(?=#{1,6} )", -1)
+    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+
+    def place(s: Column, x: Column) -> tuple[Column, Column]:
+        after = F.struct((s["ord"] + x["feeds"] + 1).alias("ord"), (s["start"] + x["chars"] + 1).alias("start"))
+        return after, F.array(F.struct(s["ord"].alias("ord"), s["start"].alias("start"), x["line"].alias("line"), x["body"].alias("body"), x["chars"].alias("chars")))
+
+    sized = F.transform(parts, lambda x: F.struct(
+        feeds(x).cast("bigint").alias("feeds"), F.length(x).cast("bigint").alias("chars"), F.substring_index(x, "\n", 1).alias("line"),
+        F.regexp_like(x, F.lit(r"^[^\n]*+\n\s*+\S")).alias("body")))
+    zero = F.struct(F.lit(0).cast("bigint").alias("ord"), F.lit(0).cast("bigint").alias("start"))
+    placed = running(sized, zero, "struct<ord:bigint,start:bigint,line:string,body:boolean,chars:bigint>", place)
+
+    def mark(x: Column) -> Column:
+        h, page = X.heading_parts(x["line"]), F.regexp_extract(x["line"], PAGE, 1)
+        return F.struct(
+            x["ord"].alias("ord"), x["start"].alias("start"), F.when(page != "", page.cast("bigint")).alias("page"),
+            F.when(page != "", F.lit(0)).otherwise(h["level"]).cast("bigint").alias("level"), h["number"].alias("number"), h["depth"].cast("bigint").alias("depth"),
+            h["canonical"].alias("canonical"), h["text"].alias("heading"), x["body"].alias("body"), F.length(x["line"]).cast("bigint").alias("width"), x["chars"].alias("chars"))
+
+    marks = F.transform(F.filter(placed, lambda x: x["line"].rlike("^#{1,6} ")), mark)
+    x = contents.withColumn("marks", marks).withColumn("total", F.length("content").cast("bigint")).withColumn("lines", feeds(F.col("content")).cast("bigint") + 1)
+    return x.withColumn("marks", _ended(F.col("marks"), F.col("total")))
+
+
+MARK = "ord:bigint,start:bigint,page:bigint,level:bigint,number:string,depth:bigint,canonical:string,heading:string,body:boolean,width:bigint,chars:bigint,seen:int,end:bigint,to:int"
+
+
+def _ended(marks: Column, total: Column) -> Column:
+    """``marks`` with ``seen`` (page markers before), ``end`` and ``to`` (page markers before the end).
+
+    One pass from the left counts markers. One from the right holds, for each level, the next heading of that level or
+    a higher one, once of all headings and once of those without number, and the next numbered headings of falling depth.
+    """
+    same = "ord start page level number depth canonical heading body width chars".split()
+    kind = f"struct<{MARK}>"
+
+    def count(n: Column, m: Column) -> tuple[Column, Column]:
+        blank = [F.lit(None).cast("bigint").alias("end"), F.lit(None).cast("int").alias("to")]
+        return n + m["page"].isNotNull().cast("int"), F.array(F.struct(*[m[c].alias(c) for c in same], n.alias("seen"), *blank))
+
+    def close(s: Column, m: Column) -> tuple[Column, Column]:
+        here = F.struct(m["start"].alias("at"), m["seen"].alias("seen"), m["depth"].alias("depth"))
+        numbered, heading = m["number"] != "", m["level"] > 0
+        put = lambda old, hit: F.when(hit, F.transform(old, lambda x, i: F.when(i + 1 >= m["level"], here).otherwise(x))).otherwise(old)
+        deep = F.when(heading & numbered, F.concat(F.array(here), F.filter(s["deep"], lambda x: x["depth"] < m["depth"]))).otherwise(s["deep"])
+        level = F.greatest(m["level"], F.lit(1)).cast("int")
+        by_depth = F.get(F.filter(s["deep"], lambda x: x["depth"] <= m["depth"]), F.lit(0))
+        by_level = F.get(s["bare"], level - 1)
+        nearer = F.when(by_depth["at"].isNull() | (by_level["at"] < by_depth["at"]), by_level).otherwise(by_depth)
+        next_ = F.when(numbered, nearer).otherwise(F.get(s["every"], level - 1))
+        # null: to the end of the text
+        out = F.struct(*[m[c].alias(c) for c in (*same, "seen")], next_["at"].alias("end"), next_["seen"].alias("to"))
+        state = F.struct(put(s["every"], heading).alias("every"), put(s["bare"], heading & ~numbered).alias("bare"), deep.alias("deep"))
+        return state, F.array(out)
+
+    held = "array<struct<at:bigint,seen:int,depth:bigint>>"
+    none = F.array_repeat(F.lit(None).cast("struct<at:bigint,seen:int,depth:bigint>"), 6)
+    zero = F.struct(none.alias("every"), none.alias("bare"), F.array().cast(held).alias("deep"))
+    counted = running(marks, F.lit(0), kind, count)
+    closed = F.reverse(running(F.reverse(counted), zero, kind, close))
+    pages = F.size(F.filter(marks, lambda m: m["page"].isNotNull()))
+    return bind(pages, lambda n: F.transform(closed, lambda m: m.withField("end", F.coalesce(m["end"], total)).withField("to", F.coalesce(m["to"], n))))
+
+
+def subsections(marks: Column) -> Column:
+    """What ``method_subsections`` finds, as an array in order of start, from the marks of ``outlines``.
+
+    ``filled``: there is more than blanks below the heading line, whose length is ``width``.
+    """
+    heads = lambda m: F.filter(m, lambda x: x["level"] > 0)
+
+    def inside(reach: Column, x: Column) -> tuple[Column, Column]:
+        # roots begin before; one that ends behind the start is around it
+        mine = F.when((x["start"] < reach) & ~X.is_excluded_subsection(x["canonical"]), F.array(x)).otherwise(F.array().cast(f"array<struct<{MARK}>>"))
+        return F.when(X.is_method_root(x["canonical"]), F.greatest(reach, x["end"])).otherwise(reach), mine
+
+    def nth(s: Column, x: Column) -> tuple[Column, Column]:
+        n = F.when(s["c"] == x["c"], s["n"] + 1).otherwise(F.lit(1))
+        return F.struct(x["c"].alias("c"), n.alias("n")), F.array(F.struct(x["start"].alias("start"), n.alias("n"), x["m"].alias("m")))
+
+    kept = running(heads(marks), F.lit(-1).cast("bigint"), f"struct<{MARK}>", inside)
+    by_name = F.array_sort(F.transform(kept, lambda x: F.struct(x["canonical"].alias("c"), x["start"].alias("start"), x.alias("m"))))
+    zero = F.struct(F.lit(None).cast("string").alias("c"), F.lit(0).alias("n"))
+    ranked = F.array_sort(running(by_name, zero, f"struct<start:bigint,n:int,m:struct<{MARK}>>", nth))
+    pages = F.transform(F.filter(marks, lambda m: m["page"].isNotNull()), lambda m: m["page"])
+
+    def one(r: Column, pages: Column) -> Column:
+        m = r["m"]
+        first = F.greatest(m["seen"], F.lit(1))
+        # the marker in force at the heading and those inside
+        shown = F.array_sort(F.array_distinct(F.slice(pages, first, F.greatest(m["to"] - first + 1, F.lit(0)))))
+        return F.struct(
+            X.subsection_id(m["canonical"], r["n"]).alias("sub_id"), m["canonical"].alias("canonical"), m["heading"].alias("heading"), m["start"].alias("start"),
+            m["end"].alias("end"), shown.alias("pages"), m["width"].alias("width"), (m["body"] | (m["start"] + m["chars"] + 1 < m["end"])).alias("filled"))
+
+    return bind(pages, lambda p: F.transform(ranked, lambda r: one(r, p)))
+
+
+def kept_sections(marks: Column, lines: Column) -> Column:
+    """array<struct(section, lines)> of what ``kept_lines`` keeps, in order: one for each heading of the first two levels."""
+    def sized(tops: Column) -> Column:
+        return F.transform(tops, lambda x, i: F.struct(x["section"].alias("section"), (F.coalesce(F.get(tops, i + 1)["ord"], lines) - x["ord"]).alias("lines")))
+
+    begin = F.array(F.struct(F.lit(0).cast("bigint").alias("ord"), F.lit("").alias("section")))
+    tops = F.transform(F.filter(marks, lambda m: (m["level"] > 0) & (m["level"] <= 2)), lambda m: F.struct(m["ord"].alias("ord"), m["canonical"].alias("section")))
+    return F.filter(bind(F.concat(begin, tops), sized), lambda x: (x["lines"] > 0) & ~x["section"].rlike(DROPPED))
+
+
 def kept_lines(parsed: DataFrame) -> DataFrame:
     """Lines outside references, contents and checklists; an appendix heading opens the text again."""
     top = (F.col("level") > 0) & (F.col("level") <= 2)

@@ -411,3 +411,32 @@ def test_scan_cuts_its_chunks_once(spark, monkeypatch):
     assert "chunks" in names and names.index("chunks") < names.index("general")
     chunks = spark.createDataFrame([(1, 1, "c", "Word.")], "source_id long, chunk_no long, chunk_id string, text string")
     assert "Join" not in R._concepts(chunks, None)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sections_in_one_projection(spark):
+    """Outlines of whole texts equal the operators on lines, and need no shuffle."""
+    import random
+
+    from scrivenry.operators import coverage as V, headings as H
+
+    r = random.Random(7)
+    names = ("Method", "Our Approach", "Part", "part", "Results", "References", "!!", "Other method")
+    marks = lambda: f"{'#' * r.randint(1, 6)} {r.choice(('', '3 ', '3.1 ', '3.1.1 ', '4. ', '3.2 '))}{r.choice(names)}"
+    texts = ["\n".join(marks() if r.random() < 0.5 else r.choice((f"### Page {r.randint(1, 9)}", "", "words", "#no", "  ", "é😀")) for _ in range(r.randint(1, 30))) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate([*texts, "", "# Method\n## Part\n" + "x" * 5000, None])]
+    df = spark.createDataFrame(rows, "source_id long, content string").repartition(3).localCheckpoint()
+    lines = df.select("source_id", F.posexplode(F.split("content", "\n", -1)).alias("ord", "line")).withColumn("ord", F.col("ord").cast("bigint"))
+    parsed, out = H.parse(lines).localCheckpoint(), H.outlines(df)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    assert same(H.spans(parsed), out.select("source_id", F.inline("marks")).where("level > 0"))
+    old, new = H.method_subsections(parsed), out.select("source_id", F.inline(H.subsections(F.col("marks"))))
+    assert old.count() > 100 and same(old, new) and "Exchange" not in new._jdf.queryExecution().executedPlan().toString()
+    body = F.regexp_replace(F.expr("substr(content, start + 1, end - start)"), "^[^\n]*\n?", "")
+    want = V.targets(old.join(df, "source_id").withColumn("body", body)).select("source_id", "n", "sub_id", "target_id")
+    first = V.first_bodies(F.filter(H.subsections(F.col("marks")), lambda x: x["filled"]), F.col("content"))
+    got = out.select("source_id", F.posexplode(first).alias("p", "t")).select(
+        "source_id", (F.col("p") + 1).alias("n"), "t.sub_id", V.target_id(F.col("t.sub_id"), F.col("t.heading"), F.col("t.body")).alias("target_id"))
+    assert same(want, got)
+    kept = H.kept_lines(parsed).groupBy("source_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("section")).alias("s"))
+    k = out.select("source_id", H.kept_sections(F.col("marks"), F.col("lines")).alias("k")).where("size(k) > 0")
+    assert same(kept, k.select("source_id", F.aggregate("k", F.lit(0).cast("bigint"), lambda n, x: n + x["lines"]).alias("n"), F.array_sort(F.array_distinct(F.col("k")["section"])).alias("s")))
