@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scrivenry import config as C
 from scrivenry.functions import text as X
-from scrivenry.sources.batches import bound_batches
-from scrivenry.sources.tables import worker_path
+from scrivenry.sources.batches import bound_batches, map_batches, slices
 
 FRONT = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
 
@@ -104,12 +104,13 @@ def extract(files: DataFrame, method: str = "plain") -> DataFrame:
     """``ingest`` of (path, content) rows, wherever the bytes come from."""
     extractor = EXTRACTORS[method]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"source_file": p["path"], "content": [extractor(c) for c in p["content"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a few files at a time, whatever the batches of the session hold
+        for b in slices(batches):
+            found = [extractor(c.as_py()) for c in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["source_file", "content"])
 
-    worker_path(files.sparkSession)
-    raw = files.select("path", "content").mapInPandas(run, "source_file string, content string")
+    raw = map_batches(files.select("path", "content"), run, "source_file string, content string")
     low = F.length(F.trim("content")) < C.LOW_TEXT_CHARS
     return raw.select("source_file", F.lit(method).alias("extraction_method"), F.when(~low, X.escape_angle(F.col("content"))).alias("content"),
                       F.when(low, C.EXITS["ocr"]).otherwise(C.EXITS["ok"]).alias("exit_code"))

@@ -440,3 +440,20 @@ def test_sections_in_one_projection(spark):
     kept = H.kept_lines(parsed).groupBy("source_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("section")).alias("s"))
     k = out.select("source_id", H.kept_sections(F.col("marks"), F.col("lines")).alias("k")).where("size(k) > 0")
     assert same(kept, k.select("source_id", F.aggregate("k", F.lit(0).cast("bigint"), lambda n, x: n + x["lines"]).alias("n"), F.array_sort(F.array_distinct(F.col("k")["section"])).alias("s")))
+
+
+def test_extractors_get_bounded_batches(spark):
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {n: spark.conf.getAll.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.unset(n)
+        files = spark.range(3000).select(F.col("id").cast("string").alias("path"), F.when(F.col("id") % 1000 == 0, F.repeat(F.lit("long "), 400_000)).otherwise(F.lit("short")).cast("binary").alias("content"))
+        got = M.extract(files)
+        # before: batches of 10,000 files, made into pandas objects
+        assert int(spark.conf.get(names[0])) <= 1000 and int(spark.conf.get(names[1])) <= 8 << 20
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r["exit_code"], r["n"]): r["count"] for r in got.groupBy("exit_code", F.length("content").alias("n")).count().collect()} == {(0, 2_000_000): 3, (3, None): 2997}
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
