@@ -394,10 +394,10 @@ def test_excerpts_at_the_start_of_their_range_need_no_whole_content(spark, monke
     whole = X.normal_with_map
     monkeypatch.setattr(X, "normal_with_map", lambda t: sizes.append(len(t)) or whole(t))
     text = "Some words stand here. " * 1000
-    assert X.locate_at_start(text[2300:2600], text, [], (2300, 6300)) == (2300, 2599) and max(sizes) == 300
+    assert X.locate_at_start(text[2300:2600], text, [], (2300, 6300)) == (2300, 2600) and max(sizes) == 300
     ev = spark.createDataFrame([(1, text[2300:2600], 2300, 6300), (1, text[:9], None, None), (2, "x", 0, 1)], "source_id long, excerpt string, pref_start long, pref_end long")
     got = O.locate(ev, spark.createDataFrame([(1, text)], "source_id long, content string")).collect()
-    assert {(g["source_id"], g["start"], g["end"]) for g in got} == {(1, 2300, 2599), (1, 0, 9), (2, None, None)}
+    assert {(g["source_id"], g["start"], g["end"]) for g in got} == {(1, 2300, 2600), (1, 0, 9), (2, None, None)}
 
 
 def test_scan_cuts_its_chunks_once(spark, monkeypatch):
