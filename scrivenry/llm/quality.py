@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from scrivenry.llm.batches import map_batches, slices
+from scrivenry.llm.batches import map_batches, release, slices
 from scrivenry.sources.tables import materialise
 
 #: Hash buckets of words.
@@ -189,13 +189,16 @@ def train(
     table = found.join(F.broadcast(first.select("doc")), "doc", "left_semi").toArrow()
     rows = sorted(
         (
-            (str(d), i.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(np.float32), int(y))
+            (str(d), i.values.to_numpy(), x.values.to_numpy(), int(y))  # views of the table, no copies
             for d, i, x, y in zip(table["doc"].to_pylist(), table["idx"], table["val"], table["y"].to_pylist())
         ),
         key=lambda r: (r[0], len(r[1]), r[1][:8].tolist(), r[3]),
     )
     rows = [r[1:] for r in rows]
-    return fit(rows)
+    machine = fit(rows)
+    del table, rows
+    release()  # the driver keeps what it took for the sample otherwise
+    return machine
 
 
 def score_quality(

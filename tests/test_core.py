@@ -98,6 +98,32 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_few_links_cost_the_driver_few_jobs(spark):
+    """Links below the bound are joined in one task, with the result of the rounds, for every type; a long chain took some 90 jobs."""
+    edges = [(i, i + 1) for i in range(-30, 70)] + [(i * 37 % 61 + 200, i * 53 % 97 + 200) for i in range(60)] + [(5, 5), (None, 3)]
+    own = {"bigint": int, "string": str, "binary": lambda x: (x % 2**64).to_bytes(8)}
+    for kind, make in own.items():
+        df = spark.createDataFrame([tuple(None if x is None else make(x) for x in e) for e in edges], f"a {kind}, b {kind}")
+        spark.sparkContext.setJobGroup(f"few {kind}", "")
+        try:
+            few = connected_components(df)
+            got = sorted(map(tuple, few.collect()))
+            jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few {kind}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert jobs <= 10
+        for bound in (0, 300):  # rounds to the end, and rounds until links are few
+            many = df if not bound else df.union(spark.createDataFrame(
+                [(make(a), make(b)) for a in range(200, 230) for b in range(200, a)], df.schema))
+            want = sorted(map(tuple, connected_components(many).collect()))
+            assert want == sorted(map(tuple, connected_components(many, one_task=bound).collect()))
+        parent = {}
+        for n, c in got:
+            parent[n] = c
+        assert all(parent[x] == parent[y] for x, y in (map(make, e) for e in edges if None not in e and e[0] != e[1]))
+        assert all(c == min(n for n in parent if parent[n] == c) for c in set(parent.values()))
+
+
 def test_provider_runs_once_and_failures_are_kept(spark):
     c = spark.createDataFrame([(1, 1, "a"), (1, 2, "boom")], "doc_id bigint, chunk_no bigint, text string")
 
