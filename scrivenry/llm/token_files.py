@@ -7,14 +7,13 @@ import json
 import os
 import re
 import struct
-import sys
 import unicodedata
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -32,10 +31,21 @@ INNER = struct.Struct("<BqB")
 _TOKENIZERS: dict[str, tuple] = {}
 #: Text bytes of a shard (a range of keys); bytes of records that are written as one row, and rows of a file.
 SHARD_BYTES, BLOB_BYTES, FILE_BLOBS = 32 << 20, 4 << 20, 4
-#: Words whose ids a Python worker remembers; a batch's own are always held.
-MAX_WORDS = 500_000
+#: Words, and ids of all of them, that a Python worker remembers, and ids of a word that is kept when these are full;
+#: a batch's own are always held.
+MAX_WORDS, MAX_IDS, KEPT_IDS = 500_000, 16_000_000, 32
 END_MARK = re.compile(r"([.,!?;:])(?<=[^\W_][.,!?;:])(?![^ \n])")
 ODD = ("\u03a3", "\u0130", "<|")
+#: The tokenizer whose words are cut here, and its pattern for words of characters that composition and lower case
+#: leave alone (Latin-1 but for capitals and white space), with the classes written out.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+PLAIN = re.compile(r"[!-@\[-~\xa1-\xbf\xd7\xdf-\xff]+")
+_L, _N = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}]+")
 
 
 def masked_crc(data: bytes) -> int:
@@ -77,86 +87,169 @@ class ChunkEncoder:
     Only for tokenizers whose pre-tokenisation drops white space and never joins across it, so that
     the ids of a text are those of its pieces in turn. Where the tokenizer lower-cases, pieces meet in
     lower case, and one end mark after a letter or digit, where the tokenizer parts it, is a piece of
-    its own. The memory is bounded; what falls out is encoded again.
+    its own. Pieces are numbered: a batch's are parted and told apart by Arrow, and only distinct ones
+    pass through Python. The memory is bounded; what falls out is encoded again.
     """
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.code = "H" if self.width == 2 else "I"
-        self.words: dict[str, bytes] = {}
-        kinds = {x["type"] for x in (json.loads(spec).get("normalizer") or {}).get("normalizers", ())}
+        known = json.loads(spec)
+        kinds = {x["type"] for x in (known.get("normalizer") or {}).get("normalizers", ())}
         self.folds = "Lowercase" in kinds
         parts = [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a.")] if self.tokenizer.pre_tokenizer else []
         self.parts = len(parts) == 2
-        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        suffix = known["model"].get("end_of_word_suffix")
         self.last = None
         if suffix and self.parts:
             vocabulary = self.tokenizer.get_vocab()
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)
             self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-
-    def pack(self, ids: list[int]) -> bytes:
-        out = array(self.code, ids)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
-
-    def _words(self, text: str) -> list[str]:
-        """Pieces between white space whose ids in turn are the text's.
-
-        In texts that composition leaves alone, letters are lowered and an end mark between a letter
-        or digit and white space is parted. Not so in pieces with one of the two letters whose lower
-        case hangs on their neighbours or takes a mark, or with what may start a special token.
+        #: The same model without what plain words need not: they are normal already, and cut as it cuts them.
+        self.bare = None
+        if self.last is not None and known["normalizer"] == NORMALIZER and known["pre_tokenizer"] == PRE_TOKENIZER:
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, f"<u{self.width}")
+        self.begin, self.size, self.hits = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.used = 0
+
+    def _append(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Number words that are not known, ``ids`` being theirs in turn."""
+        at, end = len(self.words), len(self.words) + len(words)
+        self.words.update(zip(words, range(at, end)))
+        for name in ("begin", "size", "hits"):
+            if end > len(getattr(self, name)):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros(end, getattr(self, name).dtype)]))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(self.used + len(ids), self.flat.dtype)])
+        self.begin[at:end] = self.used + np.cumsum(sizes) - sizes
+        self.size[at:end], self.hits[at:end] = sizes, 0
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of these numbers in turn, and where each word's end."""
+        sizes = self.size[index]
+        ends = np.cumsum(sizes)
+        out = np.empty(ends[-1] if len(ends) else 0, self.flat.dtype)
+        at = 0
+        for k in range(0, len(index), 1 << 18):
+            part = slice(k, k + (1 << 18))
+            places = np.repeat(self.begin[index[part]] - ends[part] + sizes[part], sizes[part])
+            places += np.arange(at, at + len(places))
+            out[at:at + len(places)] = self.flat[places]
+            at += len(places)
+        return out, ends
+
+    def _forget(self, room: int) -> None:
+        """Make room for that many words: of those that two batches had, the most frequent stay, half of the memory at most."""
+        n = len(self.words)
+        keep = np.flatnonzero((self.hits[:n] > 1) & (self.size[:n] <= KEPT_IDS))
+        keep = keep[np.argsort(-self.hits[keep], kind="stable")[:max(0, min(MAX_WORDS // 2, MAX_WORDS - room))]]
+        ids, _ = self._gather(keep)
+        sizes, hits = self.size[keep], self.hits[keep]
+        names = list(self.words)
+        self._clear()
+        self._append([names[i] for i in keep.tolist()], ids, sizes)
+        self.hits[:len(keep)] = hits // 2
+
+    def _ready(self, text: str) -> str:
+        """The text with its pieces parted by spaces; the ids of these in turn are the text's.
+
+        In texts that composition leaves alone, also in lower case, letters are lowered and an end mark
+        between a letter or digit and white space is parted. Not so in pieces with one of the two letters
+        whose lower case hangs on their neighbours or takes a mark, or with what may start a special token.
         """
         if unicodedata.is_normalized("NFC", text) and not any(x in text for x in ODD):
-            if self.folds:
-                text = text.lower()
-            if self.parts:
-                text = END_MARK.sub(r" \1", text)
-            return text.replace("\n", " ").split(" ")
+            lowered = text.lower() if self.folds else text
+            if text.isascii() or unicodedata.is_normalized("NFC", lowered):
+                if self.parts:
+                    lowered = END_MARK.sub(r" \1", lowered)
+                return lowered.replace("\n", " ")
         chunks = text.replace("\n", " ").split(" ")
-        if len(chunks) == 1:
-            return chunks
-        return [w for c in chunks for w in self._words(c)]
+        return " ".join(map(self._ready, chunks)) if len(chunks) > 1 else chunks[0]
+
+    def _runs(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, and how many each has. Many go through the library as one text and are parted at the
+        tokens that end a word; where these are not as many as the pre-tokens, each goes alone."""
+        ids, sizes = [], []
+        runs = [words[i:i + 200] for i in range(0, len(words), 200)]
+        for at in range(0, len(runs), 100):
+            part = runs[at:at + 100]
+            for run, e in zip(part, tokenizer.encode_batch_fast([" ".join(r) for r in part], add_special_tokens=False)):
+                own = np.array(e.ids, self.flat.dtype)
+                ends = np.flatnonzero(self.last[own]) + 1
+                if len(ends) == len(run):
+                    ids.append(own)
+                    sizes.append(np.diff(ends, prepend=0))
+                else:
+                    alone = [np.array(x.ids, self.flat.dtype) for x in tokenizer.encode_batch_fast(run, add_special_tokens=False)]
+                    ids += alone
+                    sizes.append(np.array([len(x) for x in alone]))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _encode_words(self, words: list[str]) -> None:
-        """Ids of words into the memory. Words of letters alone are one pre-token each: where a token
-        shows that its word ends, many go through the library as one text and are parted there."""
-        plain = [w for w in words if w.isalpha() and unicodedata.is_normalized("NFC", w)] if self.last is not None else []
-        for at in range(0, len(plain), 20_000):
-            runs = [plain[i:min(i + 200, at + 20_000)] for i in range(at, min(at + 20_000, len(plain)), 200)]
-            for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
-                ids = np.array(e.ids, f"<u{self.width}")
-                cuts = (np.flatnonzero(self.last[ids]) + 1) * self.width
-                if len(cuts) == len(run):
-                    raw, begin = ids.tobytes(), 0
-                    for w, end in zip(run, cuts.tolist()):
-                        self.words[w] = raw[begin:end]
-                        begin = end
-        rest = [w for w in words if w not in self.words]
+        """Number words that are not known. Words of plain characters are cut as the tokenizer cuts them, and other
+        words of letters alone are one pre-token each; the library gets the rest as they are."""
+        plain, pieces, counts, letters, rest = [], [], [], [], []
+        for w in words:
+            if self.bare and PLAIN.fullmatch(w) and "<|" not in w:
+                found = [w] if w.isalpha() else PRE_TOKEN.findall(w)
+                plain.append(w)
+                pieces += found
+                counts.append(len(found))
+            elif self.last is not None and w.isalpha() and unicodedata.is_normalized("NFC", w):
+                letters.append(w)
+            else:
+                rest.append(w)
+        for tokenizer, some, parts, n in ((self.bare, plain, pieces, counts), (self.tokenizer, letters, letters, [1] * len(letters))):
+            if some:
+                ids, sizes = self._runs(tokenizer, parts)
+                self._append(some, ids, np.add.reduceat(sizes, np.cumsum(n) - n))
         for at in range(0, len(rest), 10_000):
             part = rest[at:at + 10_000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.words[x] = self.pack(e.ids)
-
-    def _learn(self, wanted: set[str]) -> None:
-        """Room for ``wanted`` and the ids of those that are not known."""
-        missing = wanted - self.words.keys()
-        if len(self.words) + len(missing) > MAX_WORDS:
-            self.words.clear()
-            missing = wanted
-        self._encode_words(list(missing))
+            own = [np.array(e.ids, self.flat.dtype) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._append(part, np.concatenate(own), np.array([len(x) for x in own]))
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of words, -1 where one is not known."""
+        get = self.words.get
+        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+
+    def _learn(self, wanted: list[str]) -> np.ndarray:
+        """Numbers of these distinct words; those that are not known are encoded."""
+        index = self._numbers(wanted)
+        new = np.flatnonzero(index < 0)
+        if len(self.words) + len(new) > MAX_WORDS or self.used > MAX_IDS:
+            self._forget(len(wanted))
+            index = self._numbers(wanted)
+            new = np.flatnonzero(index < 0)
+        missing = [wanted[i] for i in new.tolist()]
+        self._encode_words(missing)
+        index[new] = self._numbers(missing)
+        self.hits[index] += 1
+        return index
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Packed ids of every text; the unknown words of all are learnt together."""
-        parted = [self._words(t) for t in texts]
-        self._learn(set().union(*parted))
-        get = self.words.__getitem__
-        return [b"".join(map(get, p)) for p in parted]
+        if not texts:
+            return []
+        parted = pc.split_pattern(pa.array(map(self._ready, texts), pa.large_string()), " ")
+        rows = np.asarray(parted.offsets)
+        words = parted.flatten().dictionary_encode()
+        index = self._learn(words.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(words.indices)]
+        ids, ends = self._gather(index)
+        cuts = np.concatenate([[0], ends])[rows].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
     def __call__(self, text: str) -> bytes:
         return self.batch([text])[0]
@@ -190,7 +283,7 @@ def encode_records(docs: DataFrame, tokenizer_path: str, end_id: int | None) ->
                 names=["shard", "seq", "value"])
 
         encode = _encoder(name, shared.value)
-        tail = b"" if end_id is None else encode.pack([end_id])
+        tail = b"" if end_id is None else np.array([end_id], encode.flat.dtype).tobytes()
         held: list[bytes] = []
         size = 0
         for b in slices(batches):

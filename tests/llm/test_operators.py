@@ -1,6 +1,7 @@
 import glob
 import hashlib
 import os
+import random
 import re
 import time
 import zlib
@@ -580,6 +581,43 @@ def test_token_files(spark, sample, odd, empty, tmp_path):
     assert token_files.read_token_files(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_pieces_are_encoded_as_the_library_does(monkeypatch):
+    """Also where lower case composes anew, contractions and marks meet, and the memory is full again and again."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        encode = token_files.ChunkEncoder(f.read())
+    monkeypatch.setattr(token_files, "MAX_WORDS", 500)
+    rng = random.Random(9)
+    parts = [*map(chr, range(0x180)), *" \n\t'\u00a0" * 20, *"etaoinst'.,!?$#|<>_0" * 10, "'s", "'ll", "'RE", "J\u030c", "H\u0331", "\u0301", "\u03a3",
+             "\u03c2", "\u01c5", "\ufb01", "\u6f22", "\u0660", "\u2163", "\U0001f600", "<|endoftext|>", "\u200d", "jami,###", "1st"]
+    texts = ["J\u030c", "a T\u0308 b", "it's 'Tis rock'n'roll's,", "x,### y$$$z ''s", "", " ", "\n"]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(3000)]
+    for at in range(0, len(texts), 60):
+        some = texts[at:at + 60]
+        got = [np.frombuffer(x, "<u2").tolist() for x in encode.batch(some)]
+        assert got == [e.ids for e in tok.encode_batch(some, add_special_tokens=False)]
+    assert encode.batch([]) == []
+
+
+def test_a_full_memory_keeps_frequent_words(monkeypatch):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encode = token_files.ChunkEncoder(f.read())
+    monkeypatch.setattr(token_files, "MAX_WORDS", 600)
+    sent, send = Counter(), encode._encode_words
+    monkeypatch.setattr(encode, "_encode_words", lambda words: (sent.update(words), send(words))[1])
+    often = [f"word{i}" for i in range(100)]
+    for k in range(20):
+        encode.batch([" ".join(often), " ".join(f"rare{k}x{i}" for i in range(200))])
+        assert len(encode.words) <= 600
+    assert max(sent[w] for w in often) == 1 and len(sent) == 100 + 20 * 200
+
+
 def test_damaged_records_are_refused():
     good = token_files.frame(7, b"\x01\x00\x02\x00", 2) + b"\n"
     (at, n, key, ids), = token_files.read_frames(good)
